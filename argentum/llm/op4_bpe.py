@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import sys
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -138,10 +137,14 @@ class Coder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> Coder:
-    with open(path, "rb") as f:
-        return Coder(parse_ranks(f), pattern)
+    """The worker's coder. It hangs on a module that lives as long as the worker, so that tasks share its store."""
+    held = sys.modules["pyspark"].__dict__.setdefault("_argentum_coders", {})
+    if (path, pattern) not in held:
+        held.clear()
+        with open(path, "rb") as f:
+            held[path, pattern] = Coder(parse_ranks(f), pattern)
+    return held[path, pattern]
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:

@@ -29,8 +29,8 @@ from argentum.llm import common
 
 # Fixed values of the Ogg container (RFC 3533) and of the raw PCM mapping's identification packet.
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
-HEAD = struct.Struct("<4sBBqIIIB")
-PCM_ID = struct.Struct(">8sHHIIBBHI")
+HEAD = "<4sBBqIIIB"
+PCM_ID = ">8sHHIIBBHI"
 PCM_MAGIC, PCM_U8, RATE = b"PCM     ", 1, 8000
 
 #: Samples of a frame (one packet), packets of a page at most, and bytes to which a payload is padded.
@@ -52,7 +52,7 @@ def page_checksum(page: bytes) -> int:
 
 
 def _page(serial: int, number: int, flags: int, granule: int, lacing: bytes, body: bytes) -> bytes:
-    head = HEAD.pack(CAPTURE, 0, flags, granule, serial, number, 0, len(lacing))
+    head = struct.pack(HEAD, CAPTURE, 0, flags, granule, serial, number, 0, len(lacing))
     page = head + lacing + body
     return page[:22] + page_checksum(page).to_bytes(4, "little") + page[26:]
 
@@ -97,7 +97,7 @@ def write_ogg(payload: bytes, serial: int | None = None) -> bytes:
     streams = [_Stream(serial), _Stream(serial + 1)]
     out: list[bytes] = []
     for k, s in enumerate(streams):
-        out += s.put(PCM_ID.pack(PCM_MAGIC, 0, 0, PCM_U8, RATE, 0, 1, 1, k), 0)
+        out += s.put(struct.pack(PCM_ID, PCM_MAGIC, 0, 0, PCM_U8, RATE, 0, 1, 1, k), 0)
         out.append(s.flush(FIRST))
     for s in streams:
         vendor = b"argentum"
@@ -121,7 +121,7 @@ def read_pages(media: bytes) -> Iterator[tuple[int, int, int, int, bytes, int]]:
     while at < len(media):
         if media[at : at + 4] != CAPTURE or at + 27 > len(media):
             raise OggError(f"no page at byte {at}")
-        _, version, flags, granule, serial, number, crc, n = HEAD.unpack_from(media, at)
+        _, version, flags, granule, serial, number, crc, n = struct.unpack_from(HEAD, media, at)
         lacing = media[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(lacing)
         if version or end > len(media):
@@ -174,7 +174,7 @@ def read_ogg(media: bytes) -> tuple[bytes, list[dict]]:
     stamped: list[tuple[int, bytes]] = []
     known = []
     for serial, packets in demultiplex(media).items():
-        magic, _, _, kind, rate, _, channels, _, order = PCM_ID.unpack(packets[0][1])
+        magic, _, _, kind, rate, _, channels, _, order = struct.unpack(PCM_ID, packets[0][1])
         if magic != PCM_MAGIC or kind != PCM_U8 or channels != 1:
             raise OggError(f"stream {serial} isn't 8-bit PCM")
         audio = packets[2:]

@@ -1,7 +1,10 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
+from argentum.llm import op10_mixing
+from argentum.llm.op1_outliers import op1_outliers
 from argentum.llm.op4_bpe import op4_bpe
 from argentum.llm.op5_ogg import op5_ogg
+from argentum.llm.op9_lines import op9_lines
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_ogg)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_outliers, op4_bpe, op5_ogg, op9_lines, op10_mixing.op10_mixing)}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": op10_mixing.ORACLE}
