@@ -54,7 +54,7 @@ def targets(sources: DataFrame) -> DataFrame:
     before = rising.rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumns({"_given": F.coalesce(F.sum("full").over(before), F.lit(0.0)), "_w_left": F.sum("w").over(rising.rowsBetween(0, W.unboundedFollowing)), "_all": SHARE * F.sum("source_size").over(whole)})
     s = s.withColumn("_level", (F.col("_all") - F.col("_given")) / F.col("_w_left"))
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") * F.col("w") <= F.col("full"), F.col("_level"))).over(whole))
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") * F.col("w") <= F.col("full"), F.col("_level"))).over(whole))
     target = F.least(F.col("full"), F.coalesce(F.col("_level") * F.col("w"), F.col("full")))
     return s.select("source", "n", "source_size", target.cast("double").alias("target"))
 
@@ -106,7 +106,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0 * sum(size)::DOUBLE A
              [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM s) - coalesce(sum(full_) OVER (ORDER BY full_ / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
              / sum(w) OVER (ORDER BY full_ / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-t AS (SELECT source, source_size, least(full_, (SELECT min(level) FROM r WHERE level * w <= full_) * w) AS target FROM r),
+t AS (SELECT source, source_size, least(full_, (SELECT max(level) FROM r WHERE level * w <= full_) * w) AS target FROM r),
 e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
