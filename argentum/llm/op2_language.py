@@ -26,7 +26,7 @@ from argentum.llm import common
 #: The sample: labelled texts drawn for a language, bytes of each that enter, bytes of a dictionary.
 SAMPLE_TEXTS, TEXT_BYTES, DICTIONARY_BYTES = 400, 1200, 96 << 10
 #: Bytes of a text that are encoded at once, level, and the margin below which a text is rejected.
-PIECE, LEVEL, MARGIN = 4096, 3, 0.01
+PIECE, LEVEL, MARGIN = 4096, 12, 0.01
 UNKNOWN = "und"
 
 
@@ -43,11 +43,11 @@ def sample(labelled: DataFrame, key: str, text: str, lang: str, texts: int = SAM
 
 
 def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A raw dictionary for each language: different texts, lower-cased, as far as they fit."""
+    """A raw dictionary for each language: different texts in plain letters, as far as they fit."""
     found: dict[str, dict[bytes, None]] = {}
     used: dict[str, int] = {}
     for lang, text in drawn:
-        raw = text.lower().encode("utf-8")[:TEXT_BYTES] + b"\n"
+        raw = plain(text)[:TEXT_BYTES]
         mine = found.setdefault(lang, {})
         if raw not in mine and used.get(lang, 0) + len(raw) <= size:
             mine[raw] = None
@@ -55,6 +55,13 @@ def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) ->
     return {lang: b"".join(mine) for lang, mine in sorted(found.items())}
 
 
+def plain(text: str) -> bytes:
+    """Lower-case letters, with one space for whatever lies between them."""
+    import regex
+
+    return (" " + regex.sub(r"\P{L}+", " ", text.lower()).strip() + " ").encode("utf-8")
+
+
 class Classifier:
     def __init__(self, raw: dict[str, bytes]):
         import regex
@@ -74,7 +81,7 @@ class Classifier:
         """(language, score, margin). The margin is the part by which the runner-up's size is larger."""
         if not self.langs or not text or not self.letter(text):
             return UNKNOWN, 0.0, 0.0
-        raw = text.lower().encode("utf-8")
+        raw = plain(text)
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
         sums = [sum(len(encode(p)) for p in pieces) for encode in self.encode]
         if len(sums) == 1:
