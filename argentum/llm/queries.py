@@ -1,13 +1,14 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from argentum.llm import op10_mixing
+from argentum.llm import op7_licenses, op10_mixing
 from argentum.llm.op1_outliers import op1_outliers
 from argentum.llm.op2_language import op2_language
+from argentum.llm.op3_urls import op3_urls
 from argentum.llm.op4_bpe import op4_bpe
 from argentum.llm.op5_ogg import op5_ogg
 from argentum.llm.op6_simhash import op6_simhash
 from argentum.llm.op8_substrings import op8_substrings
 from argentum.llm.op9_lines import op9_lines
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_language, op4_bpe, op5_ogg, op6_simhash, op8_substrings, op9_lines, op10_mixing.op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op10_mixing": op10_mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_language, op3_urls, op4_bpe, op5_ogg, op6_simhash, op7_licenses.op7_licenses, op8_substrings, op9_lines, op10_mixing.op10_mixing)}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": op7_licenses.ORACLE, "op10_mixing": op10_mixing.ORACLE}
