@@ -26,89 +26,112 @@ from pyspark.sql import functions as F
 from argentum.llm import common
 
 #: Bytes of texts whose new words are replayed together, and words that a worker keeps.
-BLOCK_BYTES, KEPT_WORDS = 8 << 20, 400_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 800_000
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each word: its bytes, with all merges applied in rank order.
+#: Bits of a token id, and the id that stands between words (no byte 255 occurs in UTF-8).
+ID_BITS = 20
+GAP, GAP_BYTE = (1 << ID_BITS) - 1, 255
+
+
+class Merges:
+    """All pairs of tokens that make a token: (left << ID_BITS | right) to its rank; and tables for single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        self.ranks = ranks
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
+                    self.pairs[a << ID_BITS | b] = rank
+        self.byte_id = np.full(256, GAP, np.int32)
+        self.byte_pair = np.full(1 << 16, -1, np.int32)
+        for x in range(255):
+            self.byte_id[x] = ranks[bytes([x])]
+            for y in range(255):
+                self.byte_pair[x << 8 | y] = get(bytes([x, y]), -1)
+
+
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """The ids of each word, little-endian unsigned 32-bit: its bytes, with all merges applied in rank order.
 
     Within a word the lowest rank comes first and, of equals, the leftmost; words don't depend on each
     other, so one pass over the ranks serves them all. A merge may give rise to a pair of a lower rank
     in its word: the word's later places then wait until that rank has been done.
     """
-    done: list[list[int] | None] = [None] * len(words)
-    parts: list[bytes] = []
-    follow: list[int] = []
-    before: list[int] = []
-    owner: list[int] = []
-    index: dict[int, list[int]] = {}
-    for w, word in enumerate(words):
-        if (whole := ranks.get(word)) is not None:
-            done[w] = [whole]
-            continue
-        first, n = len(parts), len(word)
-        parts += [word[i : i + 1] for i in range(n)]
-        follow += [*range(first + 1, first + n), -1]
-        before += [-1, *range(first, first + n - 1)]
-        owner += [w] * n
-        for i in range(n - 1):
-            if (rank := ranks.get(word[i : i + 2])) is not None:
-                index.setdefault(rank, []).append(first + i)
+    whole = [merges.ranks.get(w) for w in words]
+    data = b"".join(w + b"\xff" for w, id_ in zip(words, whole, strict=True) if id_ is None)
+    raw = np.frombuffer(data, np.uint8)
+    # The index: places of each rank, at first for pairs of bytes.
+    first = merges.byte_pair[raw[:-1].astype(np.int32) << 8 | raw[1:]] if len(raw) else np.array([], np.int32)
+    places = np.flatnonzero(first >= 0)
+    places = places[np.argsort(first[places], kind="stable")]
+    found, at = np.unique(first[places], return_index=True)
+    index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, at[1:]), strict=True)} if len(found) else {}
     heap = list(index)
     heapq.heapify(heap)
-    get = ranks.get
+    symbols = merges.byte_id[raw].tolist()
+    follow = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    get, listed = merges.pairs.get, index.get
     while heap:
         rank = heapq.heappop(heap)
         places = index.pop(rank, None)
         if places is None:
             continue
         places.sort()
-        waiting = -1  # the word whose remaining places wait
+        wait = -1  # the end of the word whose remaining places wait
         for i in places:
-            if owner[i] == waiting:
+            if i < wait:
                 index.setdefault(rank, []).append(i)
                 continue
-            left = parts[i]
-            j = follow[i]
-            if not left or j < 0:
+            left = symbols[i]
+            if left < 0:
                 continue
-            merged = left + parts[j]
-            if get(merged) != rank:
+            j = follow[i]
+            if get(left << ID_BITS | symbols[j]) != rank:
                 continue
-            parts[i], parts[j] = merged, b""
+            symbols[i], symbols[j] = rank, -1
             k = follow[i] = follow[j]
+            before[k] = i
+            lower = False
+            if (r := get(rank << ID_BITS | symbols[k])) is not None:
+                if (more := listed(r)) is not None:
+                    more.append(i)
+                else:
+                    index[r] = [i]
+                    heapq.heappush(heap, r)
+                lower = r < rank
             h = before[i]
-            if k >= 0:
-                before[k] = i
-                if (r := get(merged + parts[k])) is not None:
-                    if r not in index:
-                        index[r] = [i]
-                        heapq.heappush(heap, r)
-                    else:
-                        index[r].append(i)
-                    if r < rank:
-                        waiting = owner[i]
-            if h >= 0 and (r := get(parts[h] + merged)) is not None:
-                if r not in index:
+            if (r := get(symbols[h] << ID_BITS | rank)) is not None:
+                if (more := listed(r)) is not None:
+                    more.append(h)
+                else:
                     index[r] = [h]
                     heapq.heappush(heap, r)
-                else:
-                    index[r].append(h)
-                if r < rank:
-                    waiting = owner[i]
+                lower |= r < rank
+            if lower:
+                wait = data.index(GAP_BYTE, i)
         if rank in index:
             heapq.heappush(heap, rank)
-    last = -1
-    for i, part in enumerate(parts):
-        if part:
-            if (w := owner[i]) != last:
-                done[w], last = [], w
-            done[w].append(ranks[part])
-    return [x if x is not None else [] for x in done]
+    ids = np.array(symbols, np.int32)
+    ids = ids[ids >= 0]
+    gaps = np.flatnonzero(ids == GAP).tolist()
+    packed = ids.astype("<u4").tobytes()
+    out, start, gap = [], 0, iter(gaps)
+    for id_ in whole:
+        if id_ is None:
+            end = next(gap)
+            out.append(packed[4 * start : 4 * end])
+            start = end + 1
+        else:
+            out.append(id_.to_bytes(4, "little"))
+    return out
 
 
 class Coder:
@@ -117,7 +140,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_WORDS):
         import regex
 
-        self.ranks, self.split, self.kept, self.store = ranks, regex.compile(pattern).findall, kept, {}
+        self.merges, self.split, self.kept, self.store = Merges(ranks), regex.compile(pattern).findall, kept, {}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -125,11 +148,11 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.split(t) for t in texts]
-        if len(self.store) > self.kept:
-            self.store = {}
-        fresh = list({w for words in cut for w in words} - self.store.keys())
-        for word, ids in zip(fresh, replay([w.encode("utf-8") for w in fresh], self.ranks), strict=True):
-            self.store[word] = np.array(ids, "<u4").tobytes()
+        met = set().union(*cut)
+        if len(self.store) > self.kept:  # the words of this block are the likeliest to come again
+            self.store = {w: self.store[w] for w in met & self.store.keys()}
+        fresh = list(met - self.store.keys())
+        self.store.update(zip(fresh, replay([w.encode("utf-8") for w in fresh], self.merges), strict=True))
         get = self.store.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
@@ -176,6 +199,22 @@ def digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """The rows, all their columns as they were, with n_tokens, ids, ids_sha256 and decoded_sha256."""
+    path, pattern = vocabulary()
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, pattern)
+        for piece in common.pieces(batches, "text", BLOCK_BYTES):
+            ids = coder.encode([x or "" for x in piece.column(names.index("text")).to_pylist()])
+            added = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids])]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *added], names=[*names, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))
 
