@@ -35,9 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, with no lineage before them."""
+    """The same rows, computed once and kept in the shared folder, with no lineage before them.
+
+    A checkpoint also keeps the constraints that Spark has inferred for the rows. Over many rounds these
+    multiply until the driver has no memory left, so none are inferred here.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, was)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

@@ -105,6 +105,18 @@ def predict(df: DataFrame, key: str, text: str, raw: dict[str, bytes], margin: f
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
 
 
+def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows, all their columns as they were, whose language isn't rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(raw)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            yield batch.filter(pa.array([classify(x.as_py())[2] >= margin for x in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 

@@ -245,6 +245,24 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE,
     return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
+def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows, all their columns as they were, of which each component keeps one: that with the smallest key.
+
+    Of rows with the same key the one whose columns hash smallest stays; rows without a key follow all others.
+    """
+    names = df.columns
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(*names).alias("h"))
+    marked = df.withColumn("_row", row)
+    rows = common.cut(fingerprints(marked.select("_row", text), "_row", text))
+    distinct = common.cut(rows.groupBy("fp").agg(F.min("_row").alias("_least")))
+    found = components(links(distinct.select("fp")))
+    groups = distinct.join(found, distinct["fp"] == found["node"], "left").select("_least", F.coalesce("root", "fp").alias("root"))
+    stay = common.cut(groups.groupBy("root").agg(F.min("_least").alias("_stay")).select("_stay"))
+    kept = marked.join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
+    # Rows that are equal in every column have one hash; they are one.
+    return kept.dropDuplicates(["_row"]).select(*names)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = near_duplicates(docs, "doc_id", "text")
