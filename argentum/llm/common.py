@@ -37,17 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder, with no lineage before them.
 
-    A checkpoint also keeps the constraints that Spark has inferred for the rows. Over many rounds these
-    multiply until the driver has no memory left, so none are inferred here.
+    A checkpoint also keeps what Spark has inferred of the rows: constraints, partitionings, and a size that
+    each join multiplies. Over many rounds these grow until the driver has no time and memory left. So the
+    checkpoint's rows get a plan of their own, of which nothing is known but the schema.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    shared_dir(df.sparkSession)
-    was = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, was)
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
