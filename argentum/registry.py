@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from argentum.plans import pixel_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pixel_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Contrast by table join, error metrics by channel with exact ranks, grade."""
+    return pixel_queries.graded_contrast(spark, sf_dir)
