@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.plans import pixel_queries
+from argentum.plans import file_queries, pixel_queries, relation_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**pixel_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES, **relation_queries.QUERIES, **file_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pixel_queries.SQL, **relation_queries.SQL, **file_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
