@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -80,7 +80,7 @@ def ship(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    import pyarrow.compute  # noqa: F401  pieces() reads pa.compute
-
-    return df.mapInArrow(function, schema)
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches of texts that go to Python hold some MB, so that workers and the JVM's buffers stay small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, most)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from argentum.llm import common
 
 #: Bytes of texts whose new words are replayed together, and words that a worker keeps.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 800_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 500_000
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -182,6 +182,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataF
             ids = coder.encode([x or "" for x in piece.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([coder.decode(x) for x in ids], pa.binary())], names=[key, "ids", "n_tokens", "decoded"])
 
+    common.small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids binary, n_tokens bigint, decoded binary")
 
@@ -211,6 +212,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
             added = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids])]
             yield pa.RecordBatch.from_arrays([*piece.columns, *added], names=[*names, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
+    common.small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
 

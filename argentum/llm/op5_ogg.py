@@ -246,6 +246,7 @@ def to_ogg(df: DataFrame, key: str, text: str, media: str = "media") -> DataFram
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from each text's Ogg file; nothing is shuffled."""
+    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_digests, SCHEMA)
 

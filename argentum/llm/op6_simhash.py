@@ -70,6 +70,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=[key, "fp"])
 
+    common.small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
