@@ -26,19 +26,19 @@ from argentum.llm import common
 #: The sample: labelled texts drawn for a language, bytes of each that enter, bytes of a dictionary.
 SAMPLE_TEXTS, TEXT_BYTES, DICTIONARY_BYTES = 400, 1200, 96 << 10
 #: Bytes of a text that are encoded at once, level, and the margin below which a text is rejected.
-PIECE, LEVEL, MARGIN = 4096, 12, 0.01
+PIECE, LEVEL, MARGIN = 4096, 11, 0.01
 UNKNOWN = "und"
 
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """(language, text) of at most about 1.5 times `texts` rows for each language, drawn by a hash of the key."""
+    """(language, plain text) of at most about 1.5 times `texts` rows for each language, drawn by a hash of the key."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = dict(rows.groupBy(lang).count().collect())
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 1.25 * texts / n)]), F.col(lang))
-    drawn = rows.filter(draw < share).select(F.col(lang), F.col(text).substr(1, TEXT_BYTES), draw.alias("d"), F.xxhash64(text).alias("t"))
+    drawn = rows.filter(draw < share).select(F.col(lang), plain(F.col(text)).substr(1, TEXT_BYTES), draw.alias("d"), F.xxhash64(text).alias("t"))
     return [(r[0], r[1]) for r in sorted(drawn.collect(), key=lambda r: (r[0], r[2], r[3]))]
 
 
@@ -47,7 +47,7 @@ def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) ->
     found: dict[str, dict[bytes, None]] = {}
     used: dict[str, int] = {}
     for lang, text in drawn:
-        raw = plain(text)[:TEXT_BYTES]
+        raw = text.encode("utf-8")[:TEXT_BYTES]
         mine = found.setdefault(lang, {})
         if raw not in mine and used.get(lang, 0) + len(raw) <= size:
             mine[raw] = None
@@ -55,20 +55,17 @@ def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) ->
     return {lang: b"".join(mine) for lang, mine in sorted(found.items())}
 
 
-def plain(text: str) -> bytes:
-    """Lower-case letters, with one space for whatever lies between them."""
-    import regex
-
-    return (" " + regex.sub(r"\P{L}+", " ", text.lower()).strip() + " ").encode("utf-8")
+def plain(text: Column) -> Column:
+    """Lower-case letters, with one space for whatever lies between them and at the ends; without a letter, a space."""
+    letters = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+", " "))
+    return F.concat(F.lit(" "), letters, F.lit(" "))
 
 
 class Classifier:
     def __init__(self, raw: dict[str, bytes]):
-        import regex
         import zstandard
 
         self.langs = list(raw)
-        self.letter = regex.compile(r"\p{L}").search
         self.encode = []
         # All dictionaries get the length of the shortest, so that none is better for being longer.
         size = min(map(len, raw.values()), default=0)
@@ -77,11 +74,10 @@ class Classifier:
             d.precompute_compress(level=LEVEL)
             self.encode.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def __call__(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, margin). The margin is the part by which the runner-up's size is larger."""
-        if not self.langs or not text or not self.letter(text):
+    def __call__(self, raw: bytes) -> tuple[str, float, float]:
+        """(language, score, margin) of a plain text. The margin is the part by which the runner-up's size is larger."""
+        if not self.langs or not raw.strip():
             return UNKNOWN, 0.0, 0.0
-        raw = plain(text)
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
         sums = [sum(len(encode(p)) for p in pieces) for encode in self.encode]
         if len(sums) == 1:
@@ -98,11 +94,12 @@ def predict(df: DataFrame, key: str, text: str, raw: dict[str, bytes], margin: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(raw)
         for batch in batches:
-            got = [classify(x.as_py()) for x in batch.column(1)]
+            got = [classify(x.as_buffer().to_pybytes()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] < margin for g in got], pa.bool_())], names=[key, "lang_pred", "score", "rejected"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
+    common.small_batches(df.sparkSession)
+    return df.select(F.col(key), plain(F.col(text))).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -111,10 +108,11 @@ def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(raw)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            yield batch.filter(pa.array([classify(x.as_py())[2] >= margin for x in texts], pa.bool_()))
+            stay = pa.array([classify(x.as_buffer().to_pybytes())[2] >= margin for x in batch.columns[-1]], pa.bool_())
+            yield batch.select(range(batch.num_columns - 1)).filter(stay)
 
-    return df.mapInArrow(run, df.schema)
+    common.small_batches(df.sparkSession)
+    return df.select("*", plain(F.col(text)).alias("_plain")).mapInArrow(run, df.schema)
 
 
 def held_out(key: Column) -> Column:
