@@ -34,6 +34,8 @@ from argentum.llm import common
 WINDOW, BASE = 20, 5
 #: Bytes of texts in a slot, of a block that is hashed at once, and windows in a range.
 SLOT_BYTES, BLOCK, RANGE_WINDOWS = 3 << 20, 4 << 20, 1_500_000
+#: Buckets of the table of slots at most (Spark allows 100 000); beyond that a bucket holds several tasks' files.
+MOST_BUCKETS = 50_000
 U = np.uint64
 _R = 0x9E3779B97F4A7C15
 FILTER, FULL = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u4")])
@@ -355,8 +357,9 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = WINDOW, bas
         lengths.append(2 * lengths[-1])
     if lengths[-1] != window:
         raise ValueError("window must be base times a power of two")
+    common.small_batches(spark)
     slim = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = max(1, slim.rdd.getNumPartitions())
+    n = min(max(1, slim.rdd.getNumPartitions()), MOST_BUCKETS)
     name, path = f"argentum_slots_{uuid.uuid4().hex}", common.shared_path(spark, "slots")
     slots = slim.mapInArrow(_slots(n), "slot bigint, seq bigint, size bigint, doc_id bigint, text string")
     slots.write.bucketBy(n, "slot").option("compression", "zstd").option("path", path).saveAsTable(name)
