@@ -26,9 +26,10 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
 #: Share of a group that gives the estimate, concentration steps, rows that a group needs.
 CORE, STEPS, MIN_ROWS = 0.75, 4, 100
-#: The cutoff of the squared distance: far beyond the 0.9999 quantile of chi-square with 4 degrees of
-#: freedom (23.5), as the statistics of clean prose have heavier tails than the normal distribution.
-CUTOFF, CHI2_MEDIAN = 40.0, 3.3567
+#: The cutoff of the squared distance. It lies far beyond the 0.9999 quantile of chi-square with 4 degrees of
+#: freedom (23.5), as the statistics of clean prose have heavier tails than the normal distribution: prose
+#: with a few repeated lines reaches 100, text full of symbols begins at 400.
+CUTOFF, CHI2_MEDIAN = 150.0, 3.3567
 #: Standard deviations below which no statistic of a group is taken to vary.
 FLOORS = {"x_length": 0.04, "x_symbols": 0.05, "x_lines": 0.08, "x_repeats": 0.08}
 X = list(FLOORS)
