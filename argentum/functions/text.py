@@ -80,3 +80,30 @@ def height(count: Column, top: Column, kind: str) -> Column:
     """A bar's part of the full height: linear, sqrt, log or cbrt; 0 without a largest count."""
     f = {"linear": lambda x: x.cast("double"), "sqrt": F.sqrt, "log": F.log1p, "cbrt": F.cbrt}[kind]
     return F.when(top > 0, f(count) / F.nullif(f(top), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def patch_scalar(xml: Column, key: str, value: str) -> Column:
+    """The number after the first such key replaced; without the key nothing changes."""
+    return F.regexp_replace(xml, f"(?s)^(.*?<key>{key}</key>\\s*<(?:integer|real)>)[^<]*(</.*)$", f"$1{value}$2")
+
+
+def patch_array(xml: Column, key: str, values: list[int]) -> Column:
+    """The first array after the first such key filled with whole numbers; without the key nothing changes."""
+    body = "".join(f"<integer>{v}</integer>" for v in values)
+    return F.regexp_replace(xml, f"(?s)^(.*?<key>{key}</key>.*?<array>).*?(</array>.*)$", f"$1{body}$2")
+
+
+def insert_after(xml: Column, anchor: str, key: str, value: str, kind: str = "integer") -> Column:
+    """A key and its number put behind the number of another key."""
+    return F.regexp_replace(xml, f"(?s)^(.*?<key>{anchor}</key>\\s*<(?:integer|real)>[^<]*</(?:integer|real)>)(.*)$", f"$1<key>{key}</key><{kind}>{value}</{kind}>$2")
+
+
+def ints_of(text: Column, separator: str = ",") -> Column:
+    """The whole numbers among the parts of a text; other parts go."""
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull())
+
+
+def classify_preset(name: Column) -> Column:
+    """tone, color or adv by a preset name's beginning."""
+    starts = lambda *words: name.rlike("^(" + "|".join(words) + ")")
+    return F.when(starts("contrast", "brightness", "lightness", "gamma", "ev"), "tone").when(starts("saturation", "temperature", "tint"), "color").otherwise("adv")
