@@ -95,13 +95,15 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows, all their columns as they were, each as often as the mix takes it. Equal rows are taken alike."""
+    # The caller's columns travel in a struct, where no name can clash.
     names = docs.columns
-    marked = docs.withColumn("_row", F.struct(F.col("doc_id").alias("k"), F.xxhash64(*names).alias("h")))
-    slim = marked.select("_row", F.col("doc_id").cast("string").alias("key"), "source", F.col("text").cast("string").alias("text")).withColumn("size", F.size(common.words(F.col("text"))).cast("bigint"))
+    marked = docs.select(F.struct(F.col("doc_id").alias("k"), F.xxhash64(*names).alias("h")).alias("_row"), F.struct(*names).alias("_all"))
+    text = F.col("_all")["text"].cast("string")
+    slim = marked.select("_row", F.col("_row.k").cast("string").alias("key"), F.col("_all")["source"].alias("source"), text.alias("text")).withColumn("size", F.size(common.words(F.col("text"))).cast("bigint"))
     drawn = mix(slim, "key", "source", F.col("size"), quality(F.col("size"), F.col("text")), {"_row": F.col("_row")})
     copies = common.cut(drawn.filter("copies > 0").groupBy("_row").agg(F.max("copies").alias("_copies")))
     taken = marked.join(copies.withColumnRenamed("_row", "_r"), F.col("_row").eqNullSafe(F.col("_r")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(*names)
+    return taken.select("_all", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select("_all.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

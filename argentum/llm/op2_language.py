@@ -112,7 +112,8 @@ def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN
             yield batch.select(range(batch.num_columns - 1)).filter(stay)
 
     common.small_batches(df.sparkSession)
-    return df.select("*", plain(F.col(text)).alias("_plain")).mapInArrow(run, df.schema)
+    last = "_".join(["plain", *df.columns])  # longer than any name there is, so it can't clash
+    return df.select("*", plain(F.col(text)).alias(last)).mapInArrow(run, df.schema)
 
 
 def held_out(key: Column) -> Column:

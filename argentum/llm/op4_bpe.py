@@ -201,9 +201,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """The rows, all their columns as they were, with n_tokens, ids, ids_sha256 and decoded_sha256."""
+    """The rows with n_tokens, ids, ids_sha256 and decoded_sha256. Columns of those names are replaced; all others stay."""
     path, pattern = vocabulary()
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")]
+    docs = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)

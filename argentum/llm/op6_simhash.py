@@ -253,15 +253,16 @@ def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     names = df.columns
     row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(*names).alias("h"))
-    marked = df.withColumn("_row", row)
-    rows = common.cut(fingerprints(marked.select("_row", text), "_row", text))
+    # The caller's columns travel in a struct, where no name can clash.
+    marked = df.select(row.alias("_row"), F.struct(*names).alias("_all"), F.col(text).alias("_t"))
+    rows = common.cut(fingerprints(marked.select("_row", "_t"), "_row", "_t"))
     distinct = common.cut(rows.groupBy("fp").agg(F.min("_row").alias("_least")))
     found = components(links(distinct.select("fp")))
     groups = distinct.join(found, distinct["fp"] == found["node"], "left").select("_least", F.coalesce("root", "fp").alias("root"))
     stay = common.cut(groups.groupBy("root").agg(F.min("_least").alias("_stay")).select("_stay"))
-    kept = marked.join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
+    kept = marked.select("_row", "_all").join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
     # Rows that are equal in every column have one hash; they are one.
-    return kept.dropDuplicates(["_row"]).select(*names)
+    return kept.dropDuplicates(["_row"]).select("_all.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

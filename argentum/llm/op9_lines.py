@@ -121,20 +121,28 @@ def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame |
     return long.join(gone.groupBy(*ROW).agg(F.collect_list("line").alias("_gone")), ROW, "left")
 
 
+COUNTS = ["n_lines", "n_removed", "longest_run"]
+
+
 def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
-    """The rows with the text cleaned, and n_lines, n_removed and longest_run (lines with a word) beside them."""
+    """The rows with the text cleaned, and n_lines, n_removed and longest_run (lines with a word) behind them.
+
+    Columns of those three names are replaced; all others stay as they are.
+    """
     gone = later_copies(doubling(line_ids(df, key, text)), min_run)
     if gone is None:
         gone = df.sparkSession.createDataFrame([], "_doc bigint, _text bigint, _gone array<int>, longest bigint")
-    row = _row_key(key, text)
     gone = gone.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_gone", "longest")
-    out = df.withColumns({"_doc": row[0], "_text": row[1]}).join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
-    out = out.withColumn("_lines", F.split(F.col(text), "\n"))
+    # The caller's columns travel in a struct, where no name can clash.
+    names = [c for c in df.columns if c not in COUNTS]
+    rows = df.select(F.struct(*[c for c in names if c != text]).alias("_others"), F.col(text).alias("_old"), F.split(F.col(text), "\n").alias("_lines"), *_row_key(key, text))
+    out = rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     n = F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(n).cast("bigint"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), "longest_run": F.coalesce("longest", F.lit(0)).cast("bigint")})
-    return out.withColumn(text, F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text))).drop("_doc", "_text", "_d", "_t", "_gone", "longest", "_lines")
+    cleaned = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_old"))
+    counts = [F.when(F.col("_old").isNull(), 0).otherwise(n).cast("bigint"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), F.coalesce("longest", F.lit(0)).cast("bigint")]
+    return out.select(*[cleaned.alias(c) if c == text else F.col("_others")[c].alias(c) for c in names], *[c.alias(k) for k, c in zip(COUNTS, counts, strict=True)])
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

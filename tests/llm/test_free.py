@@ -260,3 +260,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in e.collect()} <= {r.doc_id for r in d.collect()}
     assert f.count() == e.count() and all(hashlib.sha256(r.text.encode()).hexdigest() == r.decoded_sha256 for r in f.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == f.count()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from argentum.llm import op9_lines, op10_mixing
+
+    odd = "_row _all _t _doc _text _d _gone longest _lines _plain fp ids n_lines size _key list node root".split()
+    docs = frame(spark).drop("kept").selectExpr("*", *[f"'{c}' AS `{c}`" for c in odd])
+    raw = op2_language.learn(docs)
+    for out, names in (
+        (op2_language.keep(docs, "text", raw), docs.columns),
+        (op9_lines.remove_repeated_lines(docs, "doc_id", "text"), [c for c in docs.columns if c != "n_lines"] + op9_lines.COUNTS),
+        (op6_simhash.keep_first(docs, "doc_id", "text"), docs.columns),
+        (op10_mixing.repeat(docs), docs.columns),
+        (op4_bpe.tokenised(docs), [c for c in docs.columns if c != "ids"] + ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]),
+    ):
+        rows = out.collect()
+        assert out.columns == names and rows
+        assert all(r[c] == c for r in rows for c in odd if c not in ("ids", "n_lines"))
