@@ -59,6 +59,15 @@ def affine(df: DataFrame, gains: tuple[float, float, float], offsets: tuple[floa
     return df.withColumns({c: F.expr(f"CAST(floor(greatest(0D, least(65535D, {c} * {g!r}D + {o!r}D * 257D))) AS BIGINT)") for c, g, o in zip(RGB, gains, offsets, strict=True)})
 
 
+# Gains and 8-bit offsets for colour negatives, with and without an input profile.
+NEGATIVE_CALIBRATION = {True: ((1.06, 1.04, 0.97), (-17.54, -13.26, 17.28)), False: ((1.01, 1.05, 0.96), (-3.07, -16.64, 8.66))}
+
+
+def calibrate_negative(df: DataFrame, film_type: int, profile: str | None) -> DataFrame:
+    """The affine calibration of colour negatives (film type 1); other films stay as they are."""
+    return affine(df, *NEGATIVE_CALIBRATION[bool((profile or "").strip())]) if film_type == 1 else df
+
+
 def gains(df: DataFrame, factors: tuple[float, float, float]) -> DataFrame:
     """v * factor for each channel, rounded and held within 16 bits."""
     return df.withColumns({c: F.expr(f"CAST(greatest(0D, least(65535D, floor({c} * {f!r}D + 0.5D))) AS BIGINT)") for c, f in zip(RGB, factors, strict=True)})
