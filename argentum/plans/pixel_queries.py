@@ -278,11 +278,11 @@ def grade_counts(spark, sf_dir):
     return agg.error_stats(pixels.long(px(spark, sf_dir)), ["image_id"]).groupBy("grade").agg(F.count("*").alias("n"))
 
 
-@query("{px} {long} SELECT coalesce(image_id::VARCHAR, 'TOTAL') AS image, count(*) FILTER (WHERE grade = 'STRICT') AS strict, count(*) FILTER (WHERE grade = 'PASS') AS pass, count(*) FILTER (WHERE grade = 'WARN') AS warn, count(*) FILTER (WHERE grade = 'FAIL') AS fail, avg(mae_16) AS mae FROM (" + _errors("image_id, ch") + ") GROUP BY ROLLUP (image_id)")
+@query("{px} {long} SELECT coalesce(image_id::VARCHAR, 'TOTAL') AS image, count(*) FILTER (WHERE grade = 'STRICT') AS strict, count(*) FILTER (WHERE grade = 'PASS') AS pass, count(*) FILTER (WHERE grade = 'WARN') AS warn, count(*) FILTER (WHERE grade = 'FAIL') AS fail, round(avg(mae_16), 9) AS mae FROM (" + _errors("image_id, ch") + ") GROUP BY ROLLUP (image_id)")
 def grand_summary(spark, sf_dir):
     stats = agg.error_stats(pixels.long(px(spark, sf_dir)), ["image_id", "ch"])
     of = lambda g: F.count_if(F.col("grade") == g)
-    return stats.rollup("image_id").agg(of("STRICT").alias("strict"), of("PASS").alias("pass"), of("WARN").alias("warn"), of("FAIL").alias("fail"), F.avg("mae_16").alias("mae")).select(F.coalesce(F.col("image_id").cast("string"), F.lit("TOTAL")).alias("image"), "strict", "pass", "warn", "fail", "mae")
+    return stats.rollup("image_id").agg(of("STRICT").alias("strict"), of("PASS").alias("pass"), of("WARN").alias("warn"), of("FAIL").alias("fail"), F.round(F.avg("mae_16"), 9).alias("mae")).select(F.coalesce(F.col("image_id").cast("string"), F.lit("TOTAL")).alias("image"), "strict", "pass", "warn", "fail", "mae")
 
 
 @query("{px} {long} SELECT ch, quantile_disc(abs(v - ref), 0.5) AS p50, quantile_disc(abs(v - ref), 0.95) AS p95 FROM long GROUP BY 1")
