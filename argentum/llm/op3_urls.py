@@ -32,6 +32,8 @@ MIN_LABELLED, DIFFERS = 5, 2.0
 #: Smoothing: votes of the prior, the prior's purity, and the purity under which a template is rejected.
 PRIOR_VOTES, PRIOR_PURITY, LIMIT = 10.0, 0.7, 0.5
 
+#: What becomes <n>: long hexadecimal words and runs of digits.
+NUMBERS = r"\b[0-9a-f]{8,}\b|[0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,7 +57,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, bool]] = RULES) -
 
 def shapes(path: Column) -> Column:
     """The path's segments with numbers made general; those past MAX_DEPTH in one."""
-    parts = F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), lambda s: F.regexp_replace(s, r"[0-9]+|(?<![0-9A-Za-z])[0-9a-f]{8,}(?![0-9A-Za-z])", "<n>"))
+    parts = F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), lambda s: F.regexp_replace(s, NUMBERS, "<n>"))
     return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
 
 
@@ -74,9 +76,10 @@ def templates(paths: DataFrame) -> DataFrame:
         rated = branches.join(nodes, ["host", "template"])
         constant = (F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * F.col("all_n"))
         others = F.col("all_n_labelled") - F.col("n_labelled")
-        mine, rest = F.col("n_good") / F.col("n_labelled"), (F.col("all_n_good") - F.col("n_good")) / others
-        pooled = F.col("all_n_good") / F.col("all_n_labelled")
-        spread = F.sqrt(pooled * (1 - pooled) * (1.0 / F.col("n_labelled") + 1.0 / others))
+        some = lambda n: F.nullif(n, F.lit(0))
+        mine, rest = F.col("n_good") / some(F.col("n_labelled")), (F.col("all_n_good") - F.col("n_good")) / some(others)
+        pooled = F.col("all_n_good") / some(F.col("all_n_labelled"))
+        spread = F.sqrt(pooled * (1 - pooled) * (1.0 / some(F.col("n_labelled")) + 1.0 / some(others)))
         told = (F.col("n_labelled") >= MIN_LABELLED) & (others >= MIN_LABELLED)
         differs = told & (F.abs(mine - rest) >= DIFFERS * spread) & (spread > 0)
         # "*": variable or alike; "?": constant and never labelled; too few labels to compare leave a branch as it is
@@ -105,3 +108,34 @@ def judge(df: DataFrame, key: str, url: str, rules: list[tuple[str, bool]] = RUL
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url")
+
+
+def oracle(rules: list[tuple[str, bool]] = RULES) -> str:
+    """The same judgement in DuckDB's SQL, one level of the tree after another."""
+    cases = []
+    for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        h, _, p = rule.partition("/")
+        cases.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{rule}'")
+    good = ", ".join(f"'{r}'" for r, ok in rules if ok)
+    parts = f"[regexp_replace(x, '{NUMBERS}', '<n>', 'g') FOR x IN string_split(path, '/')[2:]]"
+    steps = [
+        "rest AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS r FROM pages)",
+        f"u0 AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM rest)",
+        f"u1 AS (SELECT *, CASE {' '.join(cases)} END AS rule, {parts} AS p FROM u0)",
+        f"u AS (SELECT * EXCLUDE (p), CASE WHEN len(p) > {MAX_DEPTH} THEN list_concat(p[:{MAX_DEPTH - 1}], ['**']) ELSE p END AS shape FROM u1)",
+        f"t0 AS (SELECT host, shape, count(*) AS n, count(rule) AS nl, coalesce(count(*) FILTER (WHERE rule IN ({good})), 0) AS ng, '' AS template FROM u GROUP BY host, shape)",
+    ]
+    for k in range(MAX_DEPTH):
+        told = f"nl >= {MIN_LABELLED} AND al - nl >= {MIN_LABELLED}"
+        spread = "sqrt((ag / al) * (1 - ag / al) * (1.0::DOUBLE / nl + 1.0::DOUBLE / (al - nl)))"
+        differs = f"{told} AND abs(ng / nl - (ag - ng) / (al - nl)) >= {DIFFERS}::DOUBLE * {spread} AND {spread} > 0"
+        steps += [
+            f"h{k} AS (SELECT *, shape[{k + 1}] AS segment FROM t{k} WHERE len(shape) > {k})",
+            f"b{k} AS (SELECT host, template, segment, sum(n) AS n, sum(nl)::DOUBLE AS nl, sum(ng)::DOUBLE AS ng FROM h{k} GROUP BY ALL)",
+            f"r{k} AS (SELECT *, sum(n) OVER w AS a, sum(nl) OVER w AS al, sum(ng) OVER w AS ag FROM b{k} WINDOW w AS (PARTITION BY host, template))",
+            f"m{k} AS (SELECT host, template, segment, CASE WHEN NOT (n >= {MIN_ROWS} AND n >= {MIN_SHARE}::DOUBLE * a) THEN '*' WHEN nl = 0 THEN '?' WHEN NOT ({told}) THEN segment WHEN {differs} THEN segment ELSE '*' END AS name FROM r{k})",
+            f"t{k + 1} AS (SELECT host, shape, n, nl, ng, template || '/' || name AS template FROM h{k} JOIN m{k} USING (host, template, segment) UNION ALL SELECT host, shape, n, nl, ng, template FROM t{k} WHERE len(shape) <= {k})",
+        ]
+    last = f"t{MAX_DEPTH}"
+    steps.append(f"v AS (SELECT host, template, (sum(ng) + {PRIOR_VOTES * PRIOR_PURITY}::DOUBLE) / (sum(nl) + {PRIOR_VOTES}::DOUBLE) AS purity FROM {last} GROUP BY ALL)")
+    return f"WITH {', '.join(steps)} SELECT page_id, host, path, rule, CASE WHEN coalesce(rule IN ({good}), purity >= {LIMIT}) THEN 'allow' ELSE 'block' END AS verdict, template, purity FROM u JOIN {last} USING (host, shape) JOIN v USING (host, template)"

@@ -149,3 +149,27 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, longest_run, kept_sha256 (of the text that stays; null for a null text)."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_lines(docs, "doc_id", "text").select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _common(a: str, b: str) -> str:
+    """Length of the common prefix of two lists in DuckDB's SQL."""
+    n = f"least(len({a}), len({b}))"
+    return f"coalesce(list_min([i FOR i IN range(1, {n} + 1) IF {a}[i] <> {b}[i]]) - 1, {n}, 0)"
+
+
+ORACLE = rf"""
+WITH lines AS (SELECT doc_id, i, ls[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM lines WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+pairs AS (SELECT doc_id, pos, t || chr(10) || lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM w),
+f AS (SELECT s, min(struct_pack(a := doc_id, b := pos)) AS f FROM pairs WHERE s IS NOT NULL GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM pairs JOIN f USING (s) WHERE struct_pack(a := doc_id, b := pos) > f),
+goneline AS (SELECT doc_id, i FROM w JOIN gone USING (doc_id, pos)),
+kept AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN goneline USING (doc_id, i) GROUP BY doc_id),
+seq AS (SELECT doc_id, list(hash(t) ORDER BY pos) AS s FROM w GROUP BY doc_id),
+suffix AS (SELECT doc_id, s[p:] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS p FROM seq)),
+near AS (SELECT doc_id, s, lag(s) OVER o AS a, lead(s) OVER o AS b FROM suffix WINDOW o AS (ORDER BY s)),
+run AS (SELECT doc_id, max(greatest(CASE WHEN a IS NULL THEN 0 ELSE {_common("s", "a")} END, CASE WHEN b IS NULL THEN 0 ELSE {_common("s", "b")} END)) AS longest FROM near GROUP BY doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM goneline g WHERE g.doc_id = d.doc_id) AS n_removed,
+       coalesce(longest, 0)::BIGINT AS longest_run, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN run USING (doc_id)
+"""
