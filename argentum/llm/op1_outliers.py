@@ -171,4 +171,67 @@ def judge(df: DataFrame, key: str, text: str, by: list[str], min_rows: int = MIN
 
 def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source")
-    return judge(docs, "doc_id", "text", ["lang", "source"])
+    return judge(docs, "doc_id", "text", ["lang", "source"]).withColumn("distance", F.round(F.coalesce("distance", F.lit(-1.0)), 4))
+
+
+def oracle() -> str:
+    """The same estimates in DuckDB's SQL, one concentration step after another."""
+    p = len(X)
+    word = r"[^\x20\x09-\x0D]+"
+    name = lambda c: f"coalesce('=' || {c}, '-')"
+
+    def quantile(table: str, bin_: str, share: float) -> str:
+        counts = f"SELECT g, {bin_} AS b, count(*) AS n FROM {table} GROUP BY ALL"
+        return f"SELECT g, min(b) AS b FROM (SELECT g, b, sum(n) OVER (PARTITION BY g ORDER BY b) AS up, sum(n) OVER (PARTITION BY g) AS al FROM ({counts})) WHERE up >= {share}::DOUBLE * al GROUP BY g"
+
+    def distance(e: str) -> str:
+        y: list[str] = []
+        for i, x in enumerate(X):
+            rest = f"({x} - {e}.m_{x}" + "".join(f" - {e}.l_{i}_{j} * {y[j]}" for j in range(i)) + ")"
+            y.append(f"({rest} / {e}.l_{i}_{i})")
+        return " + ".join(f"{v} * {v}" for v in y)
+
+    fine = "0.00390625::DOUBLE"
+    steps = [
+        f"d AS (SELECT doc_id, coalesce(text, '') AS t, lang, source, regexp_extract_all(coalesce(text, ''), '{word}') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{word}')] AS ls FROM documents)",
+        f"win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d))",
+        "rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1)",
+        f"cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM rep) GROUP BY doc_id)",
+        f"c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id))",
+        f"x AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed, ln((word_chars + 300::DOUBLE) / (n_words + 50::DOUBLE)) AS x_length, ln(1 + 10::DOUBLE * n_symbols / (n_words + 50::DOUBLE)) AS x_symbols, sqrt(n_dup_lines / (n_lines + 4::DOUBLE)) AS x_lines, sqrt(n_repeat_words / (n_words + 50::DOUBLE)) AS x_repeats FROM c)",
+        f"f AS (SELECT *, {name('lang')} || chr(1) || {name('source')} AS g0 FROM x)",
+        f"gs AS (SELECT g0, count(*) AS k FROM f WHERE NOT base_failed GROUP BY 1 HAVING count(*) >= {MIN_ROWS})",
+        f"a AS (SELECT f.*, CASE WHEN k IS NOT NULL THEN g0 ELSE {name('lang')} || chr(1) || '+' END AS g FROM f LEFT JOIN gs USING (g0))",
+        "u AS MATERIALIZED (SELECT * FROM a WHERE NOT base_failed)",
+    ]
+    for x in X:
+        steps.append(f"q_{x} AS ({quantile('u', f'floor({x} / {fine})::BIGINT', 0.5)})")
+    steps.append("st AS (SELECT q_x_length.g, " + ", ".join(f"(q_{x}.b + 0.5::DOUBLE) * {fine} AS m_{x}" for x in X) + " FROM q_x_length " + " ".join(f"JOIN q_{x} USING (g)" for x in X[1:]) + ")")
+    for x in X:
+        steps.append(f"v_{x} AS ({quantile('(SELECT u.*, m_' + x + ' FROM u JOIN st USING (g))', f'floor(abs({x} - m_{x}) / {fine})::BIGINT', 0.5)})")
+    diagonal = [f"{'greatest(1.4826::DOUBLE * (v_' + X[i] + '.b + 0.5::DOUBLE) * ' + fine + ', ' + repr(FLOORS[X[i]]) + '::DOUBLE)' if i == j else '0::DOUBLE'} AS l_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    steps.append("e0 AS MATERIALIZED (SELECT st.g, " + ", ".join(f"m_{x}" for x in X) + ", " + ", ".join(diagonal) + " FROM st " + " ".join(f"JOIN v_{x} USING (g)" for x in X) + ")")
+    for k in range(STEPS):
+        e = f"e{k}"
+        steps.append(f"b{k} AS MATERIALIZED (SELECT u.*, floor(ln({distance(e)} + 1e-6::DOUBLE) / 0.03125::DOUBLE)::BIGINT AS b FROM u JOIN {e} USING (g))")
+        steps.append(f"k{k} AS ({quantile(f'b{k}', 'b', CORE)})")
+        sums = [f"sum({x}) AS s_{x}" for x in X] + [f"sum({X[i]} * {X[j]}) AS q_{i}_{j}" for i in range(p) for j in range(i + 1)]
+        steps.append(f"c{k} AS (SELECT b{k}.g, count(*)::DOUBLE AS n, {', '.join(sums)} FROM b{k} JOIN k{k} ON b{k}.g = k{k}.g AND b{k}.b <= k{k}.b GROUP BY 1)")
+        before = f"c{k}"
+        steps.append(f"c{k}_m AS (SELECT *, {', '.join(f's_{x} / n AS m_{x}' for x in X)} FROM {before})")
+        before = f"c{k}_m"
+        for i in range(p):
+            for j in range(i + 1):
+                v = f"(q_{i}_{j} / n - m_{X[i]} * m_{X[j]})"
+                v = f"(greatest({v}, 0::DOUBLE) + {FLOORS[X[i]] ** 2!r}::DOUBLE)" if i == j else v
+                v += "".join(f" - l_{i}_{h} * l_{j}_{h}" for h in range(j))
+                v = f"sqrt(greatest({v}, {FLOORS[X[i]] ** 2 / 4!r}::DOUBLE))" if i == j else f"({v}) / l_{j}_{j}"
+                steps.append(f"c{k}_{i}_{j} AS (SELECT *, {v} AS l_{i}_{j} FROM {before})")
+                before = f"c{k}_{i}_{j}"
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM {before})")
+    e = f"e{STEPS}"
+    steps.append(f"lb AS (SELECT u.g, floor(ln({distance(e)} + 1e-6::DOUBLE) / 0.03125::DOUBLE)::BIGINT AS b FROM u JOIN {e} USING (g))")
+    steps.append(f"lq AS (SELECT g, greatest(exp((b + 1) / 32::DOUBLE) / {CHI2_MEDIAN}::DOUBLE, 1::DOUBLE) AS scale FROM ({quantile('lb', 'b', 0.5)}))")
+    steps.append(f"big AS (SELECT g FROM u GROUP BY 1 HAVING count(*) >= {MIN_ROWS})")
+    steps.append(f"r AS (SELECT a.*, CASE WHEN NOT base_failed AND big.g IS NOT NULL THEN ({distance(e)}) / scale END AS dist FROM a LEFT JOIN {e} USING (g) LEFT JOIN lq USING (g) LEFT JOIN big USING (g))")
+    return f"WITH {', '.join(steps)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(dist <= {CUTOFF}::DOUBLE, true) AS kept, round(coalesce(dist, -1::DOUBLE), 4) AS distance FROM r"
