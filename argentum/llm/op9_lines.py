@@ -5,7 +5,6 @@ The suffixes of all documents' line sequences are ranked by their first line, th
 further on. A suffix whose prefix is found nowhere else has its final place; it leaves the work, and so
 the doubling ends when no repeated prefix is left. Ranks keep the order of what they stand for. The
 suffixes of one rank at length L are an interval of the suffix array with a common prefix of L lines.
-Descending through the powers of two gives each suffix its longest common prefix with a neighbour.
 
 Later copies of repeated runs go: a line is deleted if an interval of the suffix array with a common
 prefix of at least MIN_RUN lines covers it with a suffix that isn't the interval's first in the order of
@@ -69,70 +68,59 @@ def doubling(lines: DataFrame, least_levels: int = 0) -> list[DataFrame]:
     return levels
 
 
-def longest_prefixes(levels: list[DataFrame]) -> DataFrame:
-    """(_doc, _text, pos, line, lcp, name, first): each repeated suffix with the length of its longest repeated prefix.
+def repeated_runs(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame | None:
+    """(_doc, _text, pos, lines, first): the maximal runs that are later copies, with the first place of each; None if there are none.
 
-    From the highest level down, a suffix that has a repeated prefix of some length tries to append the
-    ranked prefix of 2^k lines that begins where it ends; the extended prefixes are named anew.
-    """
-    now = None
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k].select(*AT, "line", F.col("rank").alias("_r"), F.col("first").alias("_f"))
-        if now is None:
-            now = level.select(*AT, "line", F.lit(2**k).cast("bigint").alias("lcp"), F.col("_r").alias("name"), F.col("_f").alias("first"))
-            continue
-        # Suffixes that only come in at this level.
-        fresh = level.join(now.select(*AT), AT, "left_anti").select(*AT, "line", F.lit(2**k).cast("bigint").alias("lcp"), F.col("_r").alias("name"), F.col("_f").alias("first"))
-        ends = level.select(*ROW, F.col("pos").cast("bigint").alias("_end"), "_r")
-        tried = now.withColumn("_end", F.col("pos") + F.col("lcp")).join(ends, [*ROW, "_end"])
-        longer = common.cut(tried.select(*AT, F.col("lcp").alias("c1"), F.col("name").alias("c2"), "_r"))
-        longer = _ranked(longer, ["c1", "c2", "_r"]).select(*AT, F.col("rank").alias("_name"), F.col("first").alias("_first"))
-        now = now.join(longer, AT, "left").select(*AT, "line", F.when(F.col("_name").isNotNull(), F.col("lcp") + 2**k).otherwise(F.col("lcp")).alias("lcp"), F.coalesce(F.col("_name"), F.col("name")).alias("name"), F.coalesce(F.col("_first"), F.col("first")).alias("first"))
-        now = common.cut(now.unionByName(fresh))
-    return now
-
-
-def repeated_runs(df: DataFrame, key: str, text: str, min_run: int = MIN_RUN) -> DataFrame | None:
-    """(doc, pos, lines, first_doc, first_pos): the maximal repeated runs, with where each is found first; None if there are none."""
-    levels = doubling(line_ids(df, key, text))
-    if not levels:
-        return None
-    runs = longest_prefixes(levels)
-    left = F.lag(F.struct("pos", "lcp")).over(W.partitionBy(*ROW).orderBy("pos"))
-    runs = runs.withColumn("_left", left)
-    inside = (F.col("_left.pos") == F.col("pos") - 1) & (F.col("_left.lcp") == F.col("lcp") + 1)
-    return runs.filter(~F.coalesce(inside, F.lit(False)) & (F.col("lcp") >= min_run)).select(F.col("_doc").alias("doc"), "pos", F.col("lcp").alias("lines"), F.col("first._doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-
-
-def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame | None:
-    """(_doc, _text, _gone, longest): numbers of the lines that go, and the document's longest repeated run.
-
-    The interval of a common prefix of min_run lines is that of the level min_run, a power of two.
+    The suffixes whose prefix of min_run lines is repeated are intervals of the level min_run, a power of
+    two; each has the interval's first place. Where positions follow each other and their first places do
+    too, the prefixes are one longer run.
     """
     k = min_run.bit_length() - 1
     if min_run != 1 << k:
         raise ValueError("min_run must be a power of two")
     if len(levels) <= k:
         return None
-    # place in the level: line numbers by position, also of the run's further lines
-    starts = levels[k].filter(F.col("first") < F.struct(*AT)).select(*ROW, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_run - 1))).alias("pos")).distinct()
-    gone = starts.join(levels[0].select(*AT, "line"), AT)
-    long = longest_prefixes(levels).groupBy(*ROW).agg(F.max("lcp").alias("longest"))
-    return long.join(gone.groupBy(*ROW).agg(F.collect_list("line").alias("_gone")), ROW, "left")
+    later = levels[k].filter(F.col("first") < F.struct(*AT))
+    order = W.partitionBy(*ROW).orderBy("pos")
+    before = F.lag(F.struct("pos", "first")).over(order)
+    follows = (F.col("_b.pos") + 1 == F.col("pos")) & (F.col("_b.first._doc") == F.col("first._doc")) & (F.col("_b.first._text") == F.col("first._text")) & (F.col("_b.first.pos") + 1 == F.col("first.pos"))
+    later = later.withColumn("_b", before).withColumn("_new", F.coalesce(~follows, F.lit(True)).cast("int"))
+    later = later.withColumn("_run", F.sum("_new").over(order))
+    return later.groupBy(*ROW, "_run").agg(F.min("pos").alias("pos"), (F.count("*") + (min_run - 1)).alias("lines"), F.min("first").alias("first")).drop("_run")
+
+
+def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame | None:
+    """(_doc, _text, _gone, longest, power): numbers of the lines that go, the longest later copy, and the longest repeated 2^k lines."""
+    if not levels:
+        return None
+    power = levels[0].select(*ROW, F.lit(1).alias("power"))
+    for k, level in enumerate(levels[1:], 1):
+        power = power.unionByName(level.select(*ROW, F.lit(1 << k).alias("power")))
+    power = power.groupBy(*ROW).agg(F.max("power").alias("power"))
+    runs = repeated_runs(levels, min_run)
+    if runs is None:
+        return power.select(*ROW, F.lit(None).cast("array<int>").alias("_gone"), F.lit(0).cast("bigint").alias("longest"), "power")
+    runs = common.cut(runs)
+    places = runs.select(*ROW, F.explode(F.sequence(F.col("pos"), (F.col("pos") + F.col("lines") - 1).cast("int"))).alias("pos")).distinct()
+    gone = places.join(levels[0].select(*AT, "line"), AT).groupBy(*ROW).agg(F.collect_list("line").alias("_gone"))
+    longest = runs.groupBy(*ROW).agg(F.max("lines").alias("longest"))
+    return power.join(gone.join(longest, ROW), ROW, "left").select(*ROW, "_gone", "longest", "power")
 
 
-COUNTS = ["n_lines", "n_removed", "longest_run"]
+COUNTS = ["n_lines", "n_removed", "longest_run", "longest_power"]
 
 
 def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
-    """The rows with the text cleaned, and n_lines, n_removed and longest_run (lines with a word) behind them.
+    """The rows with the text cleaned, and COUNTS (in lines with a word) behind them.
 
-    Columns of those three names are replaced; all others stay as they are.
+    n_lines, n_removed; longest_run: the longest run that is a later copy; longest_power: the largest 2^k
+    such that a run of so many lines is repeated at all. Columns of those names are replaced; all others
+    stay as they are.
     """
     gone = later_copies(doubling(line_ids(df, key, text)), min_run)
     if gone is None:
-        gone = df.sparkSession.createDataFrame([], "_doc bigint, _text bigint, _gone array<int>, longest bigint")
-    gone = gone.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_gone", "longest")
+        gone = df.sparkSession.createDataFrame([], "_doc bigint, _text bigint, _gone array<int>, longest bigint, power int")
+    gone = gone.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_gone", "longest", "power")
     # The caller's columns travel in a struct, where no name can clash.
     names = [c for c in df.columns if c not in COUNTS]
     rows = df.select(F.struct(*[c for c in names if c != text]).alias("_others"), F.col(text).alias("_old"), F.split(F.col(text), "\n").alias("_lines"), *_row_key(key, text))
@@ -141,14 +129,14 @@ def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     n = F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     cleaned = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_old"))
-    counts = [F.when(F.col("_old").isNull(), 0).otherwise(n).cast("bigint"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), F.coalesce("longest", F.lit(0)).cast("bigint")]
+    counts = [F.when(F.col("_old").isNull(), 0).otherwise(n).cast("bigint"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), F.coalesce("longest", F.lit(0)).cast("bigint"), F.coalesce("power", F.lit(0)).cast("bigint")]
     return out.select(*[cleaned.alias(c) if c == text else F.col("_others")[c].alias(c) for c in names], *[c.alias(k) for k, c in zip(COUNTS, counts, strict=True)])
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, longest_run, kept_sha256 (of the text that stays; null for a null text)."""
+    """doc_id, n_lines, n_removed, longest_run, longest_power, kept_sha256 (of the text that stays; null for a null text)."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_lines(docs, "doc_id", "text").select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return remove_repeated_lines(docs, "doc_id", "text").select("doc_id", "n_lines", "n_removed", "longest_run", "longest_power", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def _common(a: str, b: str) -> str:
@@ -162,14 +150,17 @@ WITH lines AS (SELECT doc_id, i, ls[i] AS t FROM (SELECT doc_id, string_split(te
 w AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM lines WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
 pairs AS (SELECT doc_id, pos, t || chr(10) || lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM w),
 f AS (SELECT s, min(struct_pack(a := doc_id, b := pos)) AS f FROM pairs WHERE s IS NOT NULL GROUP BY s),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM pairs JOIN f USING (s) WHERE struct_pack(a := doc_id, b := pos) > f),
+later AS (SELECT doc_id, pos, f.f.a AS fa, f.f.b AS fb FROM pairs JOIN f USING (s) WHERE struct_pack(a := doc_id, b := pos) > f.f),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM later),
+island AS (SELECT doc_id, fa, fb - pos AS diagonal, pos - row_number() OVER (PARTITION BY doc_id, fa, fb - pos ORDER BY pos) AS k FROM later),
+long AS (SELECT doc_id, max(n) + 1 AS longest FROM (SELECT doc_id, count(*) AS n FROM island GROUP BY doc_id, fa, diagonal, k) GROUP BY doc_id),
 goneline AS (SELECT doc_id, i FROM w JOIN gone USING (doc_id, pos)),
 kept AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN goneline USING (doc_id, i) GROUP BY doc_id),
 seq AS (SELECT doc_id, list(hash(t) ORDER BY pos) AS s FROM w GROUP BY doc_id),
 suffix AS (SELECT doc_id, s[p:] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS p FROM seq)),
 near AS (SELECT doc_id, s, lag(s) OVER o AS a, lead(s) OVER o AS b FROM suffix WINDOW o AS (ORDER BY s)),
-run AS (SELECT doc_id, max(greatest(CASE WHEN a IS NULL THEN 0 ELSE {_common("s", "a")} END, CASE WHEN b IS NULL THEN 0 ELSE {_common("s", "b")} END)) AS longest FROM near GROUP BY doc_id)
+run AS (SELECT doc_id, max(greatest(CASE WHEN a IS NULL THEN 0 ELSE {_common("s", "a")} END, CASE WHEN b IS NULL THEN 0 ELSE {_common("s", "b")} END)) AS lcp FROM near GROUP BY doc_id)
 SELECT d.doc_id, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM goneline g WHERE g.doc_id = d.doc_id) AS n_removed,
-       coalesce(longest, 0)::BIGINT AS longest_run, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN run USING (doc_id)
+       coalesce(longest, 0)::BIGINT AS longest_run, CASE WHEN coalesce(lcp, 0) > 0 THEN (2 ** floor(log2(lcp)))::BIGINT ELSE 0 END AS longest_power, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN run USING (doc_id) LEFT JOIN long USING (doc_id)
 """

@@ -123,10 +123,13 @@ def test_line_dedup_by_brute_force(spark, min_run):
 
 
 def test_maximal_runs(spark):
-    rows = [(1, "a x\nb x\nc x\nd x", "en", "s", None), (2, "q\na x\nb x\nc x\nz", "en", "s", None), (3, "b x\nc x\nd x", "en", "s", None)]
-    runs = {(r.doc, r.pos, r.lines, r.first_doc) for r in op9_lines.repeated_runs(frame(spark, rows), "doc_id", "text").collect()}
-    assert {(1, 0, 3, 1), (2, 1, 3, 1), (3, 0, 3, 1), (1, 1, 3, 1)} == runs
-    assert op9_lines.repeated_runs(frame(spark, []), "doc_id", "text") is None
+    rows = [(1, "a x\nb x\nc x\nd x", "en", "s", None), (2, "q\na x\nb x\nc x\nz", "en", "s", None), (3, "b x\nc x\nd x\nq\na x", "en", "s", None)]
+    levels = op9_lines.doubling(op9_lines.line_ids(frame(spark, rows), "doc_id", "text"))
+    assert [lv.count() for lv in levels] == [13, 9]
+    runs = {(r._doc, r.pos, r.lines, r.first._doc, r.first.pos) for r in op9_lines.repeated_runs(levels).collect()}
+    # the run that begins with "q" was first in document 2, and goes on another way there than in document 1
+    assert runs == {(2, 1, 3, 1, 0), (3, 0, 3, 1, 1), (3, 3, 2, 2, 0)}
+    assert op9_lines.doubling(op9_lines.line_ids(frame(spark, []), "doc_id", "text")) == []
     assert op9_lines.remove_repeated_lines(frame(spark, []), "doc_id", "text").count() == 0
 
 
