@@ -154,3 +154,59 @@ def xml_patch(spark, sf_dir):
 def preset_kind(spark, sf_dir):
     names = F.array(*map(F.lit, ["contrast_p20", "tint_n50", "curve_s", "ev_15", "saturation_25", "hist_gray"]))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), text.classify_preset(F.get(names, (F.col("p_partkey") % 6).cast("int"))).alias("kind"))
+
+
+@query(f"WITH {PX}, e AS (SELECT {K}, least(greatest(abs(r - r_ref), abs(g - g_ref), abs(b - b_ref)) / 2000::DOUBLE, 1::DOUBLE) AS t FROM px) SELECT {K}, floor(least(greatest(CASE WHEN t < 0.5 THEN 0 WHEN t < 0.75 THEN (t - 0.5::DOUBLE) / 0.25::DOUBLE ELSE 1 END, 0), 1) * 255)::INT AS mr, floor(least(greatest(CASE WHEN t < 0.25 THEN t / 0.25::DOUBLE WHEN t < 0.75 THEN 1 ELSE 1 - (t - 0.75::DOUBLE) / 0.25::DOUBLE END, 0), 1) * 255)::INT AS mg, floor(least(greatest(CASE WHEN t < 0.25 THEN 1 WHEN t < 0.5 THEN 1 - (t - 0.25::DOUBLE) / 0.25::DOUBLE ELSE 0 END, 0), 1) * 255)::INT AS mb FROM e")
+def error_map(spark, sf_dir):
+    """The largest difference of each pixel as a colour; 2000 and more is the end of the ramp."""
+    px = pixels.points(spark, sf_dir)
+    t = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_ref")) for c in "rgb"]) / 2000.0
+    r, g, b = colour.ramp(t)
+    return px.select(*pixels.KEY, r.alias("mr"), g.alias("mg"), b.alias("mb"))
+
+
+@query(f"WITH {PX} SELECT {K}, r >> 8 AS r, g >> 8 AS g, b >> 8 AS b, 255 AS a FROM px")
+def rgba_display(spark, sf_dir):
+    return pixels.points(spark, sf_dir).select(*pixels.KEY, *[F.shiftright(c, 8).alias(c) for c in "rgb"], F.lit(255).alias("a"))
+
+
+@query(f"WITH {PX}, t AS (SELECT {K}, r * 255 / 65535::DOUBLE AS x, least(r * 255 // 65535, 254) AS lo FROM px) SELECT {K}, round(((lo * lo // 255) * (1 - (x - lo)) + ((lo + 1) * (lo + 1) // 255) * (x - lo)) * 257, 6) AS v FROM t")
+def table_256_interpolated(spark, sf_dir):
+    """A 256-entry table read between its entries for 16-bit values; the table is an array of fixed length."""
+    table = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint")), lambda i: F.floor(i * i / 255.0))
+    t = pixels.points(spark, sf_dir).select(*pixels.KEY, (F.col("r") * 255 / 65535.0).alias("x"), F.least(F.expr("r * 255 div 65535"), F.lit(254)).cast("int").alias("lo"), table.alias("t"))
+    part = F.col("x") - F.col("lo")
+    return t.select(*pixels.KEY, F.round((F.get("t", F.col("lo")) * (1 - part) + F.get("t", F.col("lo") + 1) * part) * 257, 6).alias("v"))
+
+
+NEUTRAL = "(NOT levels OR (black < 0.5 AND white > 254.5 AND abs(gamma - 1) < 0.01)) AND NOT film AND (NOT expose OR abs(exposure) < 0.001) AND abs(contrast) < 0.1 AND abs(saturation) < 0.1"
+PARAMS = "p_partkey AS id, p_partkey % 2 = 0 AS levels, p_size % 5 AS black, 255 - p_size % 3 AS white, 1 + (p_size % 4) / 100 AS gamma, p_partkey % 7 = 0 AS film, p_partkey % 3 = 0 AS expose, (p_size % 2) / 1000 AS exposure, p_size % 2 AS contrast, 0 AS saturation"
+
+
+@query(f"SELECT id, {NEUTRAL} AS neutral FROM (SELECT {PARAMS.replace(' AS gamma', '::DOUBLE AS gamma').replace(' AS exposure', '::DOUBLE AS exposure')} FROM part)")
+def identity_parameters(spark, sf_dir):
+    """Do a set's parameters leave an image as it is? A film curve that is switched on never does."""
+    names = [x.strip() for x in PARAMS.replace(" AS gamma", "D AS gamma").replace(" AS exposure", "D AS exposure").split(", ")]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*names).selectExpr("id", f"{NEUTRAL} AS neutral")
+
+
+@query("SELECT p_partkey AS id, len(list_filter(m, lambda c: c <> -s)) > 0 AS custom, p_size % 3 = 0 AND len(list_filter(m, lambda c: c <> -s)) > 0 AS applies FROM (SELECT p_partkey, p_size, p_size % 4 AS s, [-(p_size % 4), -(p_size % 4), CASE WHEN p_partkey % 5 = 0 THEN 7 ELSE -(p_size % 4) END] AS m FROM part)")
+def custom_matrix(spark, sf_dir):
+    """Is any cell of a matrix other than minus the saturation? And does the matrix apply?"""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "p_size", "p_size % 4 AS s", "array(-(p_size % 4), -(p_size % 4), CASE WHEN p_partkey % 5 = 0 THEN 7 ELSE -(p_size % 4) END) AS m")
+    custom = F.exists("m", lambda c: c != -F.col("s"))
+    return p.select("id", custom.alias("custom"), ((F.col("p_size") % 3 == 0) & custom).alias("applies"))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS root FROM pages WHERE page_id % 2 = 0 UNION SELECT DISTINCT regexp_extract(url, '^([^:]*://[^/?#]*)', 1) FROM pages WHERE page_id % 3 = 0")
+def distinct_roots(spark, sf_dir):
+    roots = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1).alias("root"))
+    return roots.filter("page_id % 2 = 0").select("root").unionByName(roots.filter("page_id % 3 = 0").select("root")).distinct()
+
+
+@query(f"WITH {PX} SELECT {K}, " + ", ".join(f"trunc(greatest(0::FLOAT, least(65535::FLOAT, {c}::FLOAT * {g}::FLOAT + {o}::FLOAT * 257::FLOAT)))::BIGINT AS {c}" for c, g, o in zip("rgb", (1.06, 1.04, 0.97), (-17.54, -13.26, 17.28))) + " FROM px")
+def negative_calibration(spark, sf_dir):
+    """The calibration of colour negatives with an input profile, in 32-bit floats."""
+    gains, offsets = (1.06, 1.04, 0.97), (-17.54, -13.26, 17.28)
+    one = lambda c, g, o: F.expr(f"CAST(greatest(CAST(0 AS FLOAT), least(CAST(65535 AS FLOAT), CAST({c} AS FLOAT) * CAST({g} AS FLOAT) + CAST({o} AS FLOAT) * CAST(257 AS FLOAT))) AS BIGINT)")
+    return pixels.points(spark, sf_dir).select(*pixels.KEY, *[one(c, g, o).alias(c) for c, g, o in zip("rgb", gains, offsets)])
