@@ -25,10 +25,12 @@ def words(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share. Only where none is named (tests) is a local one set."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"/tmp/argentum-checkpoints-{context.applicationId}")
     return context.getCheckpointDir()
