@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,12 +407,12 @@ def valleys(spark, sf_dir):
 KERNEL = near.gaussian(0.8)
 
 
-def _conv(table: str, along: str, value: str = "v") -> str:
+def _conv(table: str, along: str, value: str = "v", kernel: list[float] = KERNEL) -> str:
     across = "y" if along == "x" else "x"
     w = f"(PARTITION BY image_id, {across} ORDER BY {along})"
-    half = len(KERNEL) // 2
+    half = len(kernel) // 2
     at = lambda i: value if i == 0 else f"coalesce({'lag' if i < 0 else 'lead'}({value}, {abs(i)}) OVER {w}, {'first' if i < 0 else 'last'}_value({value}) OVER (PARTITION BY image_id, {across} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
-    return f"SELECT image_id, y, x, {' + '.join(f'{at(i)} * {k!r}::DOUBLE' for i, k in zip(range(-half, half + 1), KERNEL))} AS v FROM {table}"
+    return f"SELECT image_id, y, x, {' + '.join(f'{at(i)} * {k!r}::DOUBLE' for i, k in zip(range(-half, half + 1), kernel))} AS v FROM {table}"
 
 
 @query(f"{{tile}} SELECT image_id, y, x, round(v, 6) AS v FROM ({_conv('tile', 'x')})")
@@ -433,7 +435,10 @@ def usm(spark, sf_dir):
     return near.unsharp(pixels.tiles(spark, sf_dir), 120.0, 16.0, top=16383).select("image_id", "y", "x", "v")
 
 
-@query()
+@query(
+    f"{{tile}} &u AS (SELECT image_id, y, x, v / 16383::DOUBLE AS v FROM tile), hh AS ({_conv('u', 'x', kernel=near.gaussian(1.0))}), vv AS ({_conv('hh', 'y', kernel=near.gaussian(1.0))}), q AS (SELECT u.image_id, u.y, u.x, u.v AS u, u.v - vv.v AS h, least(u.v / (90::DOUBLE / 255), 1::DOUBLE) AS t FROM u JOIN vv USING (image_id, y, x)), "
+    "w AS (SELECT *, h * least(greatest(abs(h) - 2::DOUBLE / 255, 0::DOUBLE) / (2::DOUBLE / 255), 1::DOUBLE) AS hn FROM q) SELECT image_id, y, x, floor(least(greatest(u + 4::DOUBLE * t * t * (3 - 2 * t) * hn, 0::DOUBLE), 1::DOUBLE) * 16383::DOUBLE + 0.5::DOUBLE)::BIGINT AS v FROM w"
+)
 def usm_limits(spark, sf_dir):
     return near.unsharp(pixels.tiles(spark, sf_dir), 200.0, 20.0, dark_limit=90.0, noise_limit=2.0, top=16383).select("image_id", "y", "x", "v")
 
@@ -453,7 +458,15 @@ def crop_axis(spark, sf_dir):
     return near.crop(pixels.tiles(spark, sf_dir), 2, 1, 5, 4)
 
 
-@query()
+TURN = (0.5 * 8, 0.45 * 8, math.cos(0.3), math.sin(0.3))
+
+
+@query(
+    f"{{tile}} &o AS (SELECT i.range // 5 AS oy, i.range % 5 AS ox FROM range(20) i), s0 AS (SELECT oy, ox, ox + 0.5::DOUBLE - 2.5::DOUBLE AS dx, oy + 0.5::DOUBLE - 2.0::DOUBLE AS dy FROM o), s1 AS (SELECT oy, ox, {TURN[0]!r}::DOUBLE + dx * {TURN[2]!r}::DOUBLE - dy * {TURN[3]!r}::DOUBLE - 0.5::DOUBLE AS sx, {TURN[1]!r}::DOUBLE + dx * {TURN[3]!r}::DOUBLE + dy * {TURN[2]!r}::DOUBLE - 0.5::DOUBLE AS sy FROM s0), "
+    "s2 AS (SELECT oy, ox, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s1 WHERE sx >= 0 AND sy >= 0 AND sx <= 7 AND sy <= 7), "
+    "b AS (SELECT a.image_id, oy, ox, floor(a.v * ((1 - fx) * (1 - fy)) + b.v * (fx * (1 - fy)) + c.v * ((1 - fx) * fy) + d.v * (fx * fy) + 0.5::DOUBLE)::BIGINT AS v FROM s2 JOIN tile a ON a.x = x0 AND a.y = y0 JOIN tile b ON b.image_id = a.image_id AND b.x = least(x0 + 1, 7) AND b.y = y0 JOIN tile c ON c.image_id = a.image_id AND c.x = x0 AND c.y = least(y0 + 1, 7) JOIN tile d ON d.image_id = a.image_id AND d.x = least(x0 + 1, 7) AND d.y = least(y0 + 1, 7)) "
+    "SELECT i.image_id, o.oy AS y, o.ox AS x, coalesce(b.v, 0) AS v FROM (SELECT DISTINCT image_id FROM tile) i CROSS JOIN o LEFT JOIN b USING (image_id, oy, ox)"
+)
 def crop_rotated(spark, sf_dir):
     return near.crop_rotated(pixels.tiles(spark, sf_dir), 8, 8, 0.5, 0.45, 0.6, 0.5, 0.3)
 
