@@ -127,7 +127,20 @@ def bw_gamma(spark, sf_dir):
     return pixels.points(spark, sf_dir).selectExpr(*pixels.KEY, f"CAST(floor(pow(({light}) / 3, 1 / 2.2D) * 65535 + 0.5D) AS BIGINT) AS grey")
 
 
-@query()
+def _spaces_sql() -> str:
+    lin = {c: f"CASE WHEN {c} / 65535::DOUBLE <= 0.04045::DOUBLE THEN {c} / 65535::DOUBLE / 12.92::DOUBLE ELSE power(({c} / 65535::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS l{c}" for c in "rgb"}
+    parts = []
+    for space in ("adobe", "prophoto", "display_p3"):
+        gamma = 1 / colour.SPACES[space][4]
+        rows = []
+        for c, row in zip("rgb", colour.space_to_space("srgb", space)):
+            total = "0::DOUBLE" + "".join(f" + {float(w)!r}::DOUBLE * l{x}" for w, x in zip(row, "rgb"))
+            rows.append(f"floor(power(greatest(least({total}, 1::DOUBLE), 0::DOUBLE), {gamma!r}::DOUBLE) * 65535 + 0.5::DOUBLE)::BIGINT AS {c}")
+        parts.append(f"SELECT {K}, {', '.join(rows)}, '{space}' AS space FROM l")
+    return f"WITH {PX}, l AS (SELECT {K}, {', '.join(lin.values())} FROM px) {' UNION ALL '.join(parts)}"
+
+
+@query(_spaces_sql())
 def working_spaces(spark, sf_dir):
     """Pixels from sRGB in three other working spaces."""
     px = pixels.points(spark, sf_dir).select(*pixels.KEY, "r", "g", "b")

@@ -161,3 +161,11 @@ def test_sharpening_by_loop(spark):
     got = {(r.y, r.x): r.v for r in neighbourhood.unsharp(df, 150.0, 20.0, 100.0, 3.0).collect()}
     assert all(abs(got[y, x] - want[y, x]) <= 1 for y in range(6) for x in range(7))
     assert neighbourhood.unsharp(df, 0.0, 20.0) is df and neighbourhood.blur(df, "v", 0.05) is df
+
+
+def test_negative_calibration(spark):
+    df = spark.createDataFrame([(10000, 20000, 65535)], "r bigint, g bigint, b bigint")
+    assert point.calibrate_negative(df, 0, "x") is df
+    r = point.calibrate_negative(df, 1, " ").first()
+    assert tuple(r) == (math.floor(10000 * 1.01 - 3.07 * 257), math.floor(20000 * 1.05 - 16.64 * 257), math.floor(min(65535.0, 65535 * 0.96 + 8.66 * 257)))
+    assert point.calibrate_negative(df, 1, "in.icc").first().b == 65535
