@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+# Width over height of the film formats.
+RATIOS = {"35mm": 3 / 2, "6x4.5": 4 / 3, "6x6": 1.0, "6x7": 7 / 6, "6x9": 3 / 2, "6x12": 2.0, "6x17": 3.0, "4x5": 5 / 4}
+
+
 def gaussian(sigma: float) -> list[float]:
     """A normalised kernel that reaches three sigmas, one pixel at least."""
     half = max(1, math.ceil(3 * sigma))

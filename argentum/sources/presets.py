@@ -23,6 +23,11 @@ FOURS = ["Shadow", "Gray", "Highlight"]
 ARRAYS = ["ColorCorr", "DotColor", "USMColFactor", "GradationSliders"]
 PROFILES = ["InputProfile", "RGBProfile"]
 
+# Names of codes.
+FILM_CURVES = {0: "Linear", 1: "Film Std", 2: "Film High", 3: "Film Low", 4: "Film Auto"}
+FILM_TYPES = {0: "Positive E-6", 1: "Negative C-41", 2: "B&W"}
+COLOR_MODELS = {0: "RGB", 1: "CMYK", 2: "Grayscale"}
+
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
 POINTS = "array<array<struct<x: bigint, y: bigint, dy: bigint>>>"
 SCHEMA = f"path string, setting int, name string, is_current boolean, ord int, key string, kind string, value string, ints array<bigint>, curves {POINTS}"
@@ -161,6 +166,22 @@ def corrections(params: DataFrame) -> DataFrame:
     return p.groupBy("path", "setting", "name", "is_current").agg(*agg)
 
 
+def with_file_defaults(found: DataFrame) -> DataFrame:
+    """Corrections from preset files: no film curve means the automatic one, and the file's name tells the colour model."""
+    name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+    model = F.when(name.contains("cmyk"), 1).when(name.contains("b&w") | name.contains("bw") | name.contains("gray"), 2).otherwise(0)
+    return found.withColumns({"FilmCurve": F.when(F.col("FilmCurve") == 0, 4).otherwise(F.col("FilmCurve")).cast("bigint"), "ColorModel": model.cast("bigint")})
+
+
+def clean(found: DataFrame) -> DataFrame:
+    """Corrections without tone, exposure, matrix, curve or dot adjustments."""
+    straight = F.forall("Gradations", lambda c: (F.size(c) == 2) & (c[0]["x"] == 0) & (c[0]["y"] == 0) & (c[1]["x"] == 255) & (c[1]["y"] == 255))
+    dot = lambda i: F.get("DotColor", F.lit(i))
+    dots = (F.size("DotColor") < 14) | ((F.greatest(*[F.abs(dot(i)) for i in range(3)]) == 0) & (F.least(*[dot(i) for i in (7, 8, 9)]) == 255) & (F.greatest(*[dot(i) for i in (7, 8, 9)]) == 255))
+    tone = ~F.col("ApplySliders") | ((F.col("Contrast") == 0) & (F.col("Brightness") == 0) & (F.col("Lightness") == 0) & (F.abs(F.col("EV") - 1) < 0.01))
+    return found.filter(tone & (~F.col("ApplyCC") | F.forall("ColorCorr", lambda x: x == 0)) & (~F.col("ApplyCurves") | F.coalesce(straight, F.lit(True))) & dots)
+
+
 def catalogue(files: DataFrame, root: str) -> DataFrame:
     """(path, category, name) of preset files, by category and name. The category is the folder below root."""
     below = F.element_at(F.split("path", re.escape(root.rstrip("/").split("/")[-1]) + "/"), -1)

@@ -136,6 +136,24 @@ def test_corrections(spark):
     assert [(c.category, c.name) for c in rows][:3] == [("", "broken"), ("", "empty"), ("kind0", "p0")]
 
 
+def test_file_defaults_and_clean_settings(spark):
+    wrap = "<plist><dict><key>ImageSetting</key><dict><key>ImageCorrection</key><dict>{}</dict></dict></dict></plist>"
+    number = lambda k, v: f"<key>{k}</key><integer>{v}</integer>"
+    array = lambda k, v: f"<key>{k}</key><array>" + "".join(f"<integer>{x}</integer>" for x in v) + "</array>"
+    texts = {
+        "/p/CMYK plain.xml": "",
+        "/p/bw.xml": number("FilmCurve", 2) + number("Contrast", 5),
+        "/p/contrast.xml": "<key>ApplySliders</key><true/>" + number("Contrast", 5),
+        "/p/dots.xml": array("DotColor", [0, 0, 0, 9, 9, 9, 9, 255, 255, 255, 9, 9, 9, 9]),
+        "/p/dots off.xml": array("DotColor", [0, 0, 1, 9, 9, 9, 9, 255, 255, 255, 9, 9, 9, 9]),
+        "/p/matrix.xml": "<key>ApplyCC</key><true/>" + array("ColorCorr", [0, 0, 3]),
+    }
+    found = presets.corrections(presets.parameters(spark.createDataFrame([(k, wrap.format(number("Tint", 0) + v)) for k, v in texts.items()], "path string, xml string")))
+    r = {x.path: (x.FilmCurve, x.ColorModel) for x in presets.with_file_defaults(found).collect()}
+    assert r["/p/CMYK plain.xml"] == (4, 1) and r["/p/bw.xml"] == (2, 2) and r["/p/dots.xml"] == (4, 0)
+    assert {x.path for x in presets.clean(found).collect()} == {"/p/CMYK plain.xml", "/p/bw.xml", "/p/dots.xml"}
+
+
 def test_histories():
     setting = "<dict><key>Name</key><string>{}</string><key>ImageCorrection</key><dict><key>Contrast</key><integer>{}</integer></dict></dict>"
     xml = f"<plist><dict><key>CurrentIx</key><integer>9</integer><key>ImageSettings</key><array>{setting.format('a', 1)}{setting.format('b', 2)}</array></dict></plist>"
