@@ -77,6 +77,19 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on idle between stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ship(module) -> None:
     """Sends this module's functions to the Python workers by value, so that they need no copy of the package."""
     cloudpickle.register_pickle_by_value(module)

@@ -110,6 +110,9 @@ def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN
         for batch in batches:
             stay = pa.array([classify(x.as_buffer().to_pybytes())[2] >= margin for x in batch.columns[-1]], pa.bool_())
             yield batch.select(range(batch.num_columns - 1)).filter(stay)
+            del batch, stay
+        del classify
+        common.give_back()
 
     common.small_batches(df.sparkSession)
     last = "_".join(["plain", *df.columns])  # longer than any name there is, so it can't clash
@@ -131,4 +134,5 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+common.ship(common)
 common.ship(sys.modules[__name__])

@@ -69,6 +69,8 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
         for batch in batches:
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=[key, "fp"])
+            del batch
+        common.give_back()
 
     common.small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
@@ -169,6 +171,8 @@ def _index_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, x = keys[whole:], x[whole:]
     if len(keys):
         yield out(keys, x)
+    del keys, x
+    common.give_back()
 
 
 def _points(rows: DataFrame) -> DataFrame:
