@@ -90,6 +90,14 @@ def give_back() -> None:
         pass
 
 
+def drop_kept() -> None:
+    """Drops the tokenizers that an earlier stage kept in this worker (see op4_bpe)."""
+    import sys
+
+    sys.modules["pyspark"].__dict__.pop("_argentum_coders", None)
+    give_back()
+
+
 def ship(module) -> None:
     """Sends this module's functions to the Python workers by value, so that they need no copy of the package."""
     cloudpickle.register_pickle_by_value(module)

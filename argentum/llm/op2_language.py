@@ -106,6 +106,7 @@ def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN
     """The rows, all their columns as they were, whose language isn't rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_kept()
         classify = Classifier(raw)
         for batch in batches:
             stay = pa.array([classify(x.as_buffer().to_pybytes())[2] >= margin for x in batch.columns[-1]], pa.bool_())
