@@ -4,10 +4,13 @@ For each language a zstandard raw-content dictionary is made from a bounded samp
 Every piece of a text is encoded with each dictionary and the sizes are summed over the whole text; the
 smallest sum names the language. Where the runner-up comes close, the text is rejected.
 
-Cases: a null text, or one without a letter, is `und` with score 0 and rejected; null languages are
-never learned; without any labelled text every prediction is `und`; with one language only it is always
-that one; equal sums go to the language that comes first by code point; a text of any length is encoded
-whole; an empty table gives an empty result.
+A dictionary is as long as its language's sample, up to DICTIONARY_BYTES: a language with little labelled
+text is told less surely, and takes nothing from the others.
+
+Cases: a null text, or one without a letter, is `und` with score 0 and rejected; null languages, and those
+whose labelled texts have no letter, are never learned; without any labelled text every prediction is
+`und`; with one language only it is always that one; equal sums go to the language that comes first by
+code point; a text of any length is encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,16 +46,16 @@ def sample(labelled: DataFrame, key: str, text: str, lang: str, texts: int = SAM
 
 
 def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A raw dictionary for each language: different texts in plain letters, as far as they fit."""
+    """A raw dictionary for each language that has letters: different texts in plain letters, as far as they fit."""
     found: dict[str, dict[bytes, None]] = {}
     used: dict[str, int] = {}
     for lang, text in drawn:
         raw = text.encode("utf-8")[:TEXT_BYTES]
         mine = found.setdefault(lang, {})
-        if raw not in mine and used.get(lang, 0) + len(raw) <= size:
+        if raw.strip() and raw not in mine and used.get(lang, 0) + len(raw) <= size:
             mine[raw] = None
             used[lang] = used.get(lang, 0) + len(raw)
-    return {lang: b"".join(mine) for lang, mine in sorted(found.items())}
+    return {lang: b"".join(mine) for lang, mine in sorted(found.items()) if mine}
 
 
 def plain(text: Column) -> Column:
@@ -67,10 +70,8 @@ class Classifier:
 
         self.langs = list(raw)
         self.encode = []
-        # All dictionaries get the length of the shortest, so that none is better for being longer.
-        size = min(map(len, raw.values()), default=0)
         for d in raw.values():
-            d = zstandard.ZstdCompressionDict(d[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.encode.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 

@@ -32,6 +32,16 @@ def test_language_on_odd_rows(spark):
     assert kept.columns == docs.columns and {200, 201} & {r.doc_id for r in kept.collect()} == set()
 
 
+def test_a_rare_language_takes_nothing_from_the_others(spark):
+    rows = [(i, prose("de" if i % 3 == 0 else "en", 40, 1000 + i), "de" if i % 3 == 0 else "en", "s", None) for i in range(200)]
+    rare = [(1000 + i, "12 34 !!", "xx", "s", None) for i in range(10)] + [(2000 + i, "Ωμέγα", "el", "s", None) for i in range(10)]
+    raw, alone = op2_language.learn(frame(spark, rows + rare)), op2_language.learn(frame(spark, rows))
+    assert set(raw) == {"de", "en", "el"} and all(raw[k] == alone[k] for k in alone)
+    got = op2_language.predict(frame(spark, rows), "doc_id", "text", raw).collect()
+    right = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == right[r.doc_id] and not r.rejected for r in got) >= 199
+
+
 def odd_texts():
     r = random.Random(3)
     pick = lambda: chr(r.choice([r.randrange(32, 127), r.randrange(0x20, 0x3000), 97, 98, 0x1F600]))
