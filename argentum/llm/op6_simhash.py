@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import common
+from argentum.llm import alike, common
 
 SHINGLE, SEED, MOST_BITS, MIN_BYTES = 4, 42, 4, 4
 #: Fingerprints of a list beyond which it's spread over tasks by points.
@@ -269,6 +269,24 @@ def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.dropDuplicates(["_row"]).select("_all.*")
 
 
+def keep_first_alike(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Like keep_first, where texts are linked by 4/5 of their five-word shingles too (see alike), not by fingerprints only."""
+    names = df.columns
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(*names).alias("h"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    marked = df.select(row.alias("_row"), F.struct(*names).alias("_all"), t.alias("_t"), F.xxhash64(t).alias("doc"))
+    rows = common.cut(fingerprints(marked.select(F.struct("_row", "doc").alias("_id"), "_t"), "_id", "_t").select("_id.*", "fp"))
+    docs = common.cut(rows.groupBy("doc").agg(F.min("_row").alias("_least"), F.min("fp").alias("fp")))
+    one = common.cut(docs.groupBy("fp").agg(F.min("doc").alias("one")))
+    found = links(one.select("fp")).join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = docs.join(one, "fp").filter("doc <> one").select(F.col("one").alias("a"), F.col("doc").alias("b"))
+    edges = alike.links(marked.select("doc", "_t"), common.cut(found.unionByName(same)), components)
+    groups = docs.join(components(edges).select(F.col("node").alias("doc"), "root"), "doc", "left").select("_least", F.coalesce("root", "doc").alias("root"))
+    stay = common.cut(groups.groupBy("root").agg(F.min("_least").alias("_stay")).select("_stay"))
+    kept = marked.select("_row", "_all").join(stay, F.col("_row").eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.dropDuplicates(["_row"]).select("_all.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = near_duplicates(docs, "doc_id", "text")

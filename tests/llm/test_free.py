@@ -190,6 +190,37 @@ def test_links_of_chains_and_families(spark, hot_list):
     assert {v: found.get(v, v) for v in signed} == {v: want[v & (1 << 64) - 1] for v in signed}
 
 
+def five_word_sets(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+@pytest.mark.parametrize("long_list", [64, 3])
+def test_near_copies_by_shingles_by_brute_force(spark, monkeypatch, long_list):
+    from argentum.llm import alike
+
+    monkeypatch.setattr(alike, "LONG_LIST", long_list)
+    r = random.Random(8)
+    rows, passage = [], prose("en", 30, 5)
+    for f in range(12):
+        base = prose("en", r.randint(60, 200), 3000 + f).split()
+        for i in range(8):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"new{r.random()}"
+            rows.append((100 * f + i, " ".join(w) + (" " + passage if f % 2 else ""), "en", "s", 1))
+    rows += [(5000 + i, t, "en", "s", 1) for i, t in enumerate(["", " ", "a b", "A  b", "c"])]
+
+    def near(x, y):
+        a, b = five_word_sets(x), five_word_sets(y)
+        return a == b or 5 * len(a & b) >= 4 * len(a | b) or (slow_fingerprint(x.encode()) ^ slow_fingerprint(y.encode())).bit_count() <= 4
+
+    want = set(slow_components([(d, t) for d, t, *_ in rows], near).values())
+    assert len(want) < len(set(slow_components([(d, slow_fingerprint(t.encode())) for d, t, *_ in rows], lambda x, y: (x ^ y).bit_count() <= 4).values()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    assert {x.doc_id for x in op6_simhash.keep_first_alike(docs, "doc_id", "text").collect()} == want
+
+
 def test_triples_meet_every_four_positions():
     from itertools import combinations
 
