@@ -8,7 +8,9 @@ suffixes of one rank at length L are an interval of the suffix array with a comm
 
 Later copies of repeated runs go: a line is deleted if an interval of the suffix array with a common
 prefix of at least MIN_RUN lines covers it with a suffix that isn't the interval's first in the order of
-(doc_id, position). Runs inside one document count as well.
+(doc_id, position). Runs inside one document count as well. With single lines asked for (the pipeline does;
+the query follows its SQL), a later copy of one line goes too, if the line has LONG_LINE words at least or is
+its document's only one.
 
 Cases: only lines with a word are part of a sequence, so blank lines never make a run and always stay;
 a null text has no lines and stays null; equal rows (id and text) are judged alike, as one; rows with
@@ -26,6 +28,9 @@ from argentum.llm import common
 
 #: Lines of a run at least.
 MIN_RUN = 2
+#: Words of a line that is a run by itself.
+LONG_LINE = 20
+LONG = rf"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_LINE - 1}}}[^\x20\x09-\x0D]"
 ROW = ["_doc", "_text"]
 AT = [*ROW, "pos"]
 
@@ -34,10 +39,10 @@ def _row_key(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")]
 
 
-def line_ids(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_doc, _text, pos, line, a, b): each line with a word; pos counts these, line counts all; a and b are its hashes."""
+def line_ids(df: DataFrame, key: str, text: str, single: bool = False) -> DataFrame:
+    """(_doc, _text, pos, line, a, b): each line with a word; pos counts these, line counts all; a and b are its hashes; if single, long: has it LONG_LINE words?"""
     rows = df.select(*_row_key(key, text), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_l"))
-    return rows.filter(F.col("_l").rlike(r"[^\x20\x09-\x0D]")).select(*ROW, "line", F.xxhash64("_l").alias("a"), F.crc32(F.col("_l").cast("binary")).alias("b"))
+    return rows.filter(F.col("_l").rlike(r"[^\x20\x09-\x0D]")).select(*ROW, "line", F.xxhash64("_l").alias("a"), F.crc32(F.col("_l").cast("binary")).alias("b"), *([F.col("_l").rlike(LONG).alias("long")] if single else []))
 
 
 def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
@@ -57,7 +62,10 @@ def doubling(lines: DataFrame, least_levels: int = 0) -> list[DataFrame]:
     place = W.partitionBy(*ROW).orderBy("line")
     # Equal rows give each line more than once; they are one.
     seq = lines.dropDuplicates([*ROW, "line"]).withColumn("pos", F.row_number().over(place) - 1)
-    now = common.cut(_ranked(common.cut(seq), ["a", "b"]).select(*AT, "line", "rank", "first"))
+    alone = ["alone"] if "long" in seq.columns else []
+    if alone:
+        seq = seq.withColumn("alone", F.col("long") | ((F.col("pos") == 0) & F.lead("line").over(place).isNull())).drop("long")
+    now = common.cut(_ranked(common.cut(seq), ["a", "b"]).select(*AT, "line", "rank", "first", *alone))
     levels, length = [], 1
     while now.limit(1).count():
         levels.append(now)
@@ -89,8 +97,11 @@ def repeated_runs(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame
     return later.groupBy(*ROW, "_run").agg(F.min("pos").alias("pos"), (F.count("*") + (min_run - 1)).alias("lines"), F.min("first").alias("first")).drop("_run")
 
 
-def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame | None:
-    """(_doc, _text, _gone, longest, power): numbers of the lines that go, the longest later copy, and the longest repeated 2^k lines."""
+def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN, single: bool = False) -> DataFrame | None:
+    """(_doc, _text, _gone, longest, power): numbers of the lines that go, the longest later copy, and the longest repeated 2^k lines.
+
+    single: also lines that are runs by themselves (long, or their document's only one), as line_ids marked them.
+    """
     if not levels:
         return None
     power = levels[0].select(*ROW, F.lit(1).alias("power"))
@@ -98,6 +109,9 @@ def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame |
         power = power.unionByName(level.select(*ROW, F.lit(1 << k).alias("power")))
     power = power.groupBy(*ROW).agg(F.max("power").alias("power"))
     runs = repeated_runs(levels, min_run)
+    if single:
+        alone = levels[0].filter(F.col("alone") & (F.col("first") < F.struct(*AT))).select(*ROW, "pos", F.lit(1).cast("bigint").alias("lines"), "first")
+        runs = alone if runs is None else runs.unionByName(alone)
     if runs is None:
         return power.select(*ROW, F.lit(None).cast("array<int>").alias("_gone"), F.lit(0).cast("bigint").alias("longest"), "power")
     runs = common.cut(runs)
@@ -110,14 +124,14 @@ def later_copies(levels: list[DataFrame], min_run: int = MIN_RUN) -> DataFrame |
 COUNTS = ["n_lines", "n_removed", "longest_run", "longest_power"]
 
 
-def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN_RUN, single: bool = False) -> DataFrame:
     """The rows with the text cleaned, and COUNTS (in lines with a word) behind them.
 
     n_lines, n_removed; longest_run: the longest run that is a later copy; longest_power: the largest 2^k
     such that a run of so many lines is repeated at all. Columns of those names are replaced; all others
     stay as they are.
     """
-    gone = later_copies(doubling(line_ids(df, key, text)), min_run)
+    gone = later_copies(doubling(line_ids(df, key, text, single)), min_run, single)
     if gone is None:
         gone = df.sparkSession.createDataFrame([], "_doc bigint, _text bigint, _gone array<int>, longest bigint, power int")
     gone = gone.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_gone", "longest", "power")

@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; n_chars follows the text."""
-    clean = op9_lines.remove_repeated_lines(docs.select(*COLUMNS), "doc_id", "text")
+    """Later copies of repeated line runs go, those of one line if it is long or a document's only one; n_chars follows the text."""
+    clean = op9_lines.remove_repeated_lines(docs.select(*COLUMNS), "doc_id", "text", single=True)
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -133,6 +133,18 @@ def test_maximal_runs(spark):
     assert op9_lines.remove_repeated_lines(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_single_lines_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(20))
+    short = " ".join(f"word{i}" for i in range(19))
+    rows = [(1, f"a\n{long}\nb\n{short}\nc"), (2, f"d\n{long}\ne\n{short}\nf"), (3, f"\n{short}"), (4, "only"), (5, "only"), (6, f"only\n\n{long}\n{long}"), (7, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    want = {1: rows[0][1], 2: f"d\ne\n{short}\nf", 3: "", 4: "only", 5: "", 6: "only\n", 7: None}
+    assert got == {d: (t, len(t or "")) for d, t in want.items()}
+
+
 def level(sizes, weights, share=1.5, most=2.0):
     """Targets by sharing out the excess again and again."""
     total = share * sum(sizes)
