@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import types
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +27,7 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share. Only where none is named (tests) is a local one set."""
+    """The folder that all machines share. Only in local mode, and where none is named (tests), is a local one set."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"/tmp/argentum-checkpoints-{context.applicationId}")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/argentum-checkpoints-{context.applicationId}")
     return context.getCheckpointDir()
 
 
@@ -49,6 +54,31 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+#: A key is hot if it holds more rows than this, and more than half of a task's even share.
+HOT_ROWS = 1000
+
+
+def meet(big: DataFrame, small: DataFrame, on: list[str], n: str) -> DataFrame:
+    """The inner join of big with small, which has one row for each key, and under n how many rows of big have it.
+
+    Rows of hot keys meet a broadcast instead of one task. A hot key has more than a (2 x tasks)th of all rows, so
+    there are fewer of them than twice the tasks. Both tables should be cut already, as they are read more than once.
+    """
+    tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, most = small.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_ROWS, (rows or 0) // (2 * tasks))
+    if (most or 0) <= limit:
+        return big.join(small.drop(n), on)
+    hot = small.filter(F.col(n) > limit).drop(n)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(n) <= limit).drop(n), on)
+    return big.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/argentum-{what}-{uuid.uuid4().hex}"
@@ -90,11 +120,14 @@ def give_back() -> None:
         pass
 
 
-def drop_kept() -> None:
-    """Drops the tokenizers that an earlier stage kept in this worker (see op4_bpe)."""
-    import sys
+def worker_store() -> dict:
+    """What this Python worker keeps from task to task. It hangs on a module of its own, as functions come by value."""
+    return sys.modules.setdefault("argentum_worker_store", types.ModuleType("argentum_worker_store")).__dict__.setdefault("kept", {})
 
-    sys.modules["pyspark"].__dict__.pop("_argentum_coders", None)
+
+def drop_kept() -> None:
+    """Empties the worker's store, so that a stage that doesn't use it has that memory."""
+    worker_store().clear()
     give_back()
 
 

@@ -5,8 +5,9 @@ to the places where it stands is then replayed in rank order: a merge is applied
 words, and only the pairs with the touched neighbours are taken up anew. Words that were met before come
 from a bounded store. Texts are joined together from their words' ids, and decoded again from the ids.
 
-Cases: a null text is an empty one and has no ids; a text of any length is one of a block's texts; rows
-and their ids may repeat; other columns aren't read.
+Cases: a null text is an empty one and has no ids; a text of any length, and a word of any length, is one of
+a block's; of equal ranks in a word the leftmost merges first; rows and their ids may repeat; other columns
+aren't read, and the pipeline's form replaces those of its own names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,8 +162,8 @@ class Coder:
 
 
 def _coder(path: str, pattern: str) -> Coder:
-    """The worker's coder. It hangs on a module that lives as long as the worker, so that tasks share its store."""
-    held = sys.modules["pyspark"].__dict__.setdefault("_argentum_coders", {})
+    """The worker's coder; tasks of one worker share its store."""
+    held = common.worker_store()
     if (path, pattern) not in held:
         held.clear()
         with open(path, "rb") as f:
