@@ -9,16 +9,21 @@ How a level is asked: the texts are written once as a bucketed table of slots of
 its windows and sends each different hash once, packed by hash range, so a passage that all documents
 share costs a slot one hash. A range finds the hashes that several slots sent and answers with one bit
 for each. The answers meet the slots at their buckets: no text is shuffled at any level. The low levels
-only filter and use 32 bits within a range; the last one decides by 96 bits and the range.
+only filter and use 32 bits within a range; the last one decides by 96 bits. All come from a keyed hash of
+each word with a key that is drawn for the run, so that no text can be written to collide; by chance, 10^13
+windows hold a collision with a probability under 0.002.
 
 Cases: a null text has no words; texts of any length are taken whole; a text under a window's length has
 no window; null ids come first, like the smallest number; rows with the same id and the same text are as
-early as each other, so neither is removed for the other's sake; an empty table gives an empty result.
+early as each other, so neither is removed for the other's sake; other columns aren't read, so their names
+don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import secrets
 import sys
 import uuid
 from collections.abc import Iterator
@@ -34,6 +39,9 @@ from argentum.llm import common
 WINDOW, BASE = 20, 5
 #: Bytes of texts in a slot, of a block that is hashed at once, and windows in a range.
 SLOT_BYTES, BLOCK, RANGE_WINDOWS = 3 << 20, 4 << 20, 1_500_000
+#: Words whose hashes are kept while a slot is hashed.
+KNOWN_WORDS = 200_000
+SPACE = re.compile(rb"[\x09-\x0d ]")
 #: Buckets of the table of slots at most (Spark allows 100 000); beyond that a bucket holds several tasks' files.
 MOST_BUCKETS = 50_000
 U = np.uint64
@@ -51,46 +59,28 @@ def _pair(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return _scramble(x * U(_R + 2 * seed) + (y ^ (y >> U(32))) * U(0xD6E8FEB86659FD93))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number modulo 2^64 and their inverses; kept as long as the worker lives."""
-    held = sys.modules["numpy"].__dict__.setdefault("_argentum_powers", [])
-    if not held:
-        up, down = np.full(BLOCK + 1, _R, U), np.full(BLOCK + 1, pow(_R, -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        held += [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return held[0], held[1]
-
-
-def _byte_values() -> np.ndarray:
-    return _scramble(np.arange(1, 257, dtype=U))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word. A word's hash depends on its bytes only; words over BLOCK bytes get another kind."""
-    spaces = np.zeros(256, bool)
-    spaces[[9, 10, 11, 12, 13, 32]] = True
-    raw = np.frombuffer(data, np.uint8)
-    blank = np.concatenate(([True], spaces[raw], [True]))
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    out = np.empty(len(starts), U)
-    up, down = _powers()
-    values = _byte_values()
-    i = 0
-    while i < len(starts):
-        at = starts[i]
-        j = int(np.searchsorted(ends, at + BLOCK, "right"))
-        if j <= i:
-            out[i] = int.from_bytes(hashlib.blake2b(data[at : ends[i]], digest_size=8).digest(), "little")
-            i += 1
-            continue
-        part = raw[at : ends[j - 1]]
-        total = np.zeros(len(part) + 1, U)
-        np.cumsum(values[part] * up[: len(part)], out=total[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = _scramble((total[e] - total[s]) * down[s] + (e - s).astype(U))
-        i = j
-    return out, starts
+def word_hashes(texts: list[bytes], secret: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(two hashes of each word of all texts, number of words of each text).
+
+    A word's hashes are the halves of its keyed BLAKE2b digest: who writes texts can't make words, or windows of
+    words, that collide. Texts are cut into blocks at white space, so a long text is never a list of all its words.
+    """
+    known: dict[bytes, bytes] = {}
+    parts, counts = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            cut = SPACE.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            words = text[at:end].split()
+            for w in set(words) - known.keys():
+                known[w] = hashlib.blake2b(w, digest_size=16, key=secret).digest()
+            parts.append(b"".join(map(known.__getitem__, words)))
+            counts[k] += len(words)
+            at = end
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2), counts
 
 
 def spark_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -111,13 +101,11 @@ def spark_bucket(keys: np.ndarray, n: int) -> np.ndarray:
 class Slot:
     """The words of some documents, and the windows of each level that are still in question."""
 
-    def __init__(self, docs: list[tuple[int, bytes]]):
+    def __init__(self, docs: list[tuple[int, bytes]], secret: bytes):
         self.ids = np.array([d for d, _ in docs], np.int64)
-        sizes = np.array([len(t) + 1 for _, t in docs], np.int64)
-        self.hashes, starts = word_hashes(b" ".join(t for _, t in docs))
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        self.doc = np.searchsorted(at, starts, "right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(docs)))
+        self.hashes, counts = word_hashes([t for _, t in docs], secret)
+        self.doc = np.repeat(np.arange(len(docs)), counts)
+        self.first = np.cumsum(counts) - counts
         self.places = np.arange(len(self.hashes))
         self.length = 0
         self.chains: dict[int, np.ndarray] = {}
@@ -128,9 +116,10 @@ class Slot:
         places = np.arange(m)
         self.places, self.length = places[self.doc[:m] == self.doc[base - 1 : base - 1 + m]], base
         for seed in (1, 2):
-            h = self.hashes[:m]
+            word = np.ascontiguousarray(self.hashes[:, seed - 1])
+            h = word[:m]
             for k in range(1, base):
-                h = _pair(h, self.hashes[k : k + m], seed)
+                h = _pair(h, word[k : k + m], seed)
             self.chains[seed] = h
 
     def extend(self, repeated: np.ndarray) -> None:
@@ -183,7 +172,7 @@ class Question:
 
     def rows(self) -> Iterator[tuple[int, int, int]]:
         """(range, from, to) of the packed hashes."""
-        ends = np.append(self.cut[1:], len(self.key))
+        ends = np.append(self.cut[1:], len(self.key))[: len(self.cut)]  # none, if no window is in question
         for s, e in zip(self.cut.tolist(), ends.tolist(), strict=True):
             yield int(self.range[s]), s, e
 
@@ -239,12 +228,12 @@ def _slots(n: int):
     return run
 
 
-def _open(table: pa.Table) -> tuple[Slot, list, list[bytes]]:
+def _open(table: pa.Table, secret: bytes) -> tuple[Slot, list, list[bytes]]:
     order = np.argsort(table.column("seq").to_numpy(), kind="stable")
     ids = table.column("doc_id").to_pylist()
     raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for c in table.column("text").chunks for x in c]
     ids, raw = [ids[i] for i in order], [raw[i] for i in order]
-    return Slot([(-(1 << 63) if d is None else d, t) for d, t in zip(ids, raw, strict=True)]), ids, raw
+    return Slot([(-(1 << 63) if d is None else d, t) for d, t in zip(ids, raw, strict=True)], secret), ids, raw
 
 
 def _replayed(slot: Slot, answers: pa.Table | None, lengths: list[int], ranges: int, last: int) -> list[Question]:
@@ -261,11 +250,11 @@ def _replayed(slot: Slot, answers: pa.Table | None, lengths: list[int], ranges:
     return [q, got.get(last, {})]
 
 
-def _asking(lengths: list[int], ranges: int, level: int):
+def _asking(lengths: list[int], ranges: int, level: int, secret: bytes):
     full = level == len(lengths) - 1
 
     def run(key, table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        slot, _, _ = _open(table)
+        slot, _, _ = _open(table, secret)
         q, _ = _replayed(slot, answers, lengths, ranges, level)
         rows = list(q.rows())
         none = [None] * len(rows)
@@ -316,13 +305,13 @@ def _answering(level: int, full: bool):
     return run
 
 
-def _removing(lengths: list[int], ranges: int, texts: bool):
+def _removing(lengths: list[int], ranges: int, texts: bool, secret: bytes):
     window = lengths[-1]
 
     def run(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([[]] * 4, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()) if texts else ("kept_sha256", pa.string())]))
-        slot, ids, raw = _open(table)
+        slot, ids, raw = _open(table, secret)
         q, bits = _replayed(slot, answers, lengths, ranges, len(lengths) - 1)
         later = ~(q.answered(bits)[q.group] & q.is_first)
         starts = slot.places[q.order[later]]
@@ -358,6 +347,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = WINDOW, bas
     if lengths[-1] != window:
         raise ValueError("window must be base times a power of two")
     common.small_batches(spark)
+    secret = secrets.token_bytes(32)
     slim = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = min(max(1, slim.rdd.getNumPartitions()), MOST_BUCKETS)
     name, path = f"argentum_slots_{uuid.uuid4().hex}", common.shared_path(spark, "slots")
@@ -371,12 +361,12 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = WINDOW, bas
         for level in range(len(lengths)):
             full = level == len(lengths) - 1
             if level:
-                asked = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_with_answers(_asking(lengths, ranges, level)), ASK)
+                asked = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_with_answers(_asking(lengths, ranges, level, secret)), ASK)
             else:
-                asked = slots.groupBy("slot").applyInArrow(_alone(_asking(lengths, ranges, level)), ASK)
+                asked = slots.groupBy("slot").applyInArrow(_alone(_asking(lengths, ranges, level, secret)), ASK)
             answers = answers.unionByName(common.cut(asked.groupBy("range").applyInArrow(_answering(level, full), ANSWER)))
         schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept binary" if texts else "kept_sha256 string")
-        return common.cut(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_removing(lengths, ranges, texts), schema))
+        return common.cut(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_removing(lengths, ranges, texts, secret), schema))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         common.remove_path(spark, path)

@@ -42,6 +42,42 @@ def test_a_rare_language_takes_nothing_from_the_others(spark):
     assert sum(r.lang_pred == right[r.doc_id] and not r.rejected for r in got) >= 199
 
 
+def test_language_by_a_plain_loop(spark):
+    import math
+
+    import zstandard
+
+    rows = [(i, prose("de" if i % 3 == 0 else "en", 30 + 60 * i, 50 + i), "de" if i % 3 == 0 else "en", "s", None) for i in range(24)]
+    raw = op2_language.learn(frame(spark, rows))
+    got = {r.doc_id: r for r in op2_language.predict(frame(spark, rows), "doc_id", "text", raw).collect()}
+    for doc_id, text, *_ in rows:
+        plain = (" " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " ").encode()
+        sizes = {}
+        for lang in sorted(raw):
+            d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=op2_language.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(plain[i : i + op2_language.PIECE])) for i in range(0, len(plain), op2_language.PIECE))
+        first, second = sorted(sizes.values())
+        assert got[doc_id].lang_pred == min(sizes, key=sizes.get)
+        margin = (second - first) / second
+        assert math.isclose(got[doc_id].score, 1 - math.exp(-margin / 0.05)) and got[doc_id].rejected == (margin < op2_language.MARGIN)
+
+
+def test_nothing_learned_keeps_what_has_letters(spark):
+    rows = [(i, prose("en", 40, i), None, "s", "x") for i in range(50)] + [(90, "12 34", "en", "s", "x"), (91, None, "en", "s", "x")]
+    raw = op2_language.learn(frame(spark, rows))
+    assert raw == {}
+    assert {r.doc_id for r in op2_language.keep(frame(spark, rows), "text", raw).collect()} == set(range(50))
+    one = op2_language.keep(frame(spark, rows), "text", {"en": b" some words of one language "})
+    assert {r.doc_id for r in one.collect()} == set(range(50))
+
+
+def test_the_sample_comes_from_all_of_a_text(spark):
+    rows = [(i, "anfang " * 400 + "mitte " * 400 + "ende " * 400, "de", "s", None) for i in range(60)]
+    raw = op2_language.learn(frame(spark, rows))["de"]
+    assert b"anfang" in raw and b"mitte" in raw and b"ende" in raw
+
+
 def odd_texts():
     r = random.Random(3)
     pick = lambda: chr(r.choice([r.randrange(32, 127), r.randrange(0x20, 0x3000), 97, 98, 0x1F600]))
@@ -263,12 +299,26 @@ def test_substrings_repeated_rows_and_no_rows(spark):
 
 def test_word_hashes_depend_on_words_only(monkeypatch):
     monkeypatch.setattr(op8_substrings, "BLOCK", 64)
-    monkeypatch.setitem(np.__dict__, "_argentum_powers", [])
+    monkeypatch.setattr(op8_substrings, "KNOWN_WORDS", 3)
     words = [b"a", b"bb", "wörter".encode(), b"x" * 63, b"y" * 65, b"z" * 1000, b"\x00", b"a\x00"]
-    alone = [int(op8_substrings.word_hashes(w)[0][0]) for w in words]
-    together, starts = op8_substrings.word_hashes(b" \n" + b"\t ".join(words * 3) + b" ")
-    assert together.tolist() == alone * 3 and len(set(alone)) == len(words) and len(starts) == 24
-    np.__dict__["_argentum_powers"].clear()
+    alone = [op8_substrings.word_hashes([w], b"k")[0][0].tolist() for w in words]
+    together, counts = op8_substrings.word_hashes([b" \n" + b"\t ".join(words * 3) + b" ", b"", b" ", b"a"], b"k")
+    assert together.tolist() == alone * 3 + alone[:1] and counts.tolist() == [24, 0, 0, 1]
+    assert len({h for pair in alone for h in pair}) == 2 * len(words)
+    assert op8_substrings.word_hashes([b"a"], b"other")[0].tolist() != alone[:1]
+    assert op8_substrings.word_hashes([], b"k")[0].shape == (0, 2)
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_mix_up(spark, n):
+    same = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{same} {thue_morse(n, i)}", None, None, None) for i in (0, 1)]
+    got = op8_substrings.remove_repeats(frame(spark, rows), "doc_id", "text").collect()
+    assert [r.n_removed for r in got] == [0, 0]
 
 
 def test_buckets_are_sparks(spark):
