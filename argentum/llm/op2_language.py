@@ -4,13 +4,17 @@ For each language a zstandard raw-content dictionary is made from a bounded samp
 Every piece of a text is encoded with each dictionary and the sizes are summed over the whole text; the
 smallest sum names the language. Where the runner-up comes close, the text is rejected.
 
-A dictionary is as long as its language's sample, up to DICTIONARY_BYTES: a language with little labelled
-text is told less surely, and takes nothing from the others.
+The sample is a piece from anywhere in each drawn text. A dictionary is as long as its language's sample, up to
+DICTIONARY_BYTES: a language with little labelled text is told less surely, and takes nothing from the others.
+Bounds of the learning, not of the prediction: SAMPLE_TEXTS pieces of TEXT_LETTERS for each of the MOST_LANGUAGES
+that have most labelled texts (a table of dirty labels may hold any number of them).
 
 Cases: a null text, or one without a letter, is `und` with score 0 and rejected; null languages, and those
 whose labelled texts have no letter, are never learned; without any labelled text every prediction is
 `und`; with one language only it is always that one; equal sums go to the language that comes first by
-code point; a text of any length is encoded whole; an empty table gives an empty result.
+code point; a text of any length is encoded whole; repeated rows are predicted alike; only the named columns are
+read, and filtering keeps columns of any name; an empty table gives an empty result. Where no language was learned,
+filtering keeps every row that has a letter: nothing speaks against them.
 """
 
 from __future__ import annotations
@@ -26,22 +30,27 @@ from pyspark.sql import functions as F
 
 from argentum.llm import common
 
-#: The sample: labelled texts drawn for a language, bytes of each that enter, bytes of a dictionary.
-SAMPLE_TEXTS, TEXT_BYTES, DICTIONARY_BYTES = 400, 1200, 96 << 10
+#: The sample: labelled texts drawn for a language, letters of each that enter, bytes of a dictionary, languages.
+SAMPLE_TEXTS, TEXT_LETTERS, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 1200, 96 << 10, 200
 #: Bytes of a text that are encoded at once, level, and the margin below which a text is rejected.
 PIECE, LEVEL, MARGIN = 4096, 11, 0.01
 UNKNOWN = "und"
 
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """(language, plain text) of at most about 1.5 times `texts` rows for each language, drawn by a hash of the key."""
+    """(language, plain piece) of at most about 1.5 times `texts` rows for each language, drawn by a hash of the key.
+
+    Where a piece begins in its text's letters is drawn as well.
+    """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = dict(rows.groupBy(lang).count().collect())
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), lang).limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 1.25 * texts / n)]), F.col(lang))
-    drawn = rows.filter(draw < share).select(F.col(lang), plain(F.col(text)).substr(1, TEXT_BYTES), draw.alias("d"), F.xxhash64(text).alias("t"))
+    letters = plain(F.col(text))
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col(key)), F.greatest(F.length(letters) - TEXT_LETTERS, F.lit(0)) + 1).cast("int") + 1
+    drawn = rows.filter(draw < share).select(F.col(lang), F.substr(letters, start, F.lit(TEXT_LETTERS)), draw.alias("d"), F.xxhash64(text).alias("t"))
     return [(r[0], r[1]) for r in sorted(drawn.collect(), key=lambda r: (r[0], r[2], r[3]))]
 
 
@@ -50,7 +59,7 @@ def dictionaries(drawn: list[tuple[str, str]], size: int = DICTIONARY_BYTES) ->
     found: dict[str, dict[bytes, None]] = {}
     used: dict[str, int] = {}
     for lang, text in drawn:
-        raw = text.encode("utf-8")[:TEXT_BYTES]
+        raw = text.encode("utf-8")
         mine = found.setdefault(lang, {})
         if raw.strip() and raw not in mine and used.get(lang, 0) + len(raw) <= size:
             mine[raw] = None
@@ -104,7 +113,9 @@ def predict(df: DataFrame, key: str, text: str, raw: dict[str, bytes], margin: f
 
 
 def keep(df: DataFrame, text: str, raw: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The rows, all their columns as they were, whose language isn't rejected."""
+    """The rows, all their columns as they were, whose language isn't rejected; all with a letter if none was learned."""
+    if not raw:
+        return df.filter(F.trim(plain(F.col(text))) != "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.drop_kept()
