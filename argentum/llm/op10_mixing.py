@@ -5,15 +5,24 @@ weighted sample without replacement. The values are sorted within each source an
 that order: a source that may be used e whole times takes every document e times, and what is left of
 its target goes to the documents that come first.
 
-The running sums are made in two levels: a source's values are dealt into ranges, whose sums are added
-up first; so one source that holds most rows is spread over as many tasks as it needs.
+A document's quality weight is that of its label, where it has one, else it falls with the number of symbols
+that prose doesn't use.
 
-Cases: a null text has size 0; null is a source of its own, the last; null keys draw alike; a source
-of size 0 has target 0; rows that are equal in key are drawn by size; an empty table gives an empty one.
+The running sums are made in two levels: a source's values are dealt into ranges, whose sums are added
+up first; so one source that holds most rows is spread over as many tasks as it needs. The ranges are equal
+in the logarithm of the value: there an exponential value's density is at most 1/e, whatever its weight, and
+so is that of any mixture of weights; no range can hold more rows than it should.
+
+Cases: a null text has size 0, and texts of any length are counted whole; null is a source of its own, the last;
+rows without a key are drawn by their text and have no label; of several labels of a key the lowest counts; a source of size 0 has target 0;
+rows that are equal in key are drawn by size, repeated rows one after the other; the caller's columns keep names of any
+kind; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,6 +34,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Rows of a range at least; sources up to which their table is broadcast.
 RANGE_ROWS, BROADCAST_SOURCES = 2000, 50_000
 SYMBOLS = r"[#*$%&|<>]"
+#: Weights of documents that are labelled bad and good.
+BAD, GOOD = 0.1, 1.0
 
 
 def uniform(key: Column, seed: str = "mix") -> Column:
@@ -33,10 +44,29 @@ def uniform(key: Column, seed: str = "mix") -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def quality(size: Column, text: Column) -> Column:
-    """A document's weight, 0.1 to 1: it falls with the number of symbols that prose doesn't use."""
-    symbols = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SYMBOLS))
-    return 0.1 + 0.9 * (size + 1.0) / (size + 1.0 + 4.0 * symbols)
+def symbols(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SYMBOLS))
+
+
+def quality(size: Column, n_symbols: Column, label: Column) -> Column:
+    """A document's weight, 0.1 to 1: by its label (0 is bad), without one by the number of symbols that prose doesn't use."""
+    guess = BAD + (GOOD - BAD) * (size + 1.0) / (size + 1.0 + 4.0 * n_symbols)
+    return F.when(label == 0, BAD).when(label.isNotNull(), GOOD).otherwise(guess)
+
+
+def identity(key: Column, text: Column) -> Column:
+    """What a row is drawn by: its key or, without one, its text, so that rows without a key don't all draw alike."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("-"), F.xxhash64(text).cast("string")))
+
+
+def labelled(slim: DataFrame, key: str, labels: DataFrame | None) -> DataFrame:
+    """The rows with their quality label beside them (_label), null where there is none. labels: (doc_id, quality)."""
+    if labels is None:
+        return slim.withColumn("_label", F.lit(None).cast("int"))
+    least = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("_of")).agg(F.min(F.col("quality").cast("int")).alias("_label"))
+    known = F.col(key).isNotNull()
+    found = slim.filter(known).join(least, F.col(key).cast("bigint") == F.col("_of"), "left").drop("_of")
+    return found.unionByName(slim.filter(~known).withColumn("_label", F.lit(None).cast("int")))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -59,22 +89,25 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "n", "source_size", target.cast("double").alias("target"))
 
 
-def mix(df: DataFrame, key: str, source: str, size: Column, weight: Column, carry: dict[str, Column] | None = None) -> DataFrame:
+def mix(df: DataFrame, key: str, source: str, size: Column, weight: Column, carry: dict[str, Column] | None = None, drawn_by: Column | None = None) -> DataFrame:
     """key, source, size, source_size, target, copies, taken (and the carried columns) of each row.
 
+    drawn_by: what the random number comes from, if not the key alone.
     copies: how often the whole document is taken. Past the complete epochs a document is taken while at
     least half of it lies within what is left of the target, so a source misses its target by half of one
     document at most.
     """
-    slim = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.cast("bigint").alias("size"), (-F.log(uniform(F.col(key))) / weight).alias("_draw"), *[c.alias(k) for k, c in (carry or {}).items()])
+    slim = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.cast("bigint").alias("size"), (-F.log(uniform(F.col(key) if drawn_by is None else drawn_by)) / weight).alias("_draw"), *[c.alias(k) for k, c in (carry or {}).items()])
     slim = common.cut(slim)
     sources = common.cut(targets(slim.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))))
     small = sources.count() <= BROADCAST_SOURCES
-    ranges = F.ceil(F.col("n") / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("n")))
+    # the width of a range in the logarithm of the draw: 1/e of it is the most that a range can hold of a source
+    width = math.e * F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("n")) / F.col("n")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    sources = sources.select(F.col("source").alias("_s"), "source_size", "target", ranges.alias("_ranges"), whole.cast("bigint").alias("_epochs"))
+    sources = sources.select(F.col("source").alias("_s"), "source_size", "target", width.alias("_width"), whole.cast("bigint").alias("_epochs"))
     rows = slim.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_range", F.floor((1.0 - F.exp(-F.col("_draw"))) * F.col("_ranges")).cast("bigint"))
+    # a source of up to RANGE_ROWS rows is one range
+    rows = rows.withColumn("_range", F.when(F.col("_width") >= math.e, 0).otherwise(F.floor(F.log("_draw") / F.col("_width"))).cast("bigint"))
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
@@ -87,34 +120,36 @@ def mix(df: DataFrame, key: str, source: str, size: Column, weight: Column, carr
     return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(carry or {}))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """mix() of a table like documents, by words and by quality()."""
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("text").cast("string").alias("text")).withColumn("size", F.size(common.words(F.col("text"))).cast("bigint"))
-    return mix(slim, "doc_id", "source", F.col("size"), quality(F.col("size"), F.col("text")))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("source"), F.col("text").cast("string").alias("text"))
+    slim = slim.select("doc_id", "source", F.size(common.words(F.col("text"))).cast("bigint").alias("size"), symbols(F.col("text")).alias("_symbols"), identity(F.col("doc_id"), F.col("text")).alias("_by"))
+    return mix(labelled(slim, "doc_id", labels), "doc_id", "source", F.col("size"), quality(F.col("size"), F.col("_symbols"), F.col("_label")), drawn_by=F.col("_by"))
 
 
-def repeat(docs: DataFrame) -> DataFrame:
+def repeat(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows, all their columns as they were, each as often as the mix takes it. Equal rows are taken alike."""
     # The caller's columns travel in a struct, where no name can clash.
     names = docs.columns
     marked = docs.select(F.struct(F.col("doc_id").alias("k"), F.xxhash64(*names).alias("h")).alias("_row"), F.struct(*names).alias("_all"))
     text = F.col("_all")["text"].cast("string")
-    slim = marked.select("_row", F.col("_row.k").cast("string").alias("key"), F.col("_all")["source"].alias("source"), text.alias("text")).withColumn("size", F.size(common.words(F.col("text"))).cast("bigint"))
-    drawn = mix(slim, "key", "source", F.col("size"), quality(F.col("size"), F.col("text")), {"_row": F.col("_row")})
+    slim = marked.select("_row", F.col("_row.k").alias("key"), F.col("_all")["source"].alias("source"), F.size(common.words(text)).cast("bigint").alias("size"), symbols(text).alias("_symbols"), identity(F.col("_row.k"), text).alias("_by"))
+    drawn = mix(labelled(slim, "key", labels), "key", "source", F.col("size"), quality(F.col("size"), F.col("_symbols"), F.col("_label")), {"_row": F.col("_row")}, F.col("_by"))
     copies = common.cut(drawn.filter("copies > 0").groupBy("_row").agg(F.max("copies").alias("_copies")))
     taken = marked.join(copies.withColumnRenamed("_row", "_r"), F.col("_row").eqNullSafe(F.col("_r")))
     return taken.select("_all", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select("_all.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLE = r"""
 WITH w AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
 d AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-             / (0.1 + 0.9 * (size + 1.0) / (size + 1.0 + 4.0 * symbols)) AS draw FROM w),
+             / CASE WHEN label = 0 THEN 0.1 WHEN label IS NOT NULL THEN 1.0 ELSE 0.1 + 0.9 * (size + 1.0) / (size + 1.0 + 4.0 * symbols) END AS draw
+      FROM w LEFT JOIN (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0 * sum(size)::DOUBLE AS full_,
              [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM s) - coalesce(sum(full_) OVER (ORDER BY full_ / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
