@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. A stage's table has the
 columns of documents; the last one adds the tokens.
+
+Cases: a null text, or one without a letter, goes in the language stage; a later stage given one keeps it (lines,
+near_copies as a document without words, mixing not, as it has size 0, tokens with no ids); null ids, languages and
+sources are values like others; columns besides those of documents are dropped; repeated rows are one document to
+near_copies; texts of any length are taken whole; without labelled languages the language stage keeps all rows with a
+letter, without a table of labels mixing draws by the texts alone; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -32,8 +38,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
-    return op10_mixing.repeat(docs.select(*COLUMNS))
+    """Each document comes as often as the mix takes it; labels of quality weigh the draw where there are any."""
+    labels = common.table(spark, sf_dir, "labels") if common.has_table(spark, sf_dir, "labels") else None
+    return op10_mixing.repeat(docs.select(*COLUMNS), labels)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
