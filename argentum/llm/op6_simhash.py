@@ -12,9 +12,14 @@ reaches, and these aren't compared again; near copies by the thousand cost littl
 first comparison. Lists over HOT_LIST go another exact way: two fingerprints within 4 bits have a point
 within 2 bits of both, so each is sent to all points within 2 bits (in the bytes that the list leaves
 free), and who meets at a point is linked; that spreads a list over all tasks. The links' components are
-found by alternating large-star and small-star steps.
+found by alternating large-star and small-star steps. Joins on a fingerprint, a node or a root that many rows
+share send these rows to a broadcast of the hot keys, not to one task.
 
-Cases: a null text, or one without words, has fingerprint 0 and is linked like any other; a text of fewer
+Four bits of 64 are the contract's measure: of near copies that differ in some words it finds those whose
+fingerprints stay that close (see the README), of exact copies all.
+
+Cases: a null text, or one without words, has fingerprint 0 and is linked like any other; texts of any length are
+hashed whole; the query reads key and text only, and keep_first keeps columns of any name; a text of fewer
 than 4 words is one shingle; repeated rows come back as often as they came; null ids have no number to
 give, so a component of only such has a null id; an empty table gives an empty result.
 """
@@ -217,8 +222,8 @@ def components(edges: DataFrame) -> DataFrame:
             e = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             e = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        hung = e.join(least, "u")
+        least = common.cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        hung = common.meet(e, least, ["u"], "n")
         if large:
             hung = hung.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
@@ -231,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.cut(edges)
     before = mark(edges)
     while before[0]:
-        edges = common.cut(step(step(edges, True), False))
+        edges = common.cut(step(common.cut(step(edges, True)), False))
         now = mark(edges)
         if now == before:
             break
@@ -242,12 +247,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, hot_list: int = HOT_LIST) -> DataFrame:
     """key, fp (signed), component_id: the smallest key among the documents that links reach."""
     rows = common.cut(fingerprints(df, key, text, shingle))
-    distinct = common.cut(rows.groupBy("fp").agg(F.min(key).alias("_least")))
+    distinct = common.cut(rows.groupBy("fp").agg(F.min(key).alias("_least"), F.count("*").alias("_rows")))
     found = components(links(distinct.select("fp"), hot_list))
-    groups = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = common.cut(groups.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+    groups = common.cut(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "_least", "_rows", F.coalesce("root", "fp").alias("root")))
+    ids = common.cut(groups.groupBy("root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_members")))
+    named = common.cut(common.meet(groups, ids, ["root"], "_members").select("fp", "component_id", "_rows"))
+    return common.meet(rows, named, ["fp"], "_rows").select(key, "fp", "component_id")
 
 
 def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
