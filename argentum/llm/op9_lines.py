@@ -13,7 +13,8 @@ the query follows its SQL), a later copy of one line goes too, if the line has L
 its document's only one.
 
 Cases: only lines with a word are part of a sequence, so blank lines never make a run and always stay;
-a null text has no lines and stays null; equal rows (id and text) are judged alike, as one; rows with
+a null text has no lines and stays null; texts of any length are split whole; columns of any name are kept, but
+those of COUNTS are replaced; equal rows (id and text) are judged alike, as one; rows with
 the same id and another text come in the order of a hash of their text; null ids come first. A document
 of which every line goes keeps its blank lines, or an empty text. An empty table gives an empty one.
 """
@@ -51,10 +52,10 @@ def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
     The ranks are ids handed out along a range-partitioned sort of the distinct values: they keep the
     order, and no task sees more than its range.
     """
-    groups = df.groupBy(*by).agg(F.min(F.struct(*AT)).alias("first"), F.max(F.struct(*AT)).alias("_last"))
-    groups = groups.filter(F.col("first") != F.col("_last")).drop("_last").orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
-    groups = common.cut(groups)
-    return df.join(groups, by)
+    groups = df.groupBy(*by).agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("_n"))
+    groups = groups.filter("_n > 1").orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
+    # A very common line is one key; its rows meet a broadcast.
+    return common.meet(df, common.cut(groups), by, "_n")
 
 
 def doubling(lines: DataFrame, least_levels: int = 0) -> list[DataFrame]:
@@ -137,8 +138,9 @@ def remove_repeated_lines(df: DataFrame, key: str, text: str, min_run: int = MIN
     gone = gone.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_gone", "longest", "power")
     # The caller's columns travel in a struct, where no name can clash.
     names = [c for c in df.columns if c not in COUNTS]
-    rows = df.select(F.struct(*[c for c in names if c != text]).alias("_others"), F.col(text).alias("_old"), F.split(F.col(text), "\n").alias("_lines"), *_row_key(key, text))
-    out = rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
+    rows = df.select(F.struct(*[c for c in names if c != text]).alias("_others"), F.col(text).alias("_old"), *_row_key(key, text))
+    # Texts are split after the join, so that they're shuffled once.
+    out = rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left").withColumn("_lines", F.split(F.col("_old"), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     n = F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
