@@ -3,18 +3,25 @@
 Every text gets counts, and from them a vector of transformed statistics. For each group (language and
 source) a robust centre and scatter are estimated by concentration steps: the 75 % of the group with the
 smallest distances give a new mean and covariance, which give new distances, and so on; each step lowers
-the covariance's determinant. A document whose Mahalanobis distance is too large is rejected.
+the covariance's determinant. There are two starts, medians with median absolute deviations and plain means
+with covariances; steps end when no group's determinant falls any more, and the start with the least
+determinant counts. A document whose Mahalanobis distance is too large is rejected.
+
+Every group is judged, however small: a language is estimated over all its rows too, and so is the whole table.
+A group's estimate is shrunk towards its language's, and that towards the table's, by n / (n + SHRINK).
 
 All of it is DataFrame work. Quantiles come from counts by bin, so that a group of any size costs sums
-only; the estimates are one row per group. Groups under MIN_ROWS are pooled by language; a pool that is
-still smaller keeps all its documents, for want of an estimate.
+only; the estimates are one row per group.
 
-Cases: a null text has no words; null language or source is a group of its own; repeated rows count as
-often as they come; an empty table gives an empty result; columns that aren't named are never read.
+Cases: a null text has no words, and texts of any length are counted whole; null language or source is a group of
+its own; rows on the edge of a quantile's bin all belong to it; repeated rows count as often as they come; an empty
+table gives an empty result; columns that aren't named are never read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,17 +31,21 @@ from argentum.llm import common
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
-#: Share of a group that gives the estimate, concentration steps, rows that a group needs.
-CORE, STEPS, MIN_ROWS = 0.75, 4, 100
-#: The cutoff of the squared distance. It lies far beyond the 0.9999 quantile of chi-square with 4 degrees of
-#: freedom (23.5), as the statistics of clean prose have heavier tails than the normal distribution: prose
-#: with a few repeated lines reaches 100, text full of symbols begins at 400.
-CUTOFF, CHI2_MEDIAN = 150.0, 3.3567
-#: Standard deviations below which no statistic of a group is taken to vary.
-FLOORS = {"x_length": 0.04, "x_symbols": 0.05, "x_lines": 0.08, "x_repeats": 0.08}
+#: Share of a group that gives the estimate, concentration steps at most, and the part of a determinant that counts as a fall.
+CORE, STEPS, FALL = 0.75, 5, 1e-9
+#: Rows of the language (of the table) that a group's (a language's) estimate is mixed with.
+SHRINK = 50.0
+#: The cutoff of the squared distance is the 0.9999 quantile of chi-square with 4 degrees of freedom; and its median.
+CUTOFF, CHI2_MEDIAN = 23.5127, 3.3567
+#: The tolerance of each statistic: a standard deviation below which no group is taken to vary, as clean prose has no
+#: symbols or repeats at all. Half of a text's lines repeated, or a fifth of its words, are some three of them.
+FLOORS = {"x_length": 0.04, "x_symbols": 0.05, "x_lines": 0.15, "x_repeats": 0.12}
 X = list(FLOORS)
-#: Groups up to which their estimates are broadcast (some 200 bytes a row).
+PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
+#: Groups up to which their estimates are broadcast (some 300 bytes a row).
 BROADCAST_GROUPS = 50_000
+#: Bins of a statistic for the medians, and of a squared distance's logarithm.
+FINE, COARSE = 1 / 256, 1 / 32
 
 
 def counts(df: DataFrame, text: str) -> DataFrame:
@@ -74,99 +85,132 @@ def binned(value: Column, step: float) -> Column:
     return F.floor(value / step).cast("bigint")
 
 
-def quantile_bin(df: DataFrame, group: list[str], bin_: str, share: float) -> DataFrame:
-    """(group, bin): the first bin up to which at least that share of the group's rows lies."""
-    n = df.groupBy(*group, bin_).agg(F.count("*").alias("n"))
-    w = W.partitionBy(*group).orderBy(bin_)
-    n = n.withColumns({"_up": F.sum("n").over(w), "_all": F.sum("n").over(W.partitionBy(*group))})
-    return n.filter(F.col("_up") >= share * F.col("_all")).groupBy(*group).agg(F.min(bin_).alias(bin_))
+def quantile_bins(df: DataFrame, group: str, bins: dict[str, Column], share: float) -> DataFrame:
+    """(group, one column for each of bins): the first bin up to which at least that share of the group's rows lies."""
+    stacked = df.select(group, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("b")) for k, b in bins.items()])).alias("_s")).select(group, "_s.*")
+    n = stacked.groupBy(group, "k", "b").agg(F.count("*").alias("n"))
+    up, all_ = F.sum("n").over(W.partitionBy(group, "k").orderBy("b")), F.sum("n").over(W.partitionBy(group, "k"))
+    found = n.withColumns({"_up": up, "_all": all_}).filter(F.col("_up") >= share * F.col("_all"))
+    return found.groupBy(group).agg(*[F.min(F.when(F.col("k") == k, F.col("b"))).alias(k) for k in bins])
 
 
-def _join(df: DataFrame, small: DataFrame, n_small: int) -> DataFrame:
-    return df.join(F.broadcast(small) if n_small <= BROADCAST_GROUPS else small, "_g", "left")
+def _join(df: DataFrame, small: DataFrame, on: str, n_small: int) -> DataFrame:
+    return df.join(F.broadcast(small) if n_small <= BROADCAST_GROUPS else small, on)
 
 
-def _distance(centre: dict[str, Column], factor: list[list[Column]]) -> Column:
-    """The squared Mahalanobis distance by forward substitution through the Cholesky factor."""
+def _distance() -> Column:
+    """The squared Mahalanobis distance from m_* by forward substitution through the Cholesky factor l_*."""
     y: list[Column] = []
     for i, x in enumerate(X):
-        rest = F.col(x) - centre[x]
+        rest = F.col(x) - F.col(f"m_{x}")
         for j in range(i):
-            rest = rest - factor[i][j] * y[j]
-        y.append(rest / factor[i][i])
+            rest = rest - F.col(f"l_{i}_{j}") * y[j]
+        y.append(rest / F.col(f"l_{i}_{i}"))
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
+def _far() -> Column:
+    """The bin of the squared distance's logarithm."""
+    return binned(F.log(_distance() + 1e-6), COARSE)
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q_{i}_{j}") for i, j in PAIRS]]
+
+
+def _covariance(df: DataFrame) -> DataFrame:
+    """From the sums of a core's rows: means m_* and covariances c_*."""
+    df = df.withColumns({f"m_{x}": F.col(f"s_{x}") / F.col("n") for x in X})
+    return df.withColumns({f"c_{i}_{j}": F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{X[i]}") * F.col(f"m_{X[j]}") for i, j in PAIRS})
+
+
 def _cholesky(df: DataFrame) -> DataFrame:
-    """From the sums of the core's rows: means m_* and the Cholesky factor l_i_j of the covariance plus floors."""
-    p = len(X)
-    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    df = df.withColumns({f"m_{x}": F.col(f"s_{x}") / n for x in X})
-    for i in range(p):
-        for j in range(i + 1):
-            v = F.greatest(F.col(f"q_{i}_{j}") / n - F.col(f"m_{X[i]}") * F.col(f"m_{X[j]}"), F.lit(0.0)) + FLOORS[X[i]] ** 2 if i == j else F.col(f"q_{i}_{j}") / n - F.col(f"m_{X[i]}") * F.col(f"m_{X[j]}")
-            for k in range(j):
-                v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(FLOORS[X[i]] ** 2 / 4))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return df.select("_g", *[f"m_{x}" for x in X], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
-
-
-def grouped(df: DataFrame, by: list[str], min_rows: int = MIN_ROWS) -> tuple[DataFrame, int]:
-    """The rows with their group _g beside them: the columns of by, or the first of them where those are too few."""
+    """Adds the Cholesky factor l_* of the covariances plus the squared floors, and the determinant's root."""
+    for i, j in PAIRS:
+        v = F.greatest(F.col(f"c_{i}_{j}"), F.lit(0.0)) + FLOORS[X[i]] ** 2 if i == j else F.col(f"c_{i}_{j}")
+        for k in range(j):
+            v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(FLOORS[X[i]] ** 2 / 4))) if i == j else v / F.col(f"l_{j}_{j}"))
+    return df.withColumn("det", reduce(lambda a, b: a * b, [F.col(f"l_{i}_{i}") for i in range(len(X))]))
+
+
+M, C, L = [f"m_{x}" for x in X], [f"c_{i}_{j}" for i, j in PAIRS], [f"l_{i}_{j}" for i, j in PAIRS]
+
+
+def grouped(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with their group _g (all columns of by) and language _p (the first of them) beside them."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    df = df.withColumns({"_full": F.concat_ws("\u0001", *map(name, by)), "_pool": F.concat(name(by[0]), F.lit("\u0001+"))})
-    sizes = df.filter("not base_failed").groupBy("_full").agg(F.count("*").alias("_n"))
-    sizes = common.cut(sizes.filter(F.col("_n") >= min_rows))
-    n = sizes.count()
-    df = df.join(F.broadcast(sizes) if n <= BROADCAST_GROUPS else sizes, "_full", "left")
-    return df.withColumn("_g", F.when(F.col("_n").isNotNull(), F.col("_full")).otherwise(F.col("_pool"))).drop("_full", "_pool", "_n"), n
+    return df.withColumns({"_g": F.concat_ws("\u0001", F.lit("g"), *map(name, by)), "_p": F.concat_ws("\u0001", F.lit("p"), name(by[0]))})
 
 
-def robust_distances(df: DataFrame, n_groups: int, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(_g, m_*, l_*, scale): the MCD estimate of each group, from rows of which base_failed is false.
+#: The group of all rows.
+ALL = "a"
 
-    The start is the distance from the medians in units of the median absolute deviations; it and each
-    further step keep the CORE of smallest distances. scale makes the median distance that of chi-square.
-    """
-    use = df.filter("not base_failed").select("_g", *X)
-    p = len(X)
-    fine = 1 / 256
-    start = None
-    for x in X:
-        middle = quantile_bin(use.withColumn("b", binned(F.col(x), fine)), ["_g"], "b", 0.5).select("_g", ((F.col("b") + 0.5) * fine).alias(f"m_{x}"))
-        start = middle if start is None else start.join(middle, "_g")
-    start = common.cut(start)
-    near = _join(use, start, n_groups)
-    spread = None
-    for x in X:
-        middle = quantile_bin(near.withColumn("b", binned(F.abs(F.col(x) - F.col(f"m_{x}")), fine)), ["_g"], "b", 0.5).select("_g", F.greatest(1.4826 * (F.col("b") + 0.5) * fine, F.lit(FLOORS[x])).alias(f"d_{x}"))
-        spread = middle if spread is None else spread.join(middle, "_g")
-    spread = start.join(spread, "_g")
-    now = common.cut(spread.select("_g", *[f"m_{x}" for x in X], *[(F.col(f"d_{X[i]}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)]))
-    d2 = _distance({x: F.col(f"m_{x}") for x in X}, [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in range(p)])
+
+def mcd(use: DataFrame, n_groups: int) -> DataFrame:
+    """(_k, n, m_*, c_*) for each value of _k in the rows (_k, X): the estimate from the start with the least determinant."""
+    middle = quantile_bins(use, "_k", {x: binned(F.col(x), FINE) for x in X}, 0.5)
+    middle = common.cut(middle.select("_k", *[((F.col(x) + 0.5) * FINE).alias(f"m_{x}") for x in X]))
+    spread = quantile_bins(_join(use, middle, "_k", n_groups), "_k", {x: binned(F.abs(F.col(x) - F.col(f"m_{x}")), FINE) for x in X}, 0.5)
+    spread = spread.select("_k", *[F.greatest(1.4826 * (F.col(x) + 0.5) * FINE, F.lit(FLOORS[x])).alias(f"d_{x}") for x in X])
+    medians = middle.join(spread, "_k").select(F.lit(0).alias("_s"), "_k", *M, *[(F.col(f"d_{X[i]}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in PAIRS])
+    means = _cholesky(_covariance(use.groupBy("_k").agg(*_moments())))
+    now = common.cut(medians.unionByName(means.select(F.lit(1).alias("_s"), "_k", *M, *L)))
+    before = None
     for _ in range(STEPS):
-        far = _join(use, now, n_groups).withColumn("b", binned(F.log(d2 + 1e-6), 1 / 32)).select("_g", "b", *X)
-        edge = quantile_bin(far, ["_g"], "b", CORE).withColumnRenamed("b", "edge")
-        core = _join(far, edge, n_groups).filter("b <= edge")
-        sums = {f"s_{x}": F.sum(x) for x in X} | {f"q_{i}_{j}": F.sum(F.col(X[i]) * F.col(X[j])) for i in range(p) for j in range(i + 1)}
-        now = common.cut(_cholesky(core.groupBy("_g").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])))
-    last = _join(use, now, n_groups).withColumn("b", binned(F.log(d2 + 1e-6), 1 / 32))
-    middle = quantile_bin(last, ["_g"], "b", 0.5).select("_g", F.greatest(F.exp((F.col("b") + 1) / 32.0) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    rows = use.groupBy("_g").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= min_rows)
-    return common.cut(now.join(middle, "_g").join(rows, "_g").drop("_rows"))
-
-
-def judge(df: DataFrame, key: str, text: str, by: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
-    """key, the counts, base_failed, distance (squared, scaled; null without an estimate) and kept."""
+        far = _join(use, now, "_k", 2 * n_groups).select(F.struct("_s", "_k").alias("_id"), _far().alias("b"), *X)
+        edge = quantile_bins(far, "_id", {"edge": F.col("b")}, CORE)
+        core = _join(far, edge, "_id", 2 * n_groups).filter("b <= edge")
+        now = common.cut(_cholesky(_covariance(core.groupBy("_id").agg(*_moments()))).select("_id._s", "_id._k", *M, *C, *L, "det"))
+        if before is not None:
+            fell = now.join(before.select("_s", "_k", F.col("det").alias("_before")), ["_s", "_k"]).filter(F.col("det") < F.col("_before") * (1 - FALL))
+            if not fell.limit(1).count():
+                break
+        before = now
+    one, other = [now.filter(F.col("_s") == s).drop("_s").select("_k", *[F.col(c).alias(f"{c}_{s}") for c in [*M, *C, "det"]]) for s in (0, 1)]
+    better = F.col("det_1") < F.col("det_0") * (1 - FALL)
+    best = one.join(other, "_k").select("_k", *[F.when(better, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c) for c in [*M, *C]])
+    return best.join(use.groupBy("_k").agg(F.count("*").cast("double").alias("n")), "_k")
+
+
+def _shrunk(df: DataFrame, towards: DataFrame, on: str) -> DataFrame:
+    """The estimates mixed with those of their parents, which are found by the column on."""
+    parents = towards.select(F.col("_k").alias(on), *[F.col(c).alias(f"_{c}") for c in [*M, *C]])
+    mix = [((F.col("n") * F.col(c) + SHRINK * F.col(f"_{c}")) / (F.col("n") + SHRINK)).alias(c) for c in [*M, *C]]
+    return df.join(parents, on).select(*[c for c in df.columns if c not in (*M, *C)], *mix)
+
+
+def robust_estimates(df: DataFrame, n_groups: int) -> DataFrame:
+    """(_g, m_*, l_*, scale): the estimate of each group from rows of which base_failed is false.
+
+    scale makes a language's median distance that of chi-square, if it is more; it is shrunk towards the table's.
+    """
+    rows = df.filter("not base_failed").select("_g", "_p", *X)
+    use = rows.select(F.explode(F.array(F.lit(ALL), "_p", "_g")).alias("_k"), *X)
+    found = common.cut(mcd(use, n_groups))
+    top = found.filter(F.col("_k") == ALL)
+    languages = _shrunk(found.filter(F.startswith("_k", F.lit("p"))).withColumn("_a", F.lit(ALL)), top, "_a")
+    parents = rows.select(F.col("_g").alias("_k"), "_p").distinct()
+    groups = _shrunk(found.join(parents, "_k"), languages, "_p")
+    groups = common.cut(_cholesky(groups).select(F.col("_k").alias("_g"), "_p", *M, *L))
+    judged = _join(rows, groups.drop("_p"), "_g", n_groups).select(F.explode(F.array(F.lit(ALL), "_p")).alias("_k"), _far().alias("b"))
+    scales = quantile_bins(judged, "_k", {"b": F.col("b")}, 0.5).join(judged.groupBy("_k").agg(F.count("*").cast("double").alias("n")), "_k")
+    scales = common.cut(scales.select("_k", "n", F.log(F.greatest(F.exp((F.col("b") + 1) * COARSE) / CHI2_MEDIAN, F.lit(1.0))).alias("v")))
+    whole = scales.filter(F.col("_k") == ALL).select(F.lit(True).alias("_one"), F.col("v").alias("_v"))
+    scales = scales.filter(F.col("_k") != ALL).withColumn("_one", F.lit(True)).join(whole, "_one")
+    scales = scales.select(F.col("_k").alias("_p"), F.exp((F.col("n") * F.col("v") + SHRINK * F.col("_v")) / (F.col("n") + SHRINK)).alias("scale"))
+    return common.cut(groups.join(scales, "_p").drop("_p"))
+
+
+def judge(df: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
+    """key, the counts, base_failed, distance (squared, scaled; null if base_failed) and kept."""
     slim = df.select(F.col(key), *[F.col(c) for c in by if c != key], F.col(text).cast("string").alias("_text"))
     slim = counts(slim, "_text").drop("_text").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    slim = common.cut(slim.withColumns(statistics()))
-    slim, n = grouped(slim, by, min_rows)
-    n += slim.select(by[0]).distinct().count()
-    estimates = robust_distances(slim, n, min_rows)
-    d2 = _distance({x: F.col(f"m_{x}") for x in X}, [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in range(len(X))])
-    out = _join(slim, estimates, n).withColumn("distance", F.when(~F.col("base_failed"), d2 / F.col("scale")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    slim = common.cut(grouped(slim.withColumns(statistics()), by))
+    n = sum(slim.agg(F.approx_count_distinct("_g"), F.approx_count_distinct("_p")).first()) * 11 // 10 + 1
+    estimates = robust_estimates(slim, n)
+    out = slim.join(F.broadcast(estimates) if n <= BROADCAST_GROUPS else estimates, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF)).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"), "distance")
 
 
 def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,23 +219,35 @@ def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same estimates in DuckDB's SQL, one concentration step after another."""
-    p = len(X)
+    """The same estimates in DuckDB's SQL, one concentration step after another (steps past the last fall change nothing)."""
     word = r"[^\x20\x09-\x0D]+"
     name = lambda c: f"coalesce('=' || {c}, '-')"
+    real = lambda v: f"{v!r}::DOUBLE"
 
-    def quantile(table: str, bin_: str, share: float) -> str:
-        counts = f"SELECT g, {bin_} AS b, count(*) AS n FROM {table} GROUP BY ALL"
-        return f"SELECT g, min(b) AS b FROM (SELECT g, b, sum(n) OVER (PARTITION BY g ORDER BY b) AS up, sum(n) OVER (PARTITION BY g) AS al FROM ({counts})) WHERE up >= {share}::DOUBLE * al GROUP BY g"
+    def quantiles(table: str, key: str, bins: dict[str, str], share: float) -> str:
+        stacked = " UNION ALL ".join(f"SELECT {key}, '{k}' AS k, {b} AS b FROM {table}" for k, b in bins.items())
+        up = f"SELECT *, sum(n) OVER (PARTITION BY {key}, k ORDER BY b) AS up, sum(n) OVER (PARTITION BY {key}, k) AS al FROM (SELECT {key}, k, b, count(*) AS n FROM ({stacked}) GROUP BY ALL)"
+        return f"SELECT {key}, {', '.join(f"min(b) FILTER (WHERE k = '{k}') AS b_{k}" for k in bins)} FROM ({up}) WHERE up >= {real(share)} * al GROUP BY {key}"
 
-    def distance(e: str) -> str:
+    def distance() -> str:
         y: list[str] = []
         for i, x in enumerate(X):
-            rest = f"({x} - {e}.m_{x}" + "".join(f" - {e}.l_{i}_{j} * {y[j]}" for j in range(i)) + ")"
-            y.append(f"({rest} / {e}.l_{i}_{i})")
+            rest = f"({x} - m_{x}" + "".join(f" - l_{i}_{j} * {y[j]}" for j in range(i)) + ")"
+            y.append(f"({rest} / l_{i}_{i})")
         return " + ".join(f"{v} * {v}" for v in y)
 
-    fine = "0.00390625::DOUBLE"
+    def factor() -> str:
+        parts = []
+        for i, j in PAIRS:
+            v = f"(greatest(c_{i}_{j}, 0::DOUBLE) + {real(FLOORS[X[i]] ** 2)})" if i == j else f"c_{i}_{j}"
+            v += "".join(f" - l_{i}_{h} * l_{j}_{h}" for h in range(j))
+            parts.append(f"sqrt(greatest({v}, {real(FLOORS[X[i]] ** 2 / 4)})) AS l_{i}_{j}" if i == j else f"({v}) / l_{j}_{j} AS l_{i}_{j}")
+        return ", ".join(parts) + ", " + " * ".join(f"l_{i}_{i}" for i in range(len(X))) + " AS det"
+
+    far = f"floor(ln({distance()} + 1e-6::DOUBLE) / {real(COARSE)})::BIGINT"
+    sums = ", ".join(["count(*)::DOUBLE AS n", *[f"sum({x}) AS s_{x}" for x in X], *[f"sum({X[i]} * {X[j]}) AS q_{i}_{j}" for i, j in PAIRS]])
+    moments = ", ".join([f"s_{x} / n AS m_{x}" for x in X] + [f"q_{i}_{j} / n - (s_{X[i]} / n) * (s_{X[j]} / n) AS c_{i}_{j}" for i, j in PAIRS])
+    fine = real(FINE)
     steps = [
         f"d AS (SELECT doc_id, coalesce(text, '') AS t, lang, source, regexp_extract_all(coalesce(text, ''), '{word}') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{word}')] AS ls FROM documents)",
         f"win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d))",
@@ -199,39 +255,33 @@ def oracle() -> str:
         f"cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM rep) GROUP BY doc_id)",
         f"c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id))",
         f"x AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed, ln((word_chars + 300::DOUBLE) / (n_words + 50::DOUBLE)) AS x_length, ln(1 + 10::DOUBLE * n_symbols / (n_words + 50::DOUBLE)) AS x_symbols, sqrt(n_dup_lines / (n_lines + 4::DOUBLE)) AS x_lines, sqrt(n_repeat_words / (n_words + 50::DOUBLE)) AS x_repeats FROM c)",
-        f"f AS (SELECT *, {name('lang')} || chr(1) || {name('source')} AS g0 FROM x)",
-        f"gs AS (SELECT g0, count(*) AS k FROM f WHERE NOT base_failed GROUP BY 1 HAVING count(*) >= {MIN_ROWS})",
-        f"a AS (SELECT f.*, CASE WHEN k IS NOT NULL THEN g0 ELSE {name('lang')} || chr(1) || '+' END AS g FROM f LEFT JOIN gs USING (g0))",
-        "u AS MATERIALIZED (SELECT * FROM a WHERE NOT base_failed)",
+        f"a AS MATERIALIZED (SELECT *, 'g' || chr(1) || {name('lang')} || chr(1) || {name('source')} AS g, 'p' || chr(1) || {name('lang')} AS p FROM x)",
+        f"u AS MATERIALIZED (SELECT unnest(['{ALL}', p, g]) AS k, {', '.join(X)} FROM a WHERE NOT base_failed)",
+        f"mq AS ({quantiles('(SELECT k AS _k, * FROM u)', '_k', {x: f'floor({x} / {fine})::BIGINT' for x in X}, 0.5)})",
+        f"mid AS MATERIALIZED (SELECT _k AS k, {', '.join(f'(b_{x} + 0.5::DOUBLE) * {fine} AS m_{x}' for x in X)} FROM mq)",
+        f"sq AS ({quantiles('(SELECT u.k AS _k, * EXCLUDE (k) FROM u JOIN mid USING (k))', '_k', {x: f'floor(abs({x} - m_{x}) / {fine})::BIGINT' for x in X}, 0.5)})",
+        "e0a AS (SELECT 0 AS s, mid.k, " + ", ".join(M) + ", " + ", ".join(f"greatest(1.4826::DOUBLE * (b_{X[i]} + 0.5::DOUBLE) * {fine}, {real(FLOORS[X[i]])}) AS l_{i}_{j}" if i == j else f"0::DOUBLE AS l_{i}_{j}" for i, j in PAIRS) + " FROM mid JOIN sq ON mid.k = sq._k)",
+        f"e0b AS (SELECT 1 AS s, k, {', '.join(M)}, {factor()} FROM (SELECT k, {moments} FROM (SELECT k, {sums} FROM u GROUP BY k)))",
+        f"e0 AS MATERIALIZED (SELECT s, k, {', '.join([*M, *L])} FROM e0a UNION ALL SELECT s, k, {', '.join([*M, *L])} FROM e0b)",
     ]
-    for x in X:
-        steps.append(f"q_{x} AS ({quantile('u', f'floor({x} / {fine})::BIGINT', 0.5)})")
-    steps.append("st AS (SELECT q_x_length.g, " + ", ".join(f"(q_{x}.b + 0.5::DOUBLE) * {fine} AS m_{x}" for x in X) + " FROM q_x_length " + " ".join(f"JOIN q_{x} USING (g)" for x in X[1:]) + ")")
-    for x in X:
-        steps.append(f"v_{x} AS ({quantile('(SELECT u.*, m_' + x + ' FROM u JOIN st USING (g))', f'floor(abs({x} - m_{x}) / {fine})::BIGINT', 0.5)})")
-    diagonal = [f"{'greatest(1.4826::DOUBLE * (v_' + X[i] + '.b + 0.5::DOUBLE) * ' + fine + ', ' + repr(FLOORS[X[i]]) + '::DOUBLE)' if i == j else '0::DOUBLE'} AS l_{i}_{j}" for i in range(p) for j in range(i + 1)]
-    steps.append("e0 AS MATERIALIZED (SELECT st.g, " + ", ".join(f"m_{x}" for x in X) + ", " + ", ".join(diagonal) + " FROM st " + " ".join(f"JOIN v_{x} USING (g)" for x in X) + ")")
-    for k in range(STEPS):
-        e = f"e{k}"
-        steps.append(f"b{k} AS MATERIALIZED (SELECT u.*, floor(ln({distance(e)} + 1e-6::DOUBLE) / 0.03125::DOUBLE)::BIGINT AS b FROM u JOIN {e} USING (g))")
-        steps.append(f"k{k} AS ({quantile(f'b{k}', 'b', CORE)})")
-        sums = [f"sum({x}) AS s_{x}" for x in X] + [f"sum({X[i]} * {X[j]}) AS q_{i}_{j}" for i in range(p) for j in range(i + 1)]
-        steps.append(f"c{k} AS (SELECT b{k}.g, count(*)::DOUBLE AS n, {', '.join(sums)} FROM b{k} JOIN k{k} ON b{k}.g = k{k}.g AND b{k}.b <= k{k}.b GROUP BY 1)")
-        before = f"c{k}"
-        steps.append(f"c{k}_m AS (SELECT *, {', '.join(f's_{x} / n AS m_{x}' for x in X)} FROM {before})")
-        before = f"c{k}_m"
-        for i in range(p):
-            for j in range(i + 1):
-                v = f"(q_{i}_{j} / n - m_{X[i]} * m_{X[j]})"
-                v = f"(greatest({v}, 0::DOUBLE) + {FLOORS[X[i]] ** 2!r}::DOUBLE)" if i == j else v
-                v += "".join(f" - l_{i}_{h} * l_{j}_{h}" for h in range(j))
-                v = f"sqrt(greatest({v}, {FLOORS[X[i]] ** 2 / 4!r}::DOUBLE))" if i == j else f"({v}) / l_{j}_{j}"
-                steps.append(f"c{k}_{i}_{j} AS (SELECT *, {v} AS l_{i}_{j} FROM {before})")
-                before = f"c{k}_{i}_{j}"
-        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM {before})")
+    for t in range(STEPS):
+        steps += [
+            f"b{t} AS MATERIALIZED (SELECT s || u.k AS id, s, u.k, {', '.join(X)}, {far} AS b FROM u JOIN e{t} USING (k))",
+            f"k{t} AS ({quantiles(f'b{t}', 'id', {'edge': 'b'}, CORE)})",
+            f"c{t} AS (SELECT s, k, {sums} FROM b{t} JOIN k{t} USING (id) WHERE b <= b_edge GROUP BY s, k)",
+            f"e{t + 1} AS MATERIALIZED (SELECT s, k, {', '.join([*M, *C])}, {factor()} FROM (SELECT s, k, {moments} FROM c{t}))",
+        ]
     e = f"e{STEPS}"
-    steps.append(f"lb AS (SELECT u.g, floor(ln({distance(e)} + 1e-6::DOUBLE) / 0.03125::DOUBLE)::BIGINT AS b FROM u JOIN {e} USING (g))")
-    steps.append(f"lq AS (SELECT g, greatest(exp((b + 1) / 32::DOUBLE) / {CHI2_MEDIAN}::DOUBLE, 1::DOUBLE) AS scale FROM ({quantile('lb', 'b', 0.5)}))")
-    steps.append(f"big AS (SELECT g FROM u GROUP BY 1 HAVING count(*) >= {MIN_ROWS})")
-    steps.append(f"r AS (SELECT a.*, CASE WHEN NOT base_failed AND big.g IS NOT NULL THEN ({distance(e)}) / scale END AS dist FROM a LEFT JOIN {e} USING (g) LEFT JOIN lq USING (g) LEFT JOIN big USING (g))")
-    return f"WITH {', '.join(steps)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(dist <= {CUTOFF}::DOUBLE, true) AS kept, round(coalesce(dist, -1::DOUBLE), 4) AS distance FROM r"
+    mix = ", ".join(f"(y.n * y.{c} + {real(SHRINK)} * z.{c}) / (y.n + {real(SHRINK)}) AS {c}" for c in [*M, *C])
+    steps += [
+        f"best AS MATERIALIZED (SELECT o.k, n, {', '.join(f'CASE WHEN t.det < o.det * (1 - {real(FALL)}) THEN t.{c} ELSE o.{c} END AS {c}' for c in [*M, *C])} FROM (SELECT * FROM {e} WHERE s = 0) o JOIN (SELECT * FROM {e} WHERE s = 1) t USING (k) JOIN (SELECT k, count(*)::DOUBLE AS n FROM u GROUP BY k) USING (k))",
+        f"lang_ AS (SELECT y.k, {mix} FROM best y JOIN best z ON z.k = '{ALL}' WHERE starts_with(y.k, 'p'))",
+        f"grp AS (SELECT y.k, q.p, {mix} FROM best y JOIN (SELECT DISTINCT g, p FROM a) q ON y.k = q.g JOIN lang_ z ON z.k = q.p)",
+        f"est AS MATERIALIZED (SELECT k AS g, {', '.join(M)}, {factor()} FROM grp)",
+        f"j AS MATERIALIZED (SELECT doc_id, p, {distance()} AS d2, floor(ln({distance()} + 1e-6::DOUBLE) / {real(COARSE)})::BIGINT AS b FROM a JOIN est USING (g) WHERE NOT base_failed)",
+        f"jk AS (SELECT unnest(['{ALL}', p]) AS k_, b AS bb FROM j)",
+        f"sc AS (SELECT q.k_, n, ln(greatest(exp((b_b + 1) * {real(COARSE)}) / {real(CHI2_MEDIAN)}, 1::DOUBLE)) AS v FROM ({quantiles('jk', 'k_', {'b': 'bb'}, 0.5)}) q JOIN (SELECT k_, count(*)::DOUBLE AS n FROM jk GROUP BY 1) USING (k_))",
+        f"scale AS (SELECT y.k_ AS p, exp((y.n * y.v + {real(SHRINK)} * z.v) / (y.n + {real(SHRINK)})) AS scale FROM sc y JOIN sc z ON z.k_ = '{ALL}' WHERE y.k_ <> '{ALL}')",
+        "r AS (SELECT a.*, j.d2 / scale AS dist FROM a LEFT JOIN j USING (doc_id) LEFT JOIN scale ON scale.p = a.p)",
+    ]
+    return f"WITH {', '.join(steps)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND dist <= {real(CUTOFF)}, false) AS kept, round(coalesce(dist, -1::DOUBLE), 4) AS distance FROM r"

@@ -35,6 +35,19 @@ def test_outliers_are_rejected_and_prose_stays(spark):
     assert sum(kept[i] for i in range(300)) >= 297
 
 
+def test_outliers_in_groups_of_any_size(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" + ("\n" if j % 10 == 9 else "") for j in range(60 + i % 40))
+    junk = lambda i: " ".join(f"v{i}x{j}###" for j in range(80))
+    lines = "\n".join(["all of this line is said over"] * 5 + [" ".join(f"n{k}x{j}" for j in range(30)) for k in range(3)])
+    rows = [(i, text(i), "en", f"s{i % 3}", None) for i in range(240)] + [(300 + i, text(i), None, None, None) for i in range(3)]
+    rows += [(400, junk(0), "xx", "s0", None), (401, junk(1), None, None, None), (402, junk(2), "en", "alone", None), (403, text(7), "yy", "z", None)]
+    rows += [(500, text(1), "en", "s0", None), (500, text(1), "en", "s0", None), (600, "\n".join(["one line"] * 19 + ["x"] + [text(3)]), "en", "s1", None), (601, lines, "en", "s1", None)]
+    got = op1_outliers.judge(frame(spark, rows), "doc_id", "text", ["lang", "source"]).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert len(got) == len(rows) and {d for d, k in kept.items() if not k} == {400, 401, 402, 600, 601}  # 601 by repeats and lines together
+    assert all(r.distance is not None for r in got if not r.base_failed)
+
+
 def test_outliers_on_odd_rows_and_no_rows(spark):
     got = op1_outliers.judge(frame(spark), "doc_id", "text", ["lang", "source"]).collect()
     assert len(got) == len(documents())
