@@ -88,6 +88,27 @@ def test_templates_reject_by_purity_only_where_labels_say_so(spark):
     assert all(got[i].verdict == "allow" for i in range(80, 120))
 
 
+def test_branches_without_labels_go_where_all_that_is_known_is_bad(spark):
+    rules = [("x.net/bad/", False), ("y.net/good/", True), ("y.net/bad/", False)]
+    urls = [f"http://x.net/bad/{i}" for i in range(40)] + [f"http://x.net/new/{i}" for i in range(10)] + ["http://x.net/" + "/".join("abcdefghijklmnop")] * 3
+    urls += [f"http://y.net/{k}/{i}" for k in ("bad", "good", "new") for i in range(20)]
+    df = spark.createDataFrame([*enumerate(urls), (None, urls[0]), (None, urls[0]), (7, urls[7])], "page_id bigint, url string")
+    got = op3_urls.judge(df, "page_id", "url", rules).collect()
+    verdict = {r.page_id: r.verdict for r in got}
+    assert len(got) == len(urls) + 3 and sum(r.page_id is None for r in got) == 2
+    assert all(verdict[i] == "block" and next(r.rule for r in got if r.page_id == i) is None for i in range(40, 50))
+    assert [r.template for r in got if r.page_id == 50] == ["/" + "/".join("abcdefghijklmnop")]
+    assert all(verdict[i] == "allow" for i in range(73, 113))
+
+
+def test_alike_branches_are_merged(spark):
+    rows = [("h", "", seg, n, lab, good, 0.7) for seg, n, lab, good in [("a", 50, 40, 2), ("b", 50, 40, 3), ("c", 50, 40, 30), ("d", 50, 40, 33), ("e", 50, 40, 40)]]
+    told = spark.createDataFrame(rows, "host string, template string, segment string, n long, n_labelled long, n_good long, purity double")
+    got = {r.segment: r._name for r in op3_urls.merged(told).collect()}
+    # neighbours by purity: 0.05, 0.075 | 0.75, 0.825 | 1.0
+    assert got == {"a": "a|b", "b": "a|b", "c": "c|d", "d": "c|d", "e": "e"}
+
+
 def test_licenses_by_brute_force(spark):
     def grams(text):
         w = re.sub(r"[^\w]+|_", " ", text.lower()).strip().split(" ")
