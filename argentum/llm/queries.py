@@ -7,4 +7,4 @@ from argentum.llm.op5_ogg import op5_ogg
 from argentum.llm.op6_simhash import op6_simhash
 
 QUERIES = {f.__name__: f for f in (op1_outliers.op1_outliers, op2_language, op3_urls.op3_urls, op4_bpe, op5_ogg, op6_simhash, op7_licenses.op7_licenses, op8_substrings.op8_substrings, op9_lines.op9_lines, op10_mixing.op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op1_outliers": op1_outliers.oracle(), "op3_urls": op3_urls.oracle(), "op7_licenses": op7_licenses.ORACLE, "op8_substrings": op8_substrings.ORACLE, "op9_lines": op9_lines.ORACLE, "op10_mixing": op10_mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_outliers": op1_outliers.oracle(), "op3_urls": op3_urls.oracle(), "op7_licenses": op7_licenses.oracle(), "op8_substrings": op8_substrings.ORACLE, "op9_lines": op9_lines.ORACLE, "op10_mixing": op10_mixing.ORACLE}

@@ -128,6 +128,45 @@ def test_licenses_by_brute_force(spark):
     assert op7_licenses.scan(df.limit(0), "doc_id", "text").count() == 0
 
 
+def slow_fits(text, limit=0.8):
+    """Licences in a text: every template laid over it where one of its anchors meets, the best of overlapping fits."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    b = list(zip(w, w[1:]))
+    fits = set()
+    for k, (name, of) in enumerate(sorted((n, op7_licenses.template_bigrams(t)) for n, t in op7_licenses.TEMPLATES)):
+        for s in {i - j for i, x in enumerate(b) for j, y in enumerate(of) if x == y and x in op7_licenses.anchors(of)}:
+            win = set(b[max(s, 0) : s + len(of)])
+            dice = 2 * len(win & set(of)) / (len(win) + len(set(of)))
+            if dice >= limit:
+                fits.add((-len(win & set(of)), -dice, name, s, s + len(of), k))
+    beaten = lambda x, by: any(o[3] < x[4] and x[3] < o[4] and o < x for o in by)
+    lone = [x for x in fits if not beaten(x, [o for o in fits if o[5] == x[5]])]
+    return sorted(x for x in lone if not beaten(x, lone))
+
+
+def test_licenses_in_lines_and_over_lines(spark):
+    import textwrap
+
+    full = {n: max((t for m, t in op7_licenses.TEMPLATES if m == n), key=len) for n, _ in op7_licenses.TEMPLATES}
+    texts = [f"Copyright (c) 2020 Somebody\n\n{textwrap.fill(t, 72)}\n" for t in full.values()]
+    inside = "Some notes. This work is licensed under the GNU General Public License, version 3. See the file COPYING for details of what it means."
+    texts += [inside, inside.replace("GNU General", "GNU Lesser General"), "x " * 3000 + full["mit"].replace("sell copies", "sell") + " y" * 3000, textwrap.fill(full["isc"], 40) + "\n" + full["zlib"]]
+    texts += ["to deal in the software without", "the terms of the gnu general public", "all rights", "All rights reserved. " * 50, None, "", "mit", full["apache-2.0"][:200]]
+    rows = [*enumerate(texts), (None, inside), (0, texts[0])]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id bigint, text string, _w string")
+    got = op7_licenses.scan(df, "doc_id", "text").collect()
+    assert len(got) == len(rows)
+    first = {r.doc_id: r for r in got}
+    for d, t in rows:
+        want = slow_fits(t)
+        r = first[d]
+        assert (r.n_hits, r.license, r.licenses) == (len(want), want[0][2] if want else None, ",".join(sorted({x[2] for x in want})))
+        assert math.isclose(r.dice, -want[0][1] if want else 0.0)
+    assert [first[i].license for i in range(len(full))] == list(full) and first[len(full)].restricted
+    assert first[len(full) + 1].license == "lgpl-3.0" and first[len(full) + 2].license == "mit" and first[len(full) + 3].licenses == "isc,zlib"
+    assert first[len(full) + 7].n_hits == 50
+
+
 def cleaned(rows, min_run=2):
     """Line dedup by brute force: (doc_id, text) -> text."""
     docs = sorted({(-(1 << 63) if d is None else d, t) for d, t, *_ in rows if t is not None}, key=lambda x: x[0])
