@@ -1,14 +1,16 @@
 """Media columns: lossless storage of samples in Ogg, and a reader that trusts nothing but verified pages.
 
-Writing: a payload of 8-bit samples is dealt in frames to two logical streams, each with an identification
-packet and a comment packet, whose pages are interleaved in one physical stream. Reading: every page's
-checksum is verified, packets are reassembled from the lacing values (also over page borders), the pages
-are demultiplexed by serial number, and each audio packet gets its time stamp from its page's granule
-position. Merging the packets by time stamp gives the payload back.
-
-Cases: a null text is an empty one; an empty payload is padded like any other, so each file has samples;
-a page with a wrong checksum, a gap in the page numbers or an unfinished packet raises OggError.
-Other columns of the table are not read, so their names don't matter; repeated rows give repeated rows.
+Writing: a payload of 8-bit samples is cut into packets, whose pages go by turns to two logical streams, each with an
+identification packet and a comment packet; the pages are interleaved in one physical stream. Reading takes any raw
+PCM, of any sample width, channels and number of streams: every page's checksum is verified, packets are reassembled
+from the lacing values (also over page borders), the pages are demultiplexed by serial number, and each audio packet
+gets its time stamp from its page's granule position, which dates the end of the page's last packet. Merging the
+packets of all streams by time stamp gives the payload back.
+
+Cases: a null text is an empty one; an empty payload is padded like any other, so each file has samples; texts of any
+length are stored whole; a page with a wrong checksum, a gap in the page numbers or an unfinished packet raises
+OggError, as do streams that overlap in time when they are merged. Other columns of the table are not read, so their
+names don't matter; repeated rows give repeated rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from argentum.llm import common
 
-# Fixed values of the Ogg container (RFC 3533) and of the raw PCM mapping's identification packet.
+# Fixed values of the Ogg container (RFC 3533) and of the raw PCM mapping's identification packet: its fields are magic,
+# version (major, minor), format, rate, significant bits, channels, frames of a packet at most, further header packets.
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
 HEAD = "<4sBBqIIIB"
 PCM_ID = ">8sHHIIBBHI"
 PCM_MAGIC, PCM_U8, RATE = b"PCM     ", 1, 8000
+#: Bytes of a sample by format: whole numbers of 8 to 32 bits, mu-law and A-law, floating point.
+WIDTHS = {0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 4, 7: 4, 16: 1, 17: 1, 32: 4, 33: 4, 34: 8, 35: 8}
 
 #: Samples of a frame (one packet), packets of a page at most, and bytes to which a payload is padded.
 FRAME, PAGE_PACKETS, UNIT = 576, 56, 576
@@ -88,30 +93,37 @@ class _Stream:
         self.granule = granule
 
 
+def header(kind: int, rate: int, channels: int) -> bytes:
+    return struct.pack(PCM_ID, PCM_MAGIC, 0, 0, kind, rate, 0, channels, 0, 0)
+
+
+def comment() -> bytes:
+    vendor = b"argentum"
+    return struct.pack("<I", len(vendor)) + vendor + struct.pack("<I", 0)
+
+
 def write_ogg(payload: bytes, serial: int | None = None) -> bytes:
-    """The payload's 8-bit samples as an Ogg file with two logical streams, which take turns by frame.
+    """The payload's 8-bit samples as an Ogg file with two logical streams, which take turns by page.
 
-    The granule position of a page is the payload's sample count up to the end of its last packet.
+    Both count on the payload's time: the granule position of a page is the sample at which its last packet ends.
     """
     serial = zlib.crc32(payload) & 0x7FFFFFFE if serial is None else serial
     streams = [_Stream(serial), _Stream(serial + 1)]
     out: list[bytes] = []
-    for k, s in enumerate(streams):
-        out += s.put(struct.pack(PCM_ID, PCM_MAGIC, 0, 0, PCM_U8, RATE, 0, 1, 1, k), 0)
+    for s in streams:
+        out += s.put(header(PCM_U8, RATE, 1), 0)
         out.append(s.flush(FIRST))
     for s in streams:
-        vendor = b"argentum"
-        out += s.put(struct.pack("<I", len(vendor)) + vendor + struct.pack("<I", 0), 0)
+        out += s.put(comment(), 0)
         out.append(s.flush())
-    frames = range(0, len(payload), FRAME)
-    held = [0, 0]
-    for n, at in enumerate(frames):
+    whole = FRAME * PAGE_PACKETS
+    pages = range(0, len(payload), whole)
+    for n, start in enumerate(pages):
         s = streams[n % 2]
-        out += s.put(payload[at : at + FRAME], min(at + FRAME, len(payload)))
-        held[n % 2] += 1
-        if held[n % 2] == PAGE_PACKETS and n + 2 < len(frames):
+        for at in range(start, min(start + whole, len(payload)), FRAME):
+            out += s.put(payload[at : at + FRAME], min(at + FRAME, len(payload)))
+        if n + 2 < len(pages):
             out.append(s.flush())
-            held[n % 2] = 0
     return b"".join(out + [s.flush(LAST) for s in streams])
 
 
@@ -169,33 +181,47 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[int, bytes, bool]]]:
     return packets
 
 
-def read_ogg(media: bytes) -> tuple[bytes, list[dict]]:
-    """The payload, merged from all streams by time stamp, and what is known of each stream."""
-    stamped: list[tuple[int, bytes]] = []
-    known = []
+def read_streams(media: bytes) -> list[dict]:
+    """What is known of each logical stream, and its audio: (first frame, last frame, bytes) of each packet."""
+    found = []
     for serial, packets in demultiplex(media).items():
-        magic, _, _, kind, rate, _, channels, _, order = struct.unpack(PCM_ID, packets[0][1])
-        if magic != PCM_MAGIC or kind != PCM_U8 or channels != 1:
-            raise OggError(f"stream {serial} isn't 8-bit PCM")
-        audio = packets[2:]
-        known.append({"serial": serial, "order": order, "rate": rate, "packets": len(audio), "samples": sum(len(p) for _, p, _ in audio), "last_granule": max((g for g, _, _ in audio), default=0)})
-        # A page's granule position dates its last packet; those before it lie two frames apart, as the streams take turns.
+        size = struct.calcsize(PCM_ID)
+        if len(packets) < 2 or len(packets[0][1]) < size or packets[0][1][:8] != PCM_MAGIC:
+            raise OggError(f"stream {serial} isn't raw PCM")
+        _, _, _, kind, rate, _, channels, _, extra = struct.unpack_from(PCM_ID, packets[0][1])
+        if kind not in WIDTHS or not channels:
+            raise OggError(f"stream {serial} has samples of an unknown kind")
+        unit = WIDTHS[kind] * channels
+        audio: list[tuple[int, int, bytes]] = []
         run: list[bytes] = []
-        for granule, packet, last in audio:
+        for granule, packet, last in packets[2 + extra :]:
+            if len(packet) % unit:
+                raise OggError(f"a packet of stream {serial} has part of a frame")
             run.append(packet)
             if last:
-                end = granule
+                # The granule position dates the end of the last packet; those before it on the page end where the next begins.
+                end, dated = granule, []
                 for p in reversed(run):
-                    stamped.append((end - len(p), p))
-                    end -= len(p) + FRAME
+                    dated.append((end - len(p) // unit, end, p))
+                    end -= len(p) // unit
+                audio += reversed(dated)
                 run = []
-    stamped.sort(key=lambda x: x[0])
-    at = 0
-    for start, packet in stamped:
+        found.append({"serial": serial, "kind": kind, "rate": rate, "channels": channels, "packets": len(audio), "samples": sum(e - s for s, e, _ in audio), "last_granule": max((e for _, e, _ in audio), default=0), "audio": audio})
+    return found
+
+
+def read_ogg(media: bytes) -> tuple[bytes, list[dict]]:
+    """The payload, merged from all streams by time stamp, and what is known of each stream."""
+    streams = read_streams(media)
+    if len({(s["kind"], s["rate"], s["channels"]) for s in streams}) > 1:
+        raise OggError("streams of different kinds can't be merged")
+    stamped = sorted((p for s in streams for p in s.pop("audio")), key=lambda p: p[:2])
+    at = stamped[0][0] if stamped else 0
+    for start, end, _ in stamped:
         if start != at:
             raise OggError(f"samples {at} to {start} are missing or twice there")
-        at += len(packet)
-    return b"".join(p for _, p in stamped), sorted(known, key=lambda k: k["order"])
+        at = end
+    return b"".join(p for _, _, p in stamped), streams
 
 
 def describe(payload: bytes, streams: list[dict]) -> str:

@@ -110,10 +110,29 @@ def test_bpe_digests(spark):
     got = op4_bpe.digests(frame(spark)).collect()
     texts = {(d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in documents()}
     assert len(got) == len(documents()) and {(r.doc_id, r.decoded_sha256) for r in got} == texts
+    path, pattern = op4_bpe.vocabulary()
+    with open(path, "rb") as f:
+        known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=op4_bpe.parse_ranks(f), special_tokens={})
+    ids = {(d, (t or "")): np.array(known.encode_ordinary(t or ""), "<u4") for d, t, *_ in documents()}
+    want = {(d, len(x), hashlib.sha256(x.tobytes()).hexdigest()) for (d, _), x in ids.items()}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256) for r in got} == want
     assert op4_bpe.digests(frame(spark, [])).count() == 0
     assert op4_bpe.tokenised(frame(spark)).count() == len(documents())
 
 
+def test_bpe_of_many_blocks_and_of_long_words():
+    path, pattern = op4_bpe.vocabulary()
+    with open(path, "rb") as f:
+        ranks = op4_bpe.parse_ranks(f)
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = op4_bpe.Coder(ranks, pattern, kept=10)
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghij") for _ in range(100_000))
+    texts = [prose("en", 3000, i) for i in range(6)] + [long + " " + long[:500], "x" * 100_001]
+    for text, ids in zip(texts, [coder.encode([t])[0] for t in texts], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+
+
 def slow_checksum(data):
     crc = 0
     for x in data:
@@ -154,9 +173,62 @@ def test_ogg_finds_damage():
         op5_ogg.read_ogg(bytes(media[: pages[-1]]))  # the end is missing
 
 
+def foreign(packets, kind, channels, per_page, start=0, extra=0):
+    """An Ogg file of one raw PCM stream, paged in its own way."""
+    unit = op5_ogg.WIDTHS[kind] * channels
+    stream, out, at = op5_ogg._Stream(77), [], start
+    head = bytearray(op5_ogg.header(kind, 44_100, channels))
+    head[-4:] = extra.to_bytes(4, "big")
+    out += [*stream.put(bytes(head), 0), stream.flush(op5_ogg.FIRST), *stream.put(op5_ogg.comment(), 0)]
+    for _ in range(extra):
+        out += stream.put(b"further header", 0)
+    out.append(stream.flush())
+    for n, p in enumerate(packets):
+        at += len(p) // unit
+        out += stream.put(p, at)
+        if n % per_page == per_page - 1:
+            out.append(stream.flush())
+    return b"".join(out + [stream.flush(op5_ogg.LAST)])
+
+
+@pytest.mark.parametrize("kind,channels,per_page,start,extra", [(1, 1, 1, 0, 0), (1, 1, 5, 0, 0), (2, 2, 3, 0, 1), (5, 1, 2, 960, 0), (35, 6, 4, 0, 2)])
+def test_ogg_of_other_writers(kind, channels, per_page, start, extra):
+    r = random.Random(kind)
+    unit = op5_ogg.WIDTHS[kind] * channels
+    packets = [r.randbytes(unit * r.choice([1, 7, 300, 30_000])) for _ in range(23)]
+    back, (known,) = op5_ogg.read_ogg(foreign(packets, kind, channels, per_page, start, extra))
+    assert back == b"".join(packets)
+    assert (known["packets"], known["channels"], known["samples"], known["last_granule"]) == (23, channels, len(back) // unit, start + len(back) // unit)
+
+
+def test_ogg_streams_that_overlap_are_read_but_not_merged():
+    one, two = foreign([b"a" * 100] * 4, 1, 1, 2), foreign([b"b" * 100] * 4, 1, 1, 2)
+    renamed = b""
+    for _, number, flags, granule, lacing, body in list(op5_ogg.read_pages(two)):
+        size = sum(lacing)
+        renamed += op5_ogg._page(78, number, flags, granule, lacing, two[body : body + size])
+    assert [b"".join(p for _, _, p in s["audio"]) for s in op5_ogg.read_streams(one + renamed)] == [b"a" * 400, b"b" * 400]
+    with pytest.raises(op5_ogg.OggError):
+        op5_ogg.read_ogg(one + renamed)
+
+
 def test_ogg_query_rows(spark):
     got = frame(spark).select("doc_id", "text").mapInArrow(op5_ogg._digests, op5_ogg.SCHEMA).collect()
     assert sorted((r.n_bytes, r.payload_sha256) for r in got) == sorted((len((t or "").encode()), hashlib.sha256(op5_ogg.pad((t or "").encode())).hexdigest()) for _, t, *_ in documents())
+    import zlib
+
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.payload_sha256), r)
+    for d, t, *_ in documents():
+        payload = op5_ogg.pad((t or "").encode())
+        media = op5_ogg.write_ogg(payload)
+        r = by[d, hashlib.sha256(payload).hexdigest()]
+        assert (r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(int)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))
+        assert r.feature == f"streams=2;packets={len(payload) // 576};samples={len(x)};end_s={len(x) / 8000:.4f};mean={x.mean():.4f};rms={(x * x).mean() ** 0.5:.4f};crossings={crossings};peak={x.max()}"
+    assert frame(spark, []).select("doc_id", "text").mapInArrow(op5_ogg._digests, op5_ogg.SCHEMA).count() == 0
     media = {(r.doc_id, bytes(r.media)) for r in op5_ogg.to_ogg(frame(spark), "doc_id", "text").collect()}
     assert len(media) == len({(d, t or "") for d, t, *_ in documents()})
 
