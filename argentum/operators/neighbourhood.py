@@ -1,7 +1,6 @@
-"""Operators that look at a pixel's neighbours, over rows (image_id, y, x, v).
+"""Kernels, regions, and operators that pick pixels by their place, over rows (image_id, y, x, v).
 
-Convolutions and sharpening are windows along a row or a column of one image; crops are projections and,
-where they turn, a join with the four pixels around each point.
+What looks at a pixel's neighbours works on tiles (see tiles).
 """
 
 from __future__ import annotations
@@ -10,8 +9,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
 
 # Width over height of the film formats.
 RATIOS = {"35mm": 3 / 2, "6x4.5": 4 / 3, "6x6": 1.0, "6x7": 7 / 6, "6x9": 3 / 2, "6x12": 2.0, "6x17": 3.0, "4x5": 5 / 4}
@@ -24,44 +21,6 @@ def gaussian(sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def convolve(df: DataFrame, value: str, kernel: list[float], along: str) -> DataFrame:
-    """Along "x" or "y", with the edge's pixel repeated beyond it."""
-    across = "y" if along == "x" else "x"
-    w = W.partitionBy("image_id", across).orderBy(along)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    half = len(kernel) // 2
-    df = df.withColumns({"_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
-    at = lambda i: F.col(value) if i == 0 else F.coalesce((F.lag if i < 0 else F.lead)(value, abs(i)).over(w), F.col("_first" if i < 0 else "_last"))
-    total: Column | None = None
-    for i, k in zip(range(-half, half + 1), kernel, strict=True):
-        total = at(i) * k if total is None else total + at(i) * k
-    return df.withColumn(value, total).drop("_first", "_last")
-
-
-def blur(df: DataFrame, value: str, sigma: float) -> DataFrame:
-    """A Gaussian blur in both directions; under a sigma of 0.1 nothing changes."""
-    if sigma < 0.1:
-        return df
-    return convolve(convolve(df, value, gaussian(sigma), "x"), value, gaussian(sigma), "y")
-
-
-def unsharp(df: DataFrame, amount: float, radius: float, dark_limit: float = 0.0, noise_limit: float = 0.0, divisor: float = 50.0, top: int = 65535) -> DataFrame:
-    """Sharpens v by its difference from its blur; the limits hold back noise and dark places (0 to 255)."""
-    if amount == 0 or radius < 1:
-        return df
-    df = blur(df.withColumns({"_u": F.col("v") / float(top), "_soft": F.col("v") / float(top)}), "_soft", max(radius / 20.0, 0.1))
-    high = F.col("_u") - F.col("_soft")
-    if noise_limit > 0:
-        n = noise_limit / 255.0
-        high = high * F.least(F.greatest(F.abs(high) - n, F.lit(0.0)) / n, F.lit(1.0))
-    gain = F.lit(amount / divisor)
-    if dark_limit > 0:
-        t = F.least(F.col("_u") / (dark_limit / 255.0), F.lit(1.0))
-        gain = gain * t * t * (3.0 - 2.0 * t)
-    sharp = F.least(F.greatest(F.col("_u") + gain * high, F.lit(0.0)), F.lit(1.0))
-    return df.withColumn("v", F.floor(sharp * float(top) + 0.5).cast("bigint")).drop("_u", "_soft")
-
-
 def subsample(df: DataFrame, factor: int) -> DataFrame:
     """Every factor-th pixel of every factor-th row."""
     return df.filter(f"y % {factor} = 0 AND x % {factor} = 0").selectExpr("image_id", f"y div {factor} AS y", f"x div {factor} AS x", "v")
@@ -78,28 +37,6 @@ def crop(df: DataFrame, left: int, top: int, width: int, height: int) -> DataFra
     return df.filter(f"x BETWEEN {left} AND {left + width - 1} AND y BETWEEN {top} AND {top + height - 1}").selectExpr("image_id", f"y - {top} AS y", f"x - {left} AS x", "v")
 
 
-def crop_rotated(df: DataFrame, width: int, height: int, cx: float, cy: float, w: float, h: float, angle: float) -> DataFrame:
-    """A turned rectangle (centre and size as parts of the image, angle in radians), read by bilinear interpolation.
-
-    Points outside the image are 0; at its edge the last pixel counts as its own neighbour.
-    """
-    out_w, out_h = max(1, math.floor(w * width + 0.5)), max(1, math.floor(h * height + 0.5))
-    if abs(angle) < 0.001:
-        return crop(df, math.floor((cx - w / 2) * width + 0.5), math.floor((cy - h / 2) * height + 0.5), out_w, out_h)
-    s, c = math.sin(angle), math.cos(angle)
-    # One row for each weight of each new pixel; as many as the crop has pixels, times four.
-    spots = df.sparkSession.range(out_w * out_h).selectExpr(f"id div {out_w} AS oy", f"id % {out_w} AS ox")
-    spots = spots.selectExpr("oy", "ox", f"ox + 0.5D - {out_w / 2.0!r}D AS dx", f"oy + 0.5D - {out_h / 2.0!r}D AS dy")
-    spots = spots.selectExpr("oy", "ox", f"{cx * width!r}D + dx * {c!r}D - dy * {s!r}D - 0.5D AS sx", f"{cy * height!r}D + dx * {s!r}D + dy * {c!r}D - 0.5D AS sy")
-    spots = spots.filter(f"sx >= 0 AND sy >= 0 AND sx <= {width - 1} AND sy <= {height - 1}")
-    spots = spots.selectExpr("oy", "ox", "CAST(floor(sx) AS BIGINT) AS x0", "CAST(floor(sy) AS BIGINT) AS y0", "sx - floor(sx) AS fx", "sy - floor(sy) AS fy")
-    corner = lambda i, j: f"struct(least(x0 + {i}, {width - 1}) AS x, least(y0 + {j}, {height - 1}) AS y, ({'fx' if i else '1 - fx'}) * ({'fy' if j else '1 - fy'}) AS weight)"
-    spots = spots.selectExpr("oy", "ox", f"inline(array({corner(0, 0)}, {corner(1, 0)}, {corner(0, 1)}, {corner(1, 1)}))")
-    read = df.join(spots, ["y", "x"]).groupBy("image_id", "oy", "ox").agg(F.floor(F.sum(F.col("v") * F.col("weight")) + 0.5).cast("bigint").alias("v"))
-    every = df.select("image_id").distinct().join(df.sparkSession.range(out_w * out_h).selectExpr(f"id div {out_w} AS oy", f"id % {out_w} AS ox"), F.lit(True))
-    return every.join(read, ["image_id", "oy", "ox"], "left").selectExpr("image_id", "oy AS y", "ox AS x", "coalesce(v, 0) AS v")
-
-
 def clamp_region(cx: str, cy: str, w: str, h: str, angle: str) -> dict[str, Column]:
     """The region's size within 0.01 to 1, and its centre so that the turned box stays in the unit square."""
     size = lambda c: f"greatest(0.01D, least(1D, {c}))"

@@ -61,17 +61,15 @@ def best_dimensions(spark, sf_dir):
 
 @query()
 def thumbnail_pixels(spark, sf_dir):
-    files = sample_files(spark)
-    return tagfiles.pixels(files, tagfiles.choose(tagfiles.rgb_directories(tagfiles.tags(files)), thumbnail=True))
+    return tagfiles.pixels(sample_files(spark), thumbnail=True)
 
 
 @query(f"WITH {pixels.TILES_SQL} SELECT image_id, y, x, v AS r, v AS g, v AS b FROM tile")
 def image_round_trip(spark, sf_dir):
     """Tiles are exported as image files; the files' tags are parsed and their strips decoded again."""
-    t = pixels.tiles(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))  # 64 pixels
-    images = t.select(F.col("image_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.flatten(F.transform("p", lambda p: F.array(p["v"], p["v"], p["v"]))).alias("samples"))
-    files = tagfiles.export(images)
-    px = tagfiles.pixels(files, tagfiles.choose(tagfiles.rgb_directories(tagfiles.tags(files)), thumbnail=False))
+    samples = F.flatten(F.transform("px", lambda v: F.array_repeat(v.cast("bigint"), 3)))
+    images = pixels.images(spark, sf_dir).select(F.col("image_id").cast("string").alias("path"), "width", "height", samples.alias("samples"))
+    px = tagfiles.pixels(tagfiles.export(images))
     return px.select(F.col("path").cast("bigint").alias("image_id"), *[F.col(c).cast("bigint").alias(c) for c in ("y", "x", "r", "g", "b")])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from argentum.functions import colour, text
 from argentum.operators import neighbourhood as near
-from argentum.operators import ordered
+from argentum.operators import ordered, tiles
 from argentum.plans.file_queries import preset_text, sample_presets
 from argentum.sources import pixels
 
@@ -89,13 +89,10 @@ EACH = " UNION ALL ".join(f"SELECT t.image_id, {s}::DOUBLE AS sigma, d.v - t.v A
 )
 def usm_fit(spark, sf_dir):
     """Which sigma and gain turn an image into its sharpened copy: least squares over a grid of sigmas."""
-    t = pixels.tiles(spark, sf_dir)
-    blurs = reduce(lambda a, b: a.join(b, ["image_id", "y", "x"]), [near.blur(t, "v", s).select("image_id", "y", "x", F.col("v").alias(f"s{i}")) for i, s in enumerate(SIGMAS)])
-    both = t.join(blurs, ["image_id", "y", "x"]).withColumn("d", 2.5 * (F.col("v") - F.col("s1")))
-    grid = both.select("image_id", "d", F.inline(F.array(*[F.struct(F.lit(s).alias("sigma"), (F.col("v") - F.col(f"s{i}")).alias("h")) for i, s in enumerate(SIGMAS)])))
-    f = grid.groupBy("image_id", "sigma").agg(F.sum(F.col("d") * F.col("h")).alias("dh"), F.sum(F.col("h") * F.col("h")).alias("hh"), F.sum(F.col("d") * F.col("d")).alias("dd"))
-    f = f.withColumns({"k": F.expr("dh / hh"), "rss": F.expr("dd - dh * dh / hh")})
-    return f.groupBy("image_id").agg(F.min_by("sigma", "rss").alias("sigma"), F.round(F.min_by("k", "rss"), 6).alias("k"), F.round(1 - F.min("rss") / F.max("dd"), 6).alias("r2"))
+    target = lambda t: t.around(0, 0) + 2.5 * (t.around(0, 0) - tiles.blurred(SIGMAS[1])(t))
+    both = tiles.with_core(tiles.whole(pixels.images(spark, sf_dir)), "target", target)
+    found = tiles.fit_sharpening(both, "target", SIGMAS)
+    return found.select("image_id", "sigma", F.round("k", 6).alias("k"), F.round("r2", 6).alias("r2"))
 
 
 @query(f"WITH {TILE}, q AS (SELECT y * 8 + x AS colour, image_id % 4 AS quadrant, sqrt(avg(power(v - 8192, 2))) AS rms FROM tile GROUP BY 1, 2), c AS (SELECT colour, avg(rms) AS rms FROM q GROUP BY 1) SELECT colour, round(rms, 6) AS rms FROM c ORDER BY rms DESC, colour LIMIT 20")

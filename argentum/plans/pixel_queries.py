@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from argentum.operators import aggregates as agg
 from argentum.operators import neighbourhood as near
-from argentum.operators import ordered, point
+from argentum.operators import ordered, point, tiles
 from argentum.sources import pixels
 
 QUERIES, SQL = {}, {}
@@ -36,6 +36,23 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.points(spark, sf_dir)
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.whole(pixels.images(spark, sf_dir))
+
+
+def small(spark: SparkSession, sf_dir: str, halo: int) -> DataFrame:
+    """The images in tiles of 5 x 5 with a halo."""
+    return tiles.split(whole(spark, sf_dir), 5, halo)
+
+
+def rounded(made: DataFrame) -> DataFrame:
+    return tiles.pixels(made, "out").withColumn("v", F.round("v", 6))
+
+
+def counted(made: DataFrame) -> DataFrame:
+    return tiles.pixels(made, "out").withColumn("v", F.col("v").cast("bigint"))
+
+
 def rgb(df: DataFrame) -> DataFrame:
     return df.select(*KEY, "r", "g", "b")
 
@@ -417,22 +434,22 @@ def _conv(table: str, along: str, value: str = "v", kernel: list[float] = KERNEL
 
 @query(f"{{tile}} SELECT image_id, y, x, round(v, 6) AS v FROM ({_conv('tile', 'x')})")
 def conv_h(spark, sf_dir):
-    return near.convolve(pixels.tiles(spark, sf_dir), "v", KERNEL, "x").select("image_id", "y", "x", F.round("v", 6).alias("v"))
+    return rounded(tiles.with_core(small(spark, sf_dir, 3), "out", tiles.convolved(KERNEL, "x")))
 
 
 @query(f"{{tile}} SELECT image_id, y, x, round(v, 6) AS v FROM ({_conv('tile', 'y')})")
 def conv_v(spark, sf_dir):
-    return near.convolve(pixels.tiles(spark, sf_dir), "v", KERNEL, "y").select("image_id", "y", "x", F.round("v", 6).alias("v"))
+    return rounded(tiles.with_core(small(spark, sf_dir, 3), "out", tiles.convolved(KERNEL, "y")))
 
 
 @query(f"{{tile}} &hh AS ({_conv('tile', 'x')}) SELECT image_id, y, x, round(v, 6) AS v FROM ({_conv('hh', 'y')})")
 def blur(spark, sf_dir):
-    return near.blur(pixels.tiles(spark, sf_dir), "v", 0.8).select("image_id", "y", "x", F.round("v", 6).alias("v"))
+    return rounded(tiles.with_core(small(spark, sf_dir, 3), "out", tiles.blurred(0.8)))
 
 
 @query(f"{{tile}} &u AS (SELECT image_id, y, x, v / 16383::DOUBLE AS v FROM tile), hh AS ({_conv('u', 'x')}), vv AS ({_conv('hh', 'y')}) SELECT u.image_id, u.y, u.x, floor(least(greatest(u.v + (120::DOUBLE / 50) * (u.v - vv.v), 0::DOUBLE), 1::DOUBLE) * 16383::DOUBLE + 0.5::DOUBLE)::BIGINT AS v FROM u JOIN vv USING (image_id, y, x)")
 def usm(spark, sf_dir):
-    return near.unsharp(pixels.tiles(spark, sf_dir), 120.0, 16.0, top=16383).select("image_id", "y", "x", "v")
+    return counted(tiles.with_core(small(spark, sf_dir, 3), "out", tiles.sharpened(120.0, 16.0, top=16383)))
 
 
 @query(
@@ -440,7 +457,7 @@ def usm(spark, sf_dir):
     "w AS (SELECT *, h * least(greatest(abs(h) - 2::DOUBLE / 255, 0::DOUBLE) / (2::DOUBLE / 255), 1::DOUBLE) AS hn FROM q) SELECT image_id, y, x, floor(least(greatest(u + 4::DOUBLE * t * t * (3 - 2 * t) * hn, 0::DOUBLE), 1::DOUBLE) * 16383::DOUBLE + 0.5::DOUBLE)::BIGINT AS v FROM w"
 )
 def usm_limits(spark, sf_dir):
-    return near.unsharp(pixels.tiles(spark, sf_dir), 200.0, 20.0, dark_limit=90.0, noise_limit=2.0, top=16383).select("image_id", "y", "x", "v")
+    return counted(tiles.with_core(whole(spark, sf_dir), "out", tiles.sharpened(200.0, 20.0, dark_limit=90.0, noise_limit=2.0, top=16383)))
 
 
 @query("{tile} SELECT image_id, y // 3 AS y, x // 3 AS x, v FROM tile WHERE y % 3 = 0 AND x % 3 = 0")
@@ -468,7 +485,7 @@ TURN = (0.5 * 8, 0.45 * 8, math.cos(0.3), math.sin(0.3))
     "SELECT i.image_id, o.oy AS y, o.ox AS x, coalesce(b.v, 0) AS v FROM (SELECT DISTINCT image_id FROM tile) i CROSS JOIN o LEFT JOIN b USING (image_id, oy, ox)"
 )
 def crop_rotated(spark, sf_dir):
-    return near.crop_rotated(pixels.tiles(spark, sf_dir), 8, 8, 0.5, 0.45, 0.6, 0.5, 0.3)
+    return tiles.crop_rotated(small(spark, sf_dir, 1), 0.5, 0.45, 0.6, 0.5, 0.3)
 
 
 REGIONS_SQL = "rg AS (SELECT page_id AS region_id, (page_id % 10) / 10::DOUBLE AS cx, (page_id % 7) / 7::DOUBLE AS cy, (page_id % 5) / 4::DOUBLE AS w, (page_id % 3) / 2::DOUBLE AS h, (page_id % 12) / 4::DOUBLE AS angle FROM pages)"

@@ -49,6 +49,13 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("image_id", f"pos div {SIDE} AS y", f"CAST(pos % {SIDE} AS BIGINT) AS x", "CAST(floor((CAST(e AS DOUBLE) + 1) * 8191.5) AS BIGINT) AS v")
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, height, width, px): the images of tiles(), one row each with the values by rows."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
+    px = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 8191.5).cast("double"))
+    return e.select("image_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.slice(px, 1, SIDE * SIDE).alias("px"))
+
+
 TILES_SQL = (
     "tile AS (SELECT vec_id AS image_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, floor((embedding[i]::DOUBLE + 1) * 8191.5::DOUBLE)::BIGINT AS v "
     "FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"

@@ -6,6 +6,8 @@ after that is columns. For files of 100 MB set spark.sql.execution.arrow.maxReco
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import sys
 from collections.abc import Iterator
@@ -47,8 +49,12 @@ def list_files(spark: SparkSession, path: str, extensions: list[str], depth: int
     depth: folders below path that are looked into, all if None. Columns that aren't used are never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/").split("://")[-1].split("/")[-1]
-    below = F.element_at(F.split(F.col("path"), "/" + root + "/"), -1)
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+    base = re.sub(scheme, "/", path) if re.match(scheme, path) else os.path.abspath(path)
+    base = base.rstrip("/") + "/"
+    named = F.regexp_replace("path", scheme, "/")
+    # what follows the first place of the root; names in it are no patterns
+    below = F.substr(named, F.instr(named, base) + len(base))
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]) & ~below.rlike(r"(^|/)\.[^/]+/"))
     return files if depth is None else files.filter(F.size(F.split(below, "/")) <= depth + 1)
 
@@ -57,16 +63,39 @@ class TagError(ValueError):
     pass
 
 
+class Ranges:
+    """A file of which only the blocks are read that slices ask for; read counts the bytes."""
+
+    def __init__(self, file, size: int, block: int = 1 << 14, most_blocks: int = 64):
+        self.file, self.size, self.block, self.most_blocks, self.blocks, self.read = file, size, block, most_blocks, {}, 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, end, _ = part.indices(self.size)
+        got = []
+        for k in range(start // self.block, -(-end // self.block) if end > start else start // self.block):
+            if k not in self.blocks:
+                if len(self.blocks) >= self.most_blocks:
+                    self.blocks.clear()
+                self.file.seek(k * self.block)
+                self.blocks[k] = self.file.read(min(self.block, self.size - k * self.block))
+                self.read += len(self.blocks[k])
+            got.append(self.blocks[k][max(start - k * self.block, 0) : end - k * self.block])
+        return b"".join(got)
+
+
 class Reader:
-    """Reads values and directories from bytes in one byte order. All places are checked."""
+    """Reads values and directories from bytes, or a file's ranges, in one byte order. All places are checked."""
 
-    def __init__(self, data: bytes, order: str):
+    def __init__(self, data: "bytes | Ranges", order: str):
         self.data, self.order = data, order
 
     def take(self, at: int, letters: str, size: int) -> tuple:
         if at < 0 or at + size > len(self.data):
             raise TagError(f"{size} bytes at {at} lie outside the file")
-        return struct.unpack_from(self.order + letters, self.data, at)
+        return struct.unpack(self.order + letters, self.data[at : at + size])
 
     def value(self, kind: int, count: int, at: int) -> dict:
         letter, size = TYPES[kind]
@@ -74,7 +103,7 @@ class Reader:
             raw = self.take(at, f"{count}s", count)[0]
             if kind == 2:
                 return {"s": raw.decode("utf-8", "replace").rstrip("\0")}
-            return {"bytes": raw, "ints": list(raw) if kind == 1 and count <= 64 else None}
+            return {"bytes": raw, "ints": list(raw) if kind == 1 else None}
         got = self.take(at, letter * count, size * count)
         if kind in (5, 10):
             return {"rats": [{"n": n, "d": d} for n, d in zip(got[::2], got[1::2])]}
@@ -123,7 +152,7 @@ def _note(data: bytes, order: str) -> dict[int, tuple]:
     return reader.directory(0, MAX_NOTE_ENTRIES, at, MAX_NOTE_VALUE)[0]
 
 
-def parse(data: bytes) -> tuple[str, int, list[tuple[str, dict[int, tuple]]]]:
+def parse(data: "bytes | Ranges") -> tuple[str, int, list[tuple[str, dict[int, tuple]]]]:
     """(byte order, magic number, [(name, directory)]). A faulty main directory raises; faulty further ones are left out."""
     if len(data) < 8:
         raise TagError("the file is too small")
@@ -159,7 +188,31 @@ def parse(data: bytes) -> tuple[str, int, list[tuple[str, dict[int, tuple]]]]:
     return ("LE" if order == "<" else "BE"), magic, found
 
 
+def _opened(path: str) -> tuple:
+    """(file, size) of a path in any file system that Arrow knows."""
+    from pyarrow import fs
+
+    local = re.sub(r"^file:/*", "/", path)
+    system, name = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    return system.open_input_file(name), system.get_file_info(name).size
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of paths as batches of (path, ranges of the file)."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            file, size = _opened(path)
+            with file:
+                yield from _rows_of(path, Ranges(file, size))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield from _rows_of(path, content.as_buffer().to_pybytes() if content.is_valid else b"")
+
+
+def _rows_of(path: str, data: "bytes | Ranges") -> Iterator[pa.RecordBatch]:
     kinds = pa.schema(
         [
             ("path", pa.string()), ("size", pa.int64()), ("byte_order", pa.string()), ("magic", pa.int32()), ("ifd_idx", pa.int32()), ("ifd_name", pa.string()), ("tag", pa.int32()), ("type", pa.int32()), ("cnt", pa.int64()),
@@ -167,18 +220,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("error", pa.string()),
         ]
     )
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = content.as_buffer().to_pybytes() if content.is_valid else b""
-            head = {"path": path, "size": len(data)}
-            try:
-                order, magic, found = parse(data)
-            except TagError as e:
-                yield pa.RecordBatch.from_pylist([head | {"error": str(e)}], kinds)
-                continue
-            rows = [head | {"byte_order": order, "magic": magic, "ifd_idx": i, "ifd_name": name, "tag": tag, "type": kind, "cnt": count, "value": value} for i, (name, directory) in enumerate(found) for tag, (kind, count, value) in directory.items()]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+    head = {"path": path, "size": len(data)}
+    try:
+        order, magic, found = parse(data)
+    except TagError as e:
+        yield pa.RecordBatch.from_pylist([head | {"error": str(e)}], kinds)
+        return
+    rows = [head | {"byte_order": order, "magic": magic, "ifd_idx": i, "ifd_name": name, "tag": tag, "type": kind, "cnt": count, "value": value} for i, (name, directory) in enumerate(found) for tag, (kind, count, value) in directory.items()]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
 def tags(files: DataFrame) -> DataFrame:
@@ -186,6 +236,14 @@ def tags(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_rows, SCHEMA)
 
 
+def scan_tags(paths: DataFrame) -> DataFrame:
+    """tags() of the files at (path), of which only the blocks with directories and tags' values are read.
+
+    A scan of 100 MB has its directories within some blocks of 16 KB; its samples stay where they are.
+    """
+    return paths.select("path").mapInArrow(_scanned, SCHEMA)
+
+
 def as_number(value: str = "value", kind: str = "type") -> Column:
     """The first value of an unsigned whole-number tag, else null."""
     return F.when(F.col(kind).isin(1, 3, 4), F.get(F.col(value)["ints"], F.lit(0)))
@@ -284,32 +342,112 @@ def choose(directories: DataFrame, thumbnail: bool) -> DataFrame:
 PIXELS = "path string, ifd_idx int, y int, x int, r int, g int, b int"
 
 
-def pixels(files: DataFrame, chosen: DataFrame, factor: int = 1) -> DataFrame:
-    """(path, ifd_idx, y, x, r, g, b) of the chosen directories, every factor-th row and column.
+def _plain_rgb(found: list[tuple[str, dict[int, tuple]]]) -> list[dict]:
+    """The directories that rgb_directories() finds, from a file's parsed ones."""
+    out = []
+    for i, (_, d) in enumerate(found):
+        one = lambda tag, other: (_numbers(d.get(tag)) or [other])[0]
+        width, height = one(0x0100, 0), one(0x0101, 0)
+        if one(0x0103, 1) == 1 and one(0x0106, 0) == 2 and one(0x0115, 1) >= 3 and width > 0 and height > 0:
+            out.append({"ifd": i, "width": width, "height": height, "bits": one(0x0102, 8), "kind": one(0x00FE, 0), "offsets": _numbers(d.get(0x0111)), "lengths": _numbers(d.get(0x0117))})
+    return out
+
+
+def _chosen(directories: list[dict], thumbnail: bool) -> dict | None:
+    px = lambda d: d["width"] * d["height"]
+    order = (lambda d: (d["kind"] != 1, px(d), d["ifd"])) if thumbnail else (lambda d: (-px(d), d["ifd"]))
+    return min(directories, key=order, default=None)
+
+
+def _image(data: bytes, d: dict):
+    """The samples (height, width, 3) of a directory; strips outside the file are left out; None if there are too few bytes."""
+    import numpy as np
+
+    raw = b"".join(data[o : o + n] for o, n in zip(d["offsets"], d["lengths"]) if o + n <= len(data))
+    if d["bits"] not in (8, 16) or len(raw) < d["width"] * d["height"] * 3 * d["bits"] // 8:
+        return None
+    kind = np.uint8 if d["bits"] == 8 else np.dtype("<u2" if data[:2] == b"II" else ">u2")
+    return np.frombuffer(raw, kind, d["width"] * d["height"] * 3).reshape(d["height"], d["width"], 3)
+
+
+def _pixel_batches(path: str, ifd: int, image, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of an image (height, width, channels), in bands of bounded size."""
+    import numpy as np
+
+    band = max(1, (1 << 18) // image.shape[1])
+    for top in range(0, image.shape[0], band):
+        part = image[top : top + band].astype(np.int32)
+        y, x = np.mgrid[top : top + part.shape[0], 0 : part.shape[1]].astype(np.int32)
+        same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(y.size, np.int32)), pa.array([path])).dictionary_decode()
+        yield pa.RecordBatch.from_arrays([same, pa.array(np.full(y.size, ifd, np.int32)), pa.array(y.ravel()), pa.array(x.ravel()), *[pa.array(part[:, :, c].ravel()) for c in range(len(names))]], names=["path", "ifd_idx", "y", "x", *names])
+
 
-    Strips outside the file are left out; a directory with too few bytes, or other than 8 or 16 bits, has no pixels.
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[dict]]]:
+    """(path, bytes, plain RGB directories) of each file that can be parsed."""
+    for batch in batches:
+        for i, path in enumerate(batch.column(0).to_pylist()):
+            content = batch.column(1)[i]
+            data = content.as_buffer().to_pybytes() if content.is_valid else b""
+            try:
+                yield path, data, _plain_rgb(parse(data)[2])
+            except TagError:
+                continue
+
+
+def pixels(files: DataFrame, thumbnail: bool = False, factor: int = 1) -> DataFrame:
+    """(path, ifd_idx, y, x, r, g, b) of each file's largest image, or its best thumbnail; every factor-th row and column.
+
+    A file is parsed, chosen from and decoded in one pass: its bytes are read once and never shuffled. Files that can't
+    be parsed, and directories with too few bytes or other than 8 or 16 bits, have no pixels.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, data, found in _files(batches):
+            d = _chosen(found, thumbnail)
+            image = _image(data, d) if d else None
+            if image is not None:
+                yield from _pixel_batches(path, d["ifd"], image[::factor, ::factor], ["r", "g", "b"])
+
+    return files.select("path", "content").mapInArrow(run, PIXELS)
+
+
+def image_tiles(files: DataFrame, size: int = 512, halo: int = 16, thumbnail: bool = False) -> DataFrame:
+    """Each file's largest image, or its best thumbnail, as tiles (see operators/tiles) with r, g, b; the path is their image_id."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            for i in range(batch.num_rows):
-                path, ifd, width, height, bits, offsets, lengths = (c[i].as_py() for c in columns[:7])
-                data = columns[7][i].as_buffer().to_pybytes()
-                raw = b"".join(data[o : o + n] for o, n in zip(offsets or [], lengths or []) if o + n <= len(data))
-                if bits not in (8, 16) or len(raw) < width * height * 3 * bits // 8:
-                    continue
-                kind = np.uint8 if bits == 8 else np.dtype("<u2" if data[:2] == b"II" else ">u2")
-                image = np.frombuffer(raw, kind, width * height * 3).reshape(height, width, 3)[::factor, ::factor].astype(np.int32)
-                band = max(1, (1 << 18) // image.shape[1])
-                for top in range(0, image.shape[0], band):
-                    part = image[top : top + band]
-                    y, x = np.mgrid[top : top + part.shape[0], 0 : part.shape[1]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * y.size), pa.array(np.full(y.size, ifd, np.int32)), pa.array(y.ravel()), pa.array(x.ravel()), *[pa.array(part[:, :, c].ravel()) for c in range(3)]], names=["path", "ifd_idx", "y", "x", "r", "g", "b"])
-
-    joined = chosen.select("path", "ifd_idx", "width", "height", "bits", "offsets", "lengths").join(files.select("path", "content"), "path")
-    return joined.select("path", "ifd_idx", "width", "height", "bits", "offsets", "lengths", "content").mapInArrow(run, PIXELS)
+        for path, data, found in _files(batches):
+            d = _chosen(found, thumbnail)
+            image = _image(data, d) if d else None
+            if image is None:
+                continue
+            height, width = image.shape[:2]
+            for y in range(0, height, size):
+                for x in range(0, width, size):
+                    part = image[max(0, y - halo) : y + size + halo, max(0, x - halo) : x + size + halo].astype(np.float64)
+                    place = [height, width, y, x, min(size, height - y), min(size, width - x), halo]
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), *[pa.array([v], pa.int32()) for v in place], *[pa.array([part[:, :, c].ravel()]) for c in range(3)]], names=["image_id", "height", "width", "y0", "x0", "h", "w", "halo", "r", "g", "b"])
+
+    return files.select("path", "content").mapInArrow(run, "image_id string, height int, width int, y0 int, x0 int, h int, w int, halo int, r array<double>, g array<double>, b array<double>")
+
+
+def pixel_pairs(files: DataFrame) -> DataFrame:
+    """(path, ifd_idx, y, x, r, g, b, r16, g16, b16): the first marked 8-bit thumbnail beside the first 16-bit image of its size.
+
+    That image is neither marked nor the largest of its file; files without such a pair have no rows.
+    """
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, data, found in _files(batches):
+            most = max((d["width"] * d["height"] for d in found), default=0)
+            small = next((d for d in found if d["kind"] == 1 and d["bits"] == 8), None)
+            wide = small and next((d for d in found if d["bits"] == 16 and d["kind"] == 0 and d["width"] * d["height"] < most and (d["width"], d["height"]) == (small["width"], small["height"])), None)
+            a, b = (_image(data, small), _image(data, wide)) if wide else (None, None)
+            if a is not None and b is not None:
+                yield from _pixel_batches(path, small["ifd"], np.concatenate([a.astype(np.int32), b.astype(np.int32)], axis=2), ["r", "g", "b", "r16", "g16", "b16"])
+
+    return files.select("path", "content").mapInArrow(run, PIXELS + ", r16 int, g16 int, b16 int")
 
 
 def build(directories: list[list[tuple[int, int, list]]], strips: list[bytes], order: str = "<", magic: int = 0x2A) -> bytes:
@@ -373,6 +511,45 @@ def settings_text(found: DataFrame) -> DataFrame:
     return t.select("path", F.when(n > 0, F.try_to_binary(F.hex(raw.substr(F.lit(5), n.cast("int"))), F.lit("hex"))).cast("string").alias("xml")).filter("xml IS NOT NULL")
 
 
+def find_settings(data: bytes) -> str | None:
+    """The first XML property list in a file's bytes, from its declaration to its end; None without one or if it isn't UTF-8."""
+    start = data.find(b"<?xml")
+    end = data.find(b"</plist>", start) if start >= 0 else -1
+    if end < 0:
+        return None
+    try:
+        return data[start : end + 8].decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+def history(files: DataFrame) -> DataFrame:
+    """(path, xml, scanned): the settings that tag 0xC519 holds; only files without that tag are searched through for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                content = batch.column(1)[i]
+                data = content.as_buffer().to_pybytes() if content.is_valid else b""
+                xml = None
+                try:
+                    found = parse(data)[2]
+                    entry = found[0][1].get(0xC519) if found else None
+                    raw = entry[2]["bytes"] if entry and entry[0] in (1, 7) else b""
+                    n = int.from_bytes(raw[:4], "big")
+                    xml = raw[4 : 4 + n].decode("utf-8") if n and len(raw) > 4 else None
+                except (TagError, UnicodeDecodeError):
+                    pass
+                text = xml if xml is not None else find_settings(data)
+                if text is not None:
+                    rows.append((path, text, xml is None))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_())], names=["path", "xml", "scanned"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, xml string, scanned boolean")
+
+
 def embedded_profile(found: DataFrame) -> DataFrame:
     """(path, profile): tag 0x8773, else 0xC51A, if it is a colour profile by its mark at byte 36."""
     b = F.col("value.bytes")

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__
 from argentum import registry
 from argentum.functions import colour
-from argentum.operators import neighbourhood, point
+from argentum.operators import neighbourhood, point, tiles
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -121,14 +121,22 @@ def test_colour_difference(spark):
         assert math.isclose(r.de, r.want, abs_tol=1e-4)
 
 
-def test_rotated_crop_by_loop(spark):
+def tiled(spark, image, size=None, halo=0):
+    h, w = image.shape
+    df = tiles.whole(spark.createDataFrame([(1, h, w, [float(v) for v in image.ravel()])], "image_id bigint, height int, width int, px array<double>"))
+    return df if size is None else tiles.split(df, size, halo)
+
+
+@pytest.mark.parametrize("size,halo", [(None, 0), (3, 1), (5, 2)])
+def test_rotated_crop_by_loop(spark, size, halo):
     rng = np.random.default_rng(2)
     image = rng.integers(0, 16384, (8, 8))
-    df = spark.createDataFrame([(1, y, x, int(image[y, x])) for y in range(8) for x in range(8)], "image_id bigint, y bigint, x bigint, v bigint")
-    cx, cy, w, h, angle = 0.5, 0.45, 0.6, 0.5, 0.3
-    got = {(r.y, r.x): r.v for r in neighbourhood.crop_rotated(df, 8, 8, cx, cy, w, h, angle).collect()}
-    ow, oh = round(w * 8), round(h * 8)
-    assert len(got) == ow * oh
+    df = tiled(spark, image, size, halo)
+    cx, cy, w, h, angle = 0.5, 0.45, 0.9, 0.5, 0.3
+    rows = tiles.crop_rotated(df, cx, cy, w, h, angle).collect()
+    got = {(r.y, r.x): r.v for r in rows}
+    ow, oh = math.floor(w * 8 + 0.5), round(h * 8)
+    assert len(got) == len(rows) == ow * oh
     for (y, x), v in got.items():
         dx, dy = x + 0.5 - ow / 2, y + 0.5 - oh / 2
         sx, sy = cx * 8 + dx * math.cos(angle) - dy * math.sin(angle) - 0.5, cy * 8 + dx * math.sin(angle) + dy * math.cos(angle) - 0.5
@@ -140,27 +148,65 @@ def test_rotated_crop_by_loop(spark):
         fx, fy = sx - x0, sy - y0
         want = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
         assert abs(v - want) <= 0.5 + 1e-6
-    straight = {(r.y, r.x): r.v for r in neighbourhood.crop_rotated(df, 8, 8, 0.5, 0.5, 0.5, 0.5, 0.0).collect()}
+    straight = {(r.y, r.x): r.v for r in tiles.crop_rotated(df, 0.5, 0.5, 0.5, 0.5, 0.0).collect()}
     assert straight == {(y, x): int(image[y + 2, x + 2]) for y in range(4) for x in range(4)}
 
 
-def test_sharpening_by_loop(spark):
-    image = np.random.default_rng(3).integers(0, 65536, (6, 7))
-    df = spark.createDataFrame([(1, y, x, int(image[y, x])) for y in range(6) for x in range(7)], "image_id bigint, y bigint, x bigint, v bigint")
-    k = np.array(neighbourhood.gaussian(1.0))
+def slow_soft(u, sigma):
+    k = np.array(neighbourhood.gaussian(sigma))
     half = len(k) // 2
-    u = image / 65535
     pad = np.pad(u, ((0, 0), (half, half)), "edge")
-    soft = sum(w * pad[:, i : i + 7] for i, w in enumerate(k))
+    soft = sum(w * pad[:, i : i + u.shape[1]] for i, w in enumerate(k))
     pad = np.pad(soft, ((half, half), (0, 0)), "edge")
-    soft = sum(w * pad[i : i + 6] for i, w in enumerate(k))
-    high = u - soft
+    return sum(w * pad[i : i + u.shape[0]] for i, w in enumerate(k))
+
+
+@pytest.mark.parametrize("size,halo", [(None, 0), (2, 3), (4, 5)])
+def test_sharpening_by_loop(spark, size, halo):
+    image = np.random.default_rng(3).integers(0, 65536, (6, 7))
+    df = tiled(spark, image, size, halo)
+    u = image / 65535
+    high = u - slow_soft(u, 1.0)
     high = high * np.clip((np.abs(high) - 3 / 255) / (3 / 255), 0, 1)
     t = np.clip(u / (100 / 255), 0, 1)
     want = np.floor(np.clip(u + 150 / 50 * t * t * (3 - 2 * t) * high, 0, 1) * 65535 + 0.5)
-    got = {(r.y, r.x): r.v for r in neighbourhood.unsharp(df, 150.0, 20.0, 100.0, 3.0).collect()}
-    assert all(abs(got[y, x] - want[y, x]) <= 1 for y in range(6) for x in range(7))
-    assert neighbourhood.unsharp(df, 0.0, 20.0) is df and neighbourhood.blur(df, "v", 0.05) is df
+    made = tiles.with_core(df, "out", tiles.sharpened(150.0, 20.0, 100.0, 3.0))
+    got = {(r.y, r.x): r.v for r in tiles.pixels(made, "out").collect()}
+    assert len(got) == 42 and all(abs(got[y, x] - want[y, x]) <= 1 for y in range(6) for x in range(7))
+    same = tiles.with_core(tiles.with_core(df, "a", tiles.sharpened(0.0, 20.0)), "b", tiles.blurred(0.05))
+    assert {(r.y, r.x): r.v for r in tiles.pixels(same, "a").collect()} == {(r.y, r.x): r.v for r in tiles.pixels(same, "b").collect()} == {(y, x): image[y, x] for y in range(6) for x in range(7)}
+
+
+def test_sharpening_of_colours_by_loop(spark):
+    rng = np.random.default_rng(4)
+    r, g, b = (rng.integers(0, 65536, (5, 6)) for _ in range(3))
+    df = spark.createDataFrame([("i", 5, 6, 0, 0, 5, 6, 0, *[[float(v) for v in c.ravel()] for c in (r, g, b)])], "image_id string, height int, width int, y0 int, x0 int, h int, w int, halo int, r array<double>, g array<double>, b array<double>")
+    light = (0.299 * r + 0.587 * g + 0.114 * b) / 65535
+    more = 80 / 50 * (light - slow_soft(light, 0.8))
+    got = {(x.y, x.x): (x.r, x.g, x.b) for x in tiles.rgb_pixels(tiles.sharpen_rgb(df, 80.0, 16.0, factors=(100.0, 50.0, 0.0))).collect()}
+    for y in range(5):
+        for x in range(6):
+            want = [math.floor(min(max(c[y, x] / 65535 + k * more[y, x], 0), 1) * 65535 + 0.5) for c, k in zip((r, g, b), (1, 0.5, 0))]
+            assert all(abs(v - w) <= 1 for v, w in zip(got[y, x], want)) and got[y, x][2] == b[y, x]
+
+
+def test_narrow_halos_are_refused(spark):
+    df = tiled(spark, np.zeros((9, 9)), 3, 1)
+    with pytest.raises(Exception, match="too narrow"):
+        tiles.with_core(df, "out", tiles.blurred(2.0)).collect()
+
+
+@pytest.mark.parametrize("name", ["conv_h", "conv_v", "blur", "usm", "usm_limits", "crop_rotated", "image_round_trip", "thumbnail_pixels"])
+def test_neighbours_need_no_shuffle(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_images_of_another_shape_have_no_pairs(spark):
+    image = np.arange(8)
+    a, b, c = (tiled(spark, image.reshape(s)) for s in ((2, 4), (4, 2), (2, 4)))
+    assert tiles.pair(a, b).count() == 0
+    assert [(r.y, r.x, r.v, r.ref) for r in tiles.pair_pixels(tiles.pair(a, c)).orderBy("y", "x").collect()] == [(i // 4, i % 4, i, i) for i in range(8)]
 
 
 def test_negative_calibration(spark):

@@ -74,13 +74,73 @@ def test_tag_columns(spark):
 def test_pixels_of_the_largest_and_of_the_thumbnail(spark):
     files = file_queries.sample_files(spark)
     rgb = tagfiles.rgb_directories(tagfiles.tags(files))
-    for r in tagfiles.pixels(files, tagfiles.choose(rgb, False)).collect():
+    full = tagfiles.pixels(files).collect()
+    assert {(r.path, r.ifd_idx) for r in full} == {(r.path, r.ifd_idx) for r in tagfiles.choose(rgb, False).collect()}
+    for r in full:
         n = int(r.path[-5])
         i = (r.y * 4 + r.x) * 3
         assert (r.r, r.g, r.b) == tuple((k * 1000 + n) % 65536 for k in (i, i + 1, i + 2))
-    thumb = tagfiles.pixels(files, tagfiles.choose(rgb, True)).collect()
+    thumb = tagfiles.pixels(files, thumbnail=True).collect()
     assert len(thumb) == 8 * 4 and all((r.r, r.g, r.b) == tuple(range((r.y * 2 + r.x) * 3, (r.y * 2 + r.x) * 3 + 3)) for r in thumb)
-    assert tagfiles.pixels(files, tagfiles.choose(rgb, False), factor=2).count() == 8 * 4
+    assert {(r.path, r.ifd_idx) for r in thumb} == {(r.path, r.ifd_idx) for r in tagfiles.choose(rgb, True).collect()}
+    assert tagfiles.pixels(files, factor=2).count() == 8 * 4
+    from argentum.operators import tiles
+
+    tiled = tiles.rgb_pixels(tagfiles.image_tiles(files, size=3, halo=0)).collect()
+    assert {(r.image_id, r.y, r.x, r.r, r.g, r.b) for r in tiled} == {(r.path, r.y, r.x, r.r, r.g, r.b) for r in full} and len(tiled) == len(full)
+
+
+def rgb_entries(w, h, bits, kind):
+    return [(0x00FE, 4, [kind]), (0x0100, 4, [w]), (0x0101, 4, [h]), (0x0102, 3, [bits] * 3), (0x0103, 3, [1]), (0x0106, 3, [2]), (0x0115, 3, [3])]
+
+
+def test_pairs_of_thumbnail_and_preview(spark):
+    def made(*images):
+        strips = [np.arange(w * h * 3, dtype="<u2" if bits == 16 else np.uint8).tobytes() for w, h, bits, _ in images]
+        return bytearray(tagfiles.build([rgb_entries(*i) for i in images], strips))
+
+    big, thumb, preview = (9, 9, 16, 0), (3, 2, 8, 1), (3, 2, 16, 0)
+    rows = [("both", made(big, thumb, preview)), ("other size", made(big, thumb, (2, 3, 16, 0))), ("largest", made(thumb, preview)), ("marked", made(big, thumb, (3, 2, 16, 1))), ("none", made(big)), ("broken", bytearray(b"x"))]
+    got = tagfiles.pixel_pairs(spark.createDataFrame(rows, "path string, content binary")).orderBy("y", "x").collect()
+    assert {r.path for r in got} == {"both"} and len(got) == 6
+    assert all((r.r, r.g, r.b) == (r.r16, r.g16, r.b16) == tuple(range((r.y * 3 + r.x) * 3, (r.y * 3 + r.x) * 3 + 3)) for r in got)
+
+
+def test_scans_read_directories_only(spark, tmp_path):
+    import io
+
+    strip = bytes(6_000_000)
+    raw = tagfiles.build([[*rgb_entries(1000, 2000, 8, 0), (0x010F, 2, TEXT)], rgb_entries(2, 2, 8, 1)], [strip, bytes(12)])
+    ranges = tagfiles.Ranges(io.BytesIO(raw), len(raw))
+    assert tagfiles.parse(ranges) == tagfiles.parse(raw) and ranges.read <= 4 * 16384 < len(raw) / 50
+    (tmp_path / "a.tif").write_bytes(raw)
+    (tmp_path / "b.tif").write_bytes(b"II")
+    paths = tagfiles.list_files(spark, str(tmp_path), ["tif"])
+    order = ["path", "ifd_idx", "tag"]
+    assert tagfiles.scan_tags(paths).orderBy(*order).collect() == tagfiles.tags(paths).orderBy(*order).collect()
+
+
+def test_bytes_are_numbers_too():
+    values = list(range(200))
+    assert one(tagfiles.parse(tagfiles.build([[(9, 1, values)]], [b""]))[2], 9)[2]["ints"] == values
+
+
+def test_history_is_searched_for_without_its_tag(spark):
+    xml = b"<?xml version='1.0'?><plist>\xc3\xa9</plist>"
+    tagged = tagfiles.build([[(0xC519, 7, [struct.pack(">I", 8) + b"<plist/>" + b"rest"])]], [b""]) + xml
+    rows = [("tag", tagged), ("scan", tagfiles.build([[(0x010F, 2, TEXT)]], [b""]) + b"junk" + xml + b"more</plist>"), ("not a file", b"??" + xml), ("open", b"<?xml and no end"), ("bytes", xml.replace(b"\xc3\xa9", b"\xff")), ("none", b"")]
+    got = {r.path: (r.xml, r.scanned) for r in tagfiles.history(spark.createDataFrame([(n, bytearray(d)) for n, d in rows], "path string, content binary")).collect()}
+    assert got == {"tag": ("<plist/>", False), "scan": (xml.decode(), True), "not a file": (xml.decode(), True)}
+
+
+def test_folders_with_odd_and_repeated_names(spark, tmp_path):
+    root = tmp_path / "a+b (1)" / "x"
+    for name in ("one.tif", "x/two.tif", "x/x/three.tif", ".hidden/four.tif", "x/.h/five.tif"):
+        at = root / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"II")
+    names = lambda depth: sorted(r.path.rsplit("/", 1)[1] for r in tagfiles.list_files(spark, str(root), ["TIF"], depth).select("path").collect())
+    assert (names(None), names(0), names(1)) == (["one.tif", "three.tif", "two.tif"], ["one.tif"], ["one.tif", "two.tif"])
 
 
 def test_embedded_texts_profiles_and_jpegs(spark):
@@ -175,5 +235,5 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 def test_export_is_read_back(spark):
     samples = [int(x) for x in np.random.default_rng(1).integers(0, 65536, 5 * 4 * 3)]
     files = tagfiles.export(spark.createDataFrame([("x", 5, 4, samples)], "path string, width int, height int, samples array<int>"))
-    px = tagfiles.pixels(files, tagfiles.choose(tagfiles.rgb_directories(tagfiles.tags(files)), False)).orderBy("y", "x").collect()
+    px = tagfiles.pixels(files).orderBy("y", "x").collect()
     assert [v for r in px for v in (r.r, r.g, r.b)] == samples
