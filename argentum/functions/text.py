@@ -6,13 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _decimal(n: Column, unit: int, digits: int) -> Column:
+    """n / unit with so many decimals, ties to the even digit: in whole numbers, so that every engine gives the same."""
+    k = 10**digits
+    q, r = F.floor(n * k / F.lit(unit)).cast("bigint"), F.pmod(n * k, F.lit(unit))
+    q = q + F.when((r > unit // 2) | ((r == unit // 2) & (q % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(q / k).cast("bigint").cast("string"), F.lit("."), F.lpad((q % k).cast("string"), digits, "0"))
+
+
 def file_size(n: Column) -> Column:
     """Bytes as B, KB, MB (one decimal) or GB (two), by powers of 1024."""
+    n = n.cast("bigint")
     return (
-        F.when(n < 1 << 10, F.format_string("%d B", n))
-        .when(n < 1 << 20, F.format_string("%.1f KB", n / float(1 << 10)))
-        .when(n < 1 << 30, F.format_string("%.1f MB", n / float(1 << 20)))
-        .otherwise(F.format_string("%.2f GB", n / float(1 << 30)))
+        F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < 1 << 20, F.concat(_decimal(n, 1 << 10, 1), F.lit(" KB")))
+        .when(n < 1 << 30, F.concat(_decimal(n, 1 << 20, 1), F.lit(" MB")))
+        .otherwise(F.concat(_decimal(n, 1 << 30, 2), F.lit(" GB")))
     )
 
 
@@ -67,6 +76,24 @@ def attribute(c: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(c, f'{name}="([^"]*)"', 1), F.lit(""))
 
 
+def attribute_number(c: Column, name: str) -> Column:
+    """An attribute as a 32-bit number; null if it is missing or no number."""
+    return attribute(c, name).try_cast("float")
+
+
+def short_folder(name: Column, prefix: str = "", longest: int = 40) -> Column:
+    """A folder's name for display: without a vendor's prefix, e-mail addresses as ***, at most so many characters."""
+    bare = F.when(F.startswith(name, F.lit(prefix)), F.substr(name, F.lit(len(prefix) + 1))).otherwise(name) if prefix else name
+    hidden = F.regexp_replace(bare, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "***")
+    return F.when(F.length(hidden) > longest, F.concat(F.substr(hidden, F.lit(1), F.lit(longest - 1)), F.lit("…"))).otherwise(hidden)
+
+
+def date_parts(parts: Column) -> Column:
+    """A map of texts as (year, month, day, hour, minute, second); what is missing or no whole number is 0."""
+    one = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)).try_cast("int"), F.lit(0)).alias(k.lower())
+    return F.struct(*[one(k) for k in ("Year", "Month", "Day", "Hour", "Minute", "Second")])
+
+
 def filled_template(template: Column, name: Column, n: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{name}"), name), F.lit("{n}"), n.cast("string"))
 
@@ -98,6 +125,22 @@ def insert_after(xml: Column, anchor: str, key: str, value: str, kind: str = "in
     return F.regexp_replace(xml, f"(?s)^(.*?<key>{anchor}</key>\\s*<(?:integer|real)>[^<]*</(?:integer|real)>)(.*)$", f"$1<key>{key}</key><{kind}>{value}</{kind}>$2")
 
 
+def patch_nested_array(xml: Column, key: str, body: str) -> Column:
+    """The whole array after the first such key, with arrays in it, replaced; without the key or its end nothing changes.
+
+    The end is where as many arrays have closed as opened: the depth is summed along the tags behind the key.
+    """
+    at = F.instr(xml, f"<key>{key}</key>")
+    behind = F.substr(xml, at + len(f"<key>{key}</key>"))
+    lead = F.instr(behind, "<array>")
+    parts = F.split(F.substr(behind, lead), r"(?<=</?array>)")
+    opens = F.transform(parts, lambda x: F.when(F.endswith(x, F.lit("</array>")), -1).when(F.endswith(x, F.lit("<array>")), 1).otherwise(0))
+    walked = F.aggregate(opens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, d: F.struct((a["depth"] + d).alias("depth"), (a["n"] + 1).alias("n"), F.when((a["end"] == 0) & (a["depth"] + d == 0), a["n"] + 1).otherwise(a["end"]).alias("end")))["end"]
+    rest = F.array_join(F.slice(parts, walked + 1, F.size(parts)), "")
+    done = F.concat(F.substr(xml, F.lit(1), at + len(f"<key>{key}</key>") - 1), F.substr(behind, F.lit(1), lead - 1), F.lit(body), rest)
+    return F.when((at > 0) & (lead > 0) & (walked > 0), done).otherwise(xml)
+
+
 def ints_of(text: Column, separator: str = ",") -> Column:
     """The whole numbers among the parts of a text; other parts go."""
     return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull())

@@ -72,7 +72,12 @@ def error_stats(long: DataFrame, by: list[str]) -> DataFrame:
     One pass counts (by, signed difference, band, 8-bit difference); everything follows from these counts.
     """
     d = long.select(*by, (F.col("v") - F.col("ref")).alias("s"), F.when(F.col("ref") < BAND_LOW, "low").when(F.col("ref") >= BAND_HIGH, "high").otherwise("mid").alias("band"), F.abs(F.shiftright("v", 8) - F.shiftright("ref", 8)).alias("d8"))
-    d = d.groupBy(*by, "s", "band", "d8").agg(F.count("*").alias("n")).withColumn("d", F.abs("s"))
+    return error_stats_of(d.groupBy(*by, "s", "band", "d8").agg(F.count("*").alias("n")), by)
+
+
+def error_stats_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    """error_stats() from counts n of (by, signed difference s, band of the reference, 8-bit difference d8)."""
+    d = counts.groupBy(*by, "s", "band", "d8").agg(F.sum("n").alias("n")).withColumn("d", F.abs("s"))
     of = lambda band: safe_ratio(F.sum(F.when(F.col("band") == band, F.col("d") * F.col("n")).otherwise(0)), F.sum(F.when(F.col("band") == band, F.col("n")).otherwise(0)))
     total = F.sum("n")
     out = d.groupBy(*by).agg(
@@ -107,7 +112,69 @@ def region_grid(df: DataFrame, width: int, height: int, parts: int = 3) -> DataF
     return df.withColumns({"gy": at("y", height), "gx": at("x", width)})
 
 
-def worst(df: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """The n rows with the largest difference in any channel, with a total order by key."""
+def worst(df: DataFrame, n: int, order: list[str], place: list[str]) -> DataFrame:
+    """The n rows with the largest difference in any channel (d_max), in rising order of (d_max, place).
+
+    It is what a scan in the order of `order` keeps of n: a row enters a full list only with a larger difference than
+    the list's smallest, and the smallest (d_max, place) leaves. Of the rows at the n-th largest difference t, these
+    are some of the first n rows with t or more, and of them the last ones by place. Three scans, each kept to n rows.
+    """
+    if n <= 0:
+        return df.withColumn("d_max", F.lit(0).cast("bigint")).limit(0)
     d = df.withColumn("d_max", F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_ref")) for c in "rgb"]))
-    return d.orderBy(F.col("d_max").desc(), *key).limit(n)
+    t = d.select("d_max").orderBy(F.desc("d_max")).limit(n).agg(F.min("d_max").alias("_t"))
+    d = d.join(F.broadcast(t), F.lit(True)).filter("d_max >= _t")  # one row
+    over = d.filter("d_max > _t").withColumn("_tie", F.lit(False))
+    ties = d.orderBy(*order).limit(n).filter("d_max = _t").withColumn("_tie", F.lit(True))
+    return over.unionByName(ties).orderBy("_tie", *[F.desc(c) for c in place]).limit(n).drop("_tie", "_t").orderBy("d_max", *place)
+
+
+def border_samples(df: DataFrame, width: int, height: int, stride: int = 8, part: int = 50, least: int = 8) -> DataFrame:
+    """Every stride-th pixel of every stride-th row that lies within the border: a part of the shorter side, or least pixels."""
+    border = max(min(width, height) // part, least)
+    inner = f"x < {border} OR x >= {max(width - border, 0)} OR y < {border} OR y >= {max(height - border, 0)}"
+    return df.filter(f"x % {stride} = 0 AND y % {stride} = 0 AND ({inner})")
+
+
+def rounded_rank(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """(by, value): the value at index round((n - 1) * share), from 0, of each group's sorted ones; counts by value come first."""
+    n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = n.withColumns({"_up": F.sum("_n").over(W.partitionBy(*by).orderBy(value)), "_all": F.sum("_n").over(W.partitionBy(*by))})
+    return n.filter(F.col("_up") > F.floor((F.col("_all") - 1) * share + 0.5)).groupBy(*by).agg(F.min(value).alias(value))
+
+
+def fitted_error(long: DataFrame, fit: DataFrame, by: list[str], top: float) -> DataFrame:
+    """(by, gain, offset, mae): the mean error of the fitted line, held within 0 to top. Counted by (v, ref) first."""
+    n = long.groupBy(*by, "v", "ref").agg(F.count("*").alias("_n")).join(F.broadcast(fit), by)  # one row a group
+    held = F.greatest(F.lit(0.0), F.least(F.lit(top), F.col("gain") * F.col("v") + F.col("offset")))
+    return n.groupBy(*by).agg(F.first("gain").alias("gain"), F.first("offset").alias("offset"), (F.sum(F.abs(held - F.col("ref")) * F.col("_n")) / F.sum("_n")).alias("mae"))
+
+
+def errors_8(long: DataFrame, by: list[str]) -> DataFrame:
+    """Of 8-bit differences: mae, top, psnr (infinite without one), n, and how many are over 5 and over 10."""
+    d = long.select(*by, F.abs(F.shiftright("v", 8) - F.shiftright("ref", 8)).alias("d"))
+    d = d.groupBy(*by).agg(F.avg("d").alias("mae"), F.max("d").alias("top"), F.avg(F.col("d") * F.col("d")).alias("_mse"), F.count("*").alias("n"), F.count_if(F.col("d") > 5).alias("over_5"), F.count_if(F.col("d") > 10).alias("over_10"))
+    psnr = F.when(F.col("_mse") > 0, 10.0 * F.log10(F.lit(65025.0) / F.nullif(F.col("_mse"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
+    return d.withColumn("psnr", psnr).drop("_mse")
+
+
+def bias(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mae, bias): mean absolute and mean signed difference of v to ref over the places that both images have."""
+    d = F.col("v") - F.col("ref")
+    return pairs.groupBy(*by).agg(F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"))
+
+
+def region_errors(df: DataFrame, width: int, height: int, by: list[str], parts: int = 3) -> DataFrame:
+    """(by, gy, gx, mae, mean, ref_mean, n) of the pixels' mean channel, v against ref, in each part of a grid."""
+    return region_grid(df, width, height, parts).groupBy(*by, "gy", "gx").agg((F.sum(F.abs(F.col("v") - F.col("ref"))) / F.count("*")).alias("mae"), (F.sum("v") / F.count("*")).alias("mean"), (F.sum("ref") / F.count("*")).alias("ref_mean"), F.count("*").alias("n"))
+
+
+def colour_errors(df: DataFrame) -> DataFrame:
+    """Of chart pixels (colour, quadrant, r, g, b and references): colour, group, rms (mean over quadrants), group_rms.
+
+    A quadrant's error is the root mean square of its three mean channel differences; groups are greys and the six hues.
+    """
+    means = df.groupBy("colour", "quadrant").agg(*[F.avg(F.col(c) - F.col(f"{c}_ref")).alias(c) for c in "rgb"])
+    rms = F.sqrt((F.col("r") * F.col("r") + F.col("g") * F.col("g") + F.col("b") * F.col("b")) / 3.0)
+    one = means.groupBy("colour").agg(F.avg(rms).alias("rms")).withColumn("group", F.when(F.col("colour") < 16, F.lit("Gray")).otherwise(F.get(F.array(*map(F.lit, "RGBYCM")), F.floor((F.col("colour") - 16) / 8).cast("int"))))
+    return one.withColumn("group_rms", F.avg("rms").over(W.partitionBy("group")))  # 64 colours at most

@@ -59,13 +59,19 @@ def affine(df: DataFrame, gains: tuple[float, float, float], offsets: tuple[floa
     return df.withColumns({c: F.expr(f"CAST(floor(greatest(0D, least(65535D, {c} * {g!r}D + {o!r}D * 257D))) AS BIGINT)") for c, g, o in zip(RGB, gains, offsets, strict=True)})
 
 
+def affine_32(df: DataFrame, gains: tuple[float, float, float], offsets: tuple[float, float, float]) -> DataFrame:
+    """affine() in 32-bit floats."""
+    one = lambda c, g, o: F.expr(f"CAST(greatest(CAST(0 AS FLOAT), least(CAST(65535 AS FLOAT), CAST({c} AS FLOAT) * CAST({g!r} AS FLOAT) + CAST({o!r} AS FLOAT) * CAST(257 AS FLOAT))) AS BIGINT)")
+    return df.withColumns({c: one(c, g, o) for c, g, o in zip(RGB, gains, offsets, strict=True)})
+
+
 # Gains and 8-bit offsets for colour negatives, with and without an input profile.
 NEGATIVE_CALIBRATION = {True: ((1.06, 1.04, 0.97), (-17.54, -13.26, 17.28)), False: ((1.01, 1.05, 0.96), (-3.07, -16.64, 8.66))}
 
 
 def calibrate_negative(df: DataFrame, film_type: int, profile: str | None) -> DataFrame:
     """The affine calibration of colour negatives (film type 1); other films stay as they are."""
-    return affine(df, *NEGATIVE_CALIBRATION[bool((profile or "").strip())]) if film_type == 1 else df
+    return affine_32(df, *NEGATIVE_CALIBRATION[bool((profile or "").strip())]) if film_type == 1 else df
 
 
 def gains(df: DataFrame, factors: tuple[float, float, float]) -> DataFrame:
@@ -108,6 +114,11 @@ class Display:
     contrast_gain: float = 2.0
 
 
+def _power(v, e) -> np.ndarray:
+    """A power of 32-bit numbers, worked out in 64 bits and rounded: the same in every engine."""
+    return np.power(np.asarray(v).astype(np.float64), np.float64(e)).astype(np.float32)
+
+
 def display_tables(p: Display) -> np.ndarray:
     """Three tables of 65 536 values: output range, shift, exposure, temperature, tone steps; truncated 32-bit floats."""
     f = np.float32
@@ -119,7 +130,7 @@ def display_tables(p: Display) -> np.ndarray:
     for c in range(3):
         low, high = f(p.out_low[c]) / f(255), f(p.out_high[c]) / f(255)
         v = low + np.arange(TOP + 1, dtype=f) / f(TOP) * max(high - low, f(0.001))
-        v = unit((v + f(p.shift[c]) / f(255)) * (f(2) ** f(p.exposure)) * factors[c])
+        v = unit((v + f(p.shift[c]) / f(255)) * f(_power(f(2), f(p.exposure))) * factors[c])
         if abs(p.shadows) > 0.1:
             v = unit(v + f(p.shadows) / f(100) * (f(1) - v) * (f(1) - v) * f(0.5))
         if abs(p.highlights) > 0.1:
@@ -130,9 +141,9 @@ def display_tables(p: Display) -> np.ndarray:
         if abs(p.brightness) > 0.1:
             v = unit(v + f(p.brightness) / f(100) * f(0.5))
         if abs(p.depth) > 0.1:
-            v = unit(v ** (f(1) / max(f(1) + f(p.depth) / f(100), f(0.1))))
+            v = unit(_power(v, f(1) / max(f(1) + f(p.depth) / f(100), f(0.1))))
         if abs(p.midtone - 1) > 0.01:
-            v = unit(v ** (f(1) / np.clip(f(p.midtone), f(0.1), f(10))))
+            v = unit(_power(v, f(1) / np.clip(f(p.midtone), f(0.1), f(10))))
         tables.append((v * f(TOP)).astype(np.int64))
     return np.array(tables)
 
@@ -150,7 +161,7 @@ def level_tables(black, white, gamma, master_gamma: float = 1.0, film: np.ndarra
             part = at - i.astype(f)
             v = film[c].astype(f)[i] * (f(1) - part) + film[c].astype(f)[i + 1] * part
         for g in (gamma[c], master_gamma):
-            v = v ** (f(1) / np.clip(f(g), f(0.01), f(99)))
+            v = _power(v, f(1) / np.clip(f(g), f(0.01), f(99)))
         tables.append((np.clip(v, f(0), f(1)) * f(TOP)).astype(np.int64))
     return np.array(tables)
 
@@ -207,9 +218,24 @@ def bezier_table(control: list[tuple[float, float]]) -> np.ndarray:
     return np.clip(np.floor(np.interp(np.arange(256), xs, ys) + 0.5), 0, 255).astype(np.int64)
 
 
-def curve_tables(curves: list[list[tuple[float, float]]]) -> np.ndarray:
-    """16-bit tables of a master curve and one for each channel: the channel's first, then the master."""
-    master, *channels = [bezier_table(c) for c in curves[:4]]
-    wide = lambda t: np.floor(np.interp(np.arange(TOP + 1) / 257.0, np.arange(256), t * 257.0) + 0.5).astype(np.int64)
-    top = wide(master)
-    return np.array([top[wide(c)] for c in channels])
+def is_straight(curve: list[tuple[float, float]]) -> bool:
+    """Is a curve the two points (0, 0) and (255, 255)?"""
+    return len(curve) == 2 and tuple(curve[0][:2]) == (0, 0) and tuple(curve[1][:2]) == (255, 255)
+
+
+def curve_tables(curves: list[list[tuple[float, float]]]) -> np.ndarray | None:
+    """16-bit tables of seven curves: master; red, green, blue; cyan, magenta, yellow. None if they change nothing.
+
+    A channel goes through its own curve, then its complement through that of its complementary colour, then through
+    the master. Under seven curves nothing is changed.
+    """
+    if len(curves) < 7 or all(map(is_straight, curves)):
+        return None
+    wide = lambda t: np.floor(np.interp(np.arange(TOP + 1) / 257.0, np.arange(256), t) * 257.0 + 0.5).astype(np.int64)
+    master, *others = [wide(bezier_table([p[:2] for p in c])) for c in curves[:7]]
+    return np.array([master[TOP - others[3 + c][TOP - others[c]]] for c in range(3)])
+
+
+def gradation(df: DataFrame, curves: list[list[tuple[float, float]]]) -> DataFrame:
+    tables = curve_tables(curves)
+    return df if tables is None else look_up(df, tables)

@@ -1,4 +1,4 @@
-"""Joins and overlays: where two relations meet."""
+"""Joins and overlays: where two relations meet. Pixels of two images meet as tiles (see tiles.pair)."""
 
 from __future__ import annotations
 
@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def pixel_join(ours: DataFrame, reference: DataFrame, key: list[str]) -> DataFrame:
-    """Both images' pixels by place; images of another size than their reference have no rows.
-
-    The size is compared by the images' pixel counts: one row for each image, before any pixel meets another.
-    """
-    n = lambda df, c: df.groupBy("image_id").agg(F.count("*").alias(c))
-    same = n(ours, "_n1").join(n(reference, "_n2"), "image_id").filter("_n1 = _n2").select("image_id")
-    return ours.join(same, "image_id", "left_semi").join(reference, key)
-
-
-def file_pairs(files: DataFrame, one: str, two: str) -> DataFrame:
-    """(stem, path_one, path_two): files with extension one that have a neighbour of the same stem with extension two."""
-    named = files.select("path", F.regexp_extract("path", r"^(.*)\.[^./]*$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("ext"))
-    left = named.filter(F.col("ext") == one).select("stem", F.col("path").alias("path_one"))
-    return left.join(named.filter(F.col("ext") == two).select("stem", F.col("path").alias("path_two")), "stem")
+def file_pairs(files: DataFrame, one: str, two: str, shown: str = "path") -> DataFrame:
+    """(stem, path_one, path_two): files with extension one that have a neighbour of the same stem with extension two; of each the column shown."""
+    named = files.select(F.col(shown).alias("shown"), F.regexp_extract("path", r"^(.*)\.[^./]*$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("ext"))
+    left = named.filter(F.col("ext") == one).select("stem", F.col("shown").alias("path_one"))
+    return left.join(named.filter(F.col("ext") == two).select("stem", F.col("shown").alias("path_two")), "stem")
 
 
 def baseline_diff(now: DataFrame, base: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -35,15 +25,19 @@ def baseline_diff(now: DataFrame, base: DataFrame, key: list[str], value: str) -
 def select_profile(files: DataFrame, profiles: DataFrame, keywords: list[str]) -> DataFrame:
     """(path, profile): by the profile's name, with or without ".icc"; else by a keyword that model and name share; else null.
 
-    Of several the first in the catalogue's order (ord) stands. Keywords are matched by equality: a file
-    and a profile are joined on each keyword they hold, so no file meets every profile.
+    Of several the first in the catalogue's order (ord) stands. So a keyword only needs its first profile, and a name
+    its first: at most one row for each keyword and name meets the files.
     """
     words = F.array(*map(F.lit, keywords))
     held = lambda c: F.filter(words, lambda k: F.contains(F.lower(c), k))
-    exact = files.select("path", F.col("wanted").alias("name")).join(profiles.select(F.regexp_replace("name", r"\.icc$", "").alias("_stem"), "name", "ord").unionByName(profiles.select(F.col("name").alias("_stem"), "name", "ord")).withColumnRenamed("name", "profile"), F.col("name") == F.col("_stem")).select("path", F.lit(0).alias("kind"), "ord", "profile")
-    loose = files.select("path", F.explode(held(F.col("model"))).alias("k")).join(profiles.select(F.explode(held(F.col("name"))).alias("k"), "ord", F.col("name").alias("profile")), "k").select("path", F.lit(1).alias("kind"), "ord", "profile")
-    best = exact.unionByName(loose).groupBy("path").agg(F.min_by("profile", F.struct("kind", "ord")).alias("profile"))
-    return files.select("path").join(best, "path", "left")
+    names = profiles.select(F.regexp_replace("name", r"\.icc$", "").alias("_stem"), "name", "ord").unionByName(profiles.select(F.col("name").alias("_stem"), "name", "ord"))
+    exact = names.groupBy("_stem").agg(F.min_by("name", "ord").alias("_exact"))
+    first = profiles.select(F.explode(held(F.col("name"))).alias("k"), "ord", "name").groupBy("k").agg(F.min(F.struct("ord", "name")).alias("p"))
+    # one row that holds the first profile of each keyword
+    table = first.agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("_table"))
+    near = F.array_sort(F.array_compact(F.transform(held(F.col("model")), lambda k: F.try_element_at(F.col("_table"), k))))
+    found = files.select("path", "wanted", "model").join(exact, F.col("wanted") == F.col("_stem"), "left").join(F.broadcast(table), F.lit(True), "left")
+    return found.select("path", F.coalesce("_exact", F.get(near, F.lit(0))["name"]).alias("profile"))
 
 
 def resolve(settings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -74,5 +68,34 @@ def overlay_apply(base: DataFrame, overlay: DataFrame, key: str, columns: list[s
     return base.join(o, key, "left").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
+def looked_up(df: DataFrame, name: str, catalogue: DataFrame) -> DataFrame:
+    """The rows with index: the first place (ord) of their name in a catalogue (ord, name), null if it isn't there."""
+    first = catalogue.groupBy(F.col("name").alias("_name")).agg(F.min("ord").alias("index"))
+    return df.join(first, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
+#: When a set of parameters leaves an image as it is: each step is switched off or near its neutral value. A film curve
+#: that is switched on never does. Columns: apply_<step>, and the values; arrays for levels, output and matrix.
+NEUTRAL = {
+    "levels": "forall(black, v -> v < 0.5) AND forall(gamma, v -> abs(v - 1) < 0.01) AND forall(white, v -> v > 254.5) AND forall(out_low, v -> v < 0.5) AND forall(out_high, v -> v > 254.5)",
+    "film_curve": "false",
+    "exposure": "abs(exposure) < 0.001",
+    "brightness": "abs(brightness) < 0.1",
+    "shadow_depth": "abs(lightness) < 0.1",
+    "midtone": "abs(midtone - 1) < 0.01",
+    "contrast": "abs(contrast) < 0.1",
+    "highlights": "abs(highlights) < 0.1",
+    "shadows": "abs(shadows) < 0.1",
+    "saturation": "abs(saturation) < 0.1",
+    "color_balance": "abs(r_shift) < 0.1 AND abs(g_shift) < 0.1 AND abs(b_shift) < 0.1",
+    "color_temp": "abs(temperature) < 0.1 AND abs(tint) < 0.1",
+    "color_corr": "forall(matrix, v -> v = 0)",
+}
+
+
+def neutral() -> Column:
+    return F.expr(" AND ".join(f"(NOT apply_{step} OR ({test}))" for step, test in NEUTRAL.items()))
+
+
 def any_set(columns: list[str]) -> Column:
     return F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in columns], F.lit(False))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from argentum.functions import colour, text
 from argentum.operators import neighbourhood as near
-from argentum.operators import ordered, tiles
+from argentum.operators import ordered, point, tiles
+from argentum.operators import relations as rel
 from argentum.plans.file_queries import preset_text, sample_presets
 from argentum.sources import pixels
 
@@ -95,13 +97,6 @@ def usm_fit(spark, sf_dir):
     return found.select("image_id", "sigma", F.round("k", 6).alias("k"), F.round("r2", 6).alias("r2"))
 
 
-@query(f"WITH {TILE}, q AS (SELECT y * 8 + x AS colour, image_id % 4 AS quadrant, sqrt(avg(power(v - 8192, 2))) AS rms FROM tile GROUP BY 1, 2), c AS (SELECT colour, avg(rms) AS rms FROM q GROUP BY 1) SELECT colour, round(rms, 6) AS rms FROM c ORDER BY rms DESC, colour LIMIT 20")
-def chart_worst_colours(spark, sf_dir):
-    """The 20 colours of a chart with the largest error, averaged over four quadrants."""
-    q = pixels.tiles(spark, sf_dir).groupBy(F.expr("y * 8 + x").alias("colour"), (F.col("image_id") % 4).alias("quadrant")).agg(F.sqrt(F.avg(F.pow(F.col("v") - 8192, F.lit(2.0)))).alias("rms"))
-    return q.groupBy("colour").agg(F.avg("rms").alias("rms")).orderBy(F.col("rms").desc(), "colour").limit(20).select("colour", F.round("rms", 6).alias("rms"))
-
-
 @query("SELECT i.range AS i, i.range % 64 AS x, i.range // 64 AS y, ((CASE WHEN i.range % 64 >= 32 THEN 63 - i.range % 64 ELSE i.range % 64 END) // 4 + 8 * ((CASE WHEN i.range // 64 >= 32 THEN 63 - i.range // 64 ELSE i.range // 64 END) // 4)) % 64 AS colour FROM range(4096) i")
 def chart_pixels(spark, sf_dir):
     """A chart of 64 colours in four mirrored quadrants, 64 x 64 pixels."""
@@ -189,15 +184,28 @@ def table_256_interpolated(spark, sf_dir):
     return t.select(*pixels.KEY, F.round((F.get("t", F.col("lo")) * (1 - part) + F.get("t", F.col("lo") + 1) * part) * 257, 6).alias("v"))
 
 
-NEUTRAL = "(NOT levels OR (black < 0.5 AND white > 254.5 AND abs(gamma - 1) < 0.01)) AND NOT film AND (NOT expose OR abs(exposure) < 0.001) AND abs(contrast) < 0.1 AND abs(saturation) < 0.1"
-PARAMS = "p_partkey AS id, p_partkey % 2 = 0 AS levels, p_size % 5 AS black, 255 - p_size % 3 AS white, 1 + (p_size % 4) / 100 AS gamma, p_partkey % 7 = 0 AS film, p_partkey % 3 = 0 AS expose, (p_size % 2) / 1000 AS exposure, p_size % 2 AS contrast, 0 AS saturation"
+# Small numbers around each step's threshold, by residues of the part's key and size; the same text in both engines.
+PARAMS = {
+    **{f"apply_{step}": f"p_partkey % {m} = 0" for step, m in zip(rel.NEUTRAL, (2, 97, 3, 5, 4, 7, 2, 6, 3, 2, 5, 4, 11))},
+    **{name: f"(p_size % {m}) / {d}" for name, m, d in (("exposure", 3, 1500), ("brightness", 2, 15), ("lightness", 4, 20), ("contrast", 3, 15), ("highlights", 2, 9), ("shadows", 5, 30), ("saturation", 2, 12), ("r_shift", 3, 25), ("g_shift", 2, 30), ("b_shift", 4, 35), ("temperature", 3, 25), ("tint", 2, 9))},
+    "midtone": "1 + (p_size % 4) / 250",
+}
+LISTS = {"black": ["p_size % 3 / 4", "0", "0"], "gamma": ["1", "1 + p_size % 5 / 300", "1"], "white": ["255 - p_size % 2 / 3", "255", "255"], "out_low": ["0", "p_size % 7 / 13", "0"], "out_high": ["255", "255", "255 - p_size % 3 / 5"], "matrix": ["0", "p_size % 2", "0"]}
+
+
+def _neutral_sql() -> str:
+    real = lambda e: e.replace(" / ", "::DOUBLE / ")
+    columns = [f"{real(e)} AS {k}" for k, e in PARAMS.items()] + [f"[{', '.join(f'({real(e)})::DOUBLE' for e in es)}] AS {k}" for k, es in LISTS.items()]
+    tests = {k: re.sub(r"forall\((\w+), v -> (.*?)\)(?= AND|$)", r"len(list_filter(\1, lambda v: NOT (\2))) = 0", t) for k, t in rel.NEUTRAL.items()}
+    return f"SELECT id, {' AND '.join(f'(NOT apply_{k} OR ({t}))' for k, t in tests.items())} AS neutral FROM (SELECT p_partkey AS id, {', '.join(columns)} FROM part)"
 
 
-@query(f"SELECT id, {NEUTRAL} AS neutral FROM (SELECT {PARAMS.replace(' AS gamma', '::DOUBLE AS gamma').replace(' AS exposure', '::DOUBLE AS exposure')} FROM part)")
+@query(_neutral_sql())
 def identity_parameters(spark, sf_dir):
-    """Do a set's parameters leave an image as it is? A film curve that is switched on never does."""
-    names = [x.strip() for x in PARAMS.replace(" AS gamma", "D AS gamma").replace(" AS exposure", "D AS exposure").split(", ")]
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*names).selectExpr("id", f"{NEUTRAL} AS neutral")
+    """Do a set's parameters leave an image as it is? Thirteen steps, each switched off or near its neutral value."""
+    real = lambda e: f"CAST({e} AS DOUBLE)"
+    columns = [f"{e} AS {k}" for k, e in PARAMS.items()] + [f"array({', '.join(map(real, es))}) AS {k}" for k, es in LISTS.items()]
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", *columns).select("id", rel.neutral().alias("neutral"))
 
 
 @query("SELECT p_partkey AS id, len(list_filter(m, lambda c: c <> -s)) > 0 AS custom, p_size % 3 = 0 AND len(list_filter(m, lambda c: c <> -s)) > 0 AS applies FROM (SELECT p_partkey, p_size, p_size % 4 AS s, [-(p_size % 4), -(p_size % 4), CASE WHEN p_partkey % 5 = 0 THEN 7 ELSE -(p_size % 4) END] AS m FROM part)")
@@ -214,9 +222,7 @@ def distinct_roots(spark, sf_dir):
     return roots.filter("page_id % 2 = 0").select("root").unionByName(roots.filter("page_id % 3 = 0").select("root")).distinct()
 
 
-@query(f"WITH {PX} SELECT {K}, " + ", ".join(f"trunc(greatest(0::FLOAT, least(65535::FLOAT, {c}::FLOAT * {g}::FLOAT + {o}::FLOAT * 257::FLOAT)))::BIGINT AS {c}" for c, g, o in zip("rgb", (1.06, 1.04, 0.97), (-17.54, -13.26, 17.28))) + " FROM px")
+@query(f"WITH {PX} SELECT {K}, " + ", ".join(f"trunc(greatest(0::FLOAT, least(65535::FLOAT, {c}::FLOAT * {g}::FLOAT + {o}::FLOAT * 257::FLOAT)))::BIGINT AS {c}" for c, g, o in zip("rgb", *point.NEGATIVE_CALIBRATION[True])) + " FROM px")
 def negative_calibration(spark, sf_dir):
     """The calibration of colour negatives with an input profile, in 32-bit floats."""
-    gains, offsets = (1.06, 1.04, 0.97), (-17.54, -13.26, 17.28)
-    one = lambda c, g, o: F.expr(f"CAST(greatest(CAST(0 AS FLOAT), least(CAST(65535 AS FLOAT), CAST({c} AS FLOAT) * CAST({g} AS FLOAT) + CAST({o} AS FLOAT) * CAST(257 AS FLOAT))) AS BIGINT)")
-    return pixels.points(spark, sf_dir).select(*pixels.KEY, *[one(c, g, o).alias(c) for c, g, o in zip("rgb", gains, offsets)])
+    return point.calibrate_negative(pixels.points(spark, sf_dir), 1, "in.icc").select(*pixels.KEY, "r", "g", "b")

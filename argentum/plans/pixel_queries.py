@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from argentum.operators import aggregates as agg
 from argentum.operators import neighbourhood as near
 from argentum.operators import ordered, point, tiles
+from argentum.plans import steps_sql
 from argentum.sources import pixels
 
 QUERIES, SQL = {}, {}
@@ -158,9 +159,9 @@ def display_contrast(spark, sf_dir):
 STEPS = point.Display(out_low=(5.0, 0.0, 10.0), out_high=(250.0, 255.0, 240.0), shift=(3.0, -2.0, 0.0), exposure=0.5, temperature=20.0, tint=-10.0, shadows=15.0, highlights=-20.0, contrast=10.0, brightness=5.0, depth=12.0, midtone=1.2, saturation=20.0, matrix=((1.05, -0.05, 0.0), (0.0, 1.0, 0.0), (0.0, 0.02, 0.98)))
 
 
-@query()
+@query(f"{{px}} {steps_sql.chain(f'SELECT {K}, r, g, b FROM px', K, steps_sql.display(STEPS))}")
 def display_adjust(spark, sf_dir):
-    """All display steps; the tables hold 32-bit powers, which SQL can't give, so tests compare with a plain loop."""
+    """All display steps."""
     return rgb(point.display(px(spark, sf_dir), STEPS))
 
 
@@ -172,9 +173,12 @@ def scanner_levels(spark, sf_dir):
     return rgb(point.look_up(px(spark, sf_dir), point.level_tables((12, 12, 12), (240, 240, 240), (1, 1, 1))))
 
 
-@query()
+LEVELS = ((12, 8, 30), (240, 230, 250), (1.1, 0.9, 1.3), 1.4)
+
+
+@query(f"{{px}} {steps_sql.chain(f'SELECT {K}, r, g, b FROM px', K, steps_sql.levels(*LEVELS))}")
 def scanner_levels_gamma(spark, sf_dir):
-    return rgb(point.look_up(px(spark, sf_dir), point.level_tables((12, 8, 30), (240, 230, 250), (1.1, 0.9, 1.3), 1.4)))
+    return rgb(point.look_up(px(spark, sf_dir), point.level_tables(*LEVELS)))
 
 
 @query(f"{{px}} SELECT {K}, {each('least(65535, (@ >> 2) * 3)')} FROM px")
@@ -193,10 +197,13 @@ def lut_invert_256(spark, sf_dir):
     return outputs.join(F.broadcast(x), F.lit(True)).groupBy("o").agg(F.min_by("x", F.struct(F.abs(F.col("o") - F.col("v")), F.col("x"))).alias("x"))  # two tables of 256 rows
 
 
-@query()
+# master; red, green, blue; cyan, magenta, yellow
+CURVES = [[(0, 0), (64, 50), (192, 210), (255, 255)], [(0, 0), (128, 140), (255, 255)], [(0, 10), (255, 245)], [(0, 0), (255, 255)], [(0, 0), (100, 120), (255, 255)], [(0, 0), (255, 255)], [(0, 20), (90, 100), (255, 230)]]
+
+
+@query(f"{{px}} {steps_sql.chain(f'SELECT {K}, r, g, b FROM px', K, steps_sql.curves(CURVES))}")
 def gradation_curves(spark, sf_dir):
-    curves = [[(0, 0), (64, 50), (192, 210), (255, 255)], [(0, 0), (128, 140), (255, 255)], [(0, 10), (255, 245)], [(0, 0), (255, 255)]]
-    return rgb(point.look_up(px(spark, sf_dir), point.curve_tables(curves)))
+    return rgb(point.gradation(px(spark, sf_dir), CURVES))
 
 
 HIST = "SELECT c.ch, r.bin::BIGINT AS bin, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('R'), ('G'), ('B')) c(ch) CROSS JOIN (SELECT unnest(range(0, 256)) AS bin) r LEFT JOIN (SELECT ch, v >> 8 AS bin, count(*) AS n FROM long GROUP BY 1, 2) b ON b.ch = c.ch AND b.bin = r.bin"
@@ -316,15 +323,16 @@ def percentile_linear(spark, sf_dir):
     return d.groupBy("ch").agg(F.percentile("d", 0.5).alias("p50"), F.percentile("d", 0.9).alias("p90"))
 
 
-@query("{px} {long} SELECT ch, count(*) FILTER (WHERE abs((v >> 8) - (ref >> 8)) > 0) AS over_0, count(*) FILTER (WHERE abs((v >> 8) - (ref >> 8)) > 5) AS over_5, max(abs((v >> 8) - (ref >> 8))) AS top, avg(abs((v >> 8) - (ref >> 8))) AS mae FROM long GROUP BY 1")
+@query("{px} {long} &d AS (SELECT ch, abs((v >> 8) - (ref >> 8)) AS d FROM long) SELECT ch, avg(d) AS mae, max(d) AS top, CASE WHEN avg(d * d) > 0 THEN 10 * log10(65025::DOUBLE / avg(d * d)) ELSE 'inf'::DOUBLE END AS psnr, count(*) AS n, count(*) FILTER (WHERE d > 5) AS over_5, count(*) FILTER (WHERE d > 10) AS over_10 FROM d GROUP BY 1")
 def channel_errors_8(spark, sf_dir):
-    d = pixels.long(px(spark, sf_dir)).selectExpr("ch", "abs(shiftright(v, 8) - shiftright(ref, 8)) AS d")
-    return d.groupBy("ch").agg(F.count_if(F.col("d") > 0).alias("over_0"), F.count_if(F.col("d") > 5).alias("over_5"), F.max("d").alias("top"), F.avg("d").alias("mae"))
+    return agg.errors_8(pixels.long(px(spark, sf_dir)), ["ch"])
 
 
-@query("{px} {long} &s AS (SELECT ch, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS sx, sum(ref)::DOUBLE AS sy, sum(v * v)::DOUBLE AS sxx, sum(v * ref)::DOUBLE AS sxy FROM long GROUP BY 1), g AS (SELECT *, CASE WHEN n * sxx - sx * sx = 0 THEN 1::DOUBLE ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS gain FROM s) SELECT ch, gain, (sy - gain * sx) / n AS \"offset\" FROM g")
+@query("{px} {long} &s AS (SELECT ch, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS sx, sum(ref)::DOUBLE AS sy, sum(v * v)::DOUBLE AS sxx, sum(v * ref)::DOUBLE AS sxy FROM long GROUP BY 1), g AS (SELECT *, CASE WHEN n * sxx - sx * sx = 0 THEN 1::DOUBLE ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS gain FROM s), o AS (SELECT ch, gain, (sy - gain * sx) / n AS \"offset\" FROM g) SELECT ch, gain, \"offset\", round(avg(abs(greatest(0::DOUBLE, least(65535::DOUBLE, gain * v + \"offset\")) - ref)), 6) AS mae FROM o JOIN long USING (ch) GROUP BY ALL")
 def affine_fit(spark, sf_dir):
-    return agg.affine_fit(pixels.long(px(spark, sf_dir)), ["ch"])
+    """The least-squares line of each channel, and the mean error of what it gives."""
+    long = pixels.long(px(spark, sf_dir))
+    return agg.fitted_error(long, agg.affine_fit(long, ["ch"]), ["ch"], 65535.0).withColumn("mae", F.round("mae", 6))
 
 
 @query("{px} {long} SELECT ch, v * 1024 // 65536 AS bin, sum(ref) / count(*)::DOUBLE AS mean, count(*) AS n FROM long GROUP BY 1, 2")
@@ -343,14 +351,18 @@ def bin_spread(spark, sf_dir):
     return pixels.long(px(spark, sf_dir)).groupBy("ch", F.shiftright("v", 12).alias("bin")).agg(F.round(F.sqrt(F.var_pop("ref")), 6).alias("std"))
 
 
-@query(f"{{px}} SELECT {K}, greatest(abs(r - r_ref), abs(g - g_ref), abs(b - b_ref)) AS d_max FROM px ORDER BY d_max DESC, {K} LIMIT 50")
-def worst_n(spark, sf_dir):
-    return agg.worst(px(spark, sf_dir), 50, KEY).select(*KEY, "d_max")
+PLACE = ["k_part", "k_order", "k_line", "image_id", "k_price"]
+WORST = 50
 
 
-@query("{tile} SELECT image_id, least(y // 2, 2) AS gy, least(x // 2, 2) AS gx, sum(v) / count(*)::DOUBLE AS mean, count(*) AS n FROM tile GROUP BY 1, 2, 3")
-def region_grid(spark, sf_dir):
-    return agg.region_grid(pixels.tiles(spark, sf_dir), 8, 8).groupBy("image_id", "gy", "gx").agg((F.sum("v") / F.count("*")).alias("mean"), F.count("*").alias("n"))
+@query(
+    f"{{px}} &d AS (SELECT {K}, greatest(abs(r - r_ref), abs(g - g_ref), abs(b - b_ref)) AS d_max FROM px), t AS (SELECT min(d_max) AS t FROM (SELECT d_max FROM d ORDER BY d_max DESC LIMIT {WORST})), e AS (SELECT d.* FROM d, t WHERE d_max >= t ORDER BY {K} LIMIT {WORST}), "
+    f"o AS (SELECT d.* FROM d, t WHERE d_max > t), m AS (SELECT e.* FROM e, t WHERE d_max = t ORDER BY {', '.join(f'{c} DESC' for c in PLACE)} LIMIT {WORST}), n AS (SELECT count(*) AS n FROM o), "
+    f"k AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(f'{c} DESC' for c in PLACE)}) AS i FROM m) WHERE i <= {WORST} - (SELECT n FROM n)) SELECT * FROM o UNION ALL SELECT * FROM k"
+)
+def worst_n(spark, sf_dir):
+    """What a scan keeps that lets in only larger differences than its smallest."""
+    return agg.worst(px(spark, sf_dir), WORST, KEY, PLACE).select(*KEY, "d_max")
 
 
 @query("{tile} SELECT image_id, sum(v) / count(*)::DOUBLE AS mean FROM tile WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY 1")
@@ -358,13 +370,6 @@ def tile_mean(spark, sf_dir):
     return pixels.tiles(spark, sf_dir).filter("y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5").groupBy("image_id").agg((F.sum("v") / F.count("*")).alias("mean"))
 
 
-@query("{tile} SELECT image_id, list_sort(list(v))[floor((count(*) - 1) * 0.9::DOUBLE + 0.5::DOUBLE)::BIGINT + 1] AS base FROM tile WHERE y IN (0, 7) OR x IN (0, 7) GROUP BY 1")
-def film_base(spark, sf_dir):
-    """The 90th percentile, by rounded index, of an image's border."""
-    edge = pixels.tiles(spark, sf_dir).filter("y IN (0, 7) OR x IN (0, 7)").groupBy("image_id").agg(F.sort_array(F.collect_list("v")).alias("s"))  # 28 values an image
-    return edge.select("image_id", F.get("s", F.floor((F.size("s") - 1) * 0.9 + 0.5).cast("int")).alias("base"))
-
-
 @query("{px} {long} SELECT ch, v >> 8 AS bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY ch ORDER BY v >> 8)::BIGINT AS up FROM long GROUP BY 1, 2")
 def cumulative_hist(spark, sf_dir):
     counts = pixels.long(px(spark, sf_dir)).groupBy("ch", F.shiftright("v", 8).alias("bin")).agg(F.count("*").alias("n"))

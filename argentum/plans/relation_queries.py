@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from argentum.functions import colour, text
 from argentum.operators import aggregates as agg
@@ -49,10 +50,23 @@ def tag_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(text.contains_any([F.col("lang"), F.col("source")], "E")).select("doc_id", "lang", "source")
 
 
-@query("SELECT doc_id, n_chars * (doc_id % 7 + 1) * 1500 AS n, CASE WHEN n_chars * (doc_id % 7 + 1) * 1500 < 1024 THEN (n_chars * (doc_id % 7 + 1) * 1500) || ' B' WHEN n_chars * (doc_id % 7 + 1) * 1500 < 1048576 THEN printf('%.1f KB', n_chars * (doc_id % 7 + 1) * 1500 / 1024::DOUBLE) WHEN n_chars * (doc_id % 7 + 1) * 1500 < 1073741824 THEN printf('%.1f MB', n_chars * (doc_id % 7 + 1) * 1500 / 1048576::DOUBLE) ELSE printf('%.2f GB', n_chars * (doc_id % 7 + 1) * 1500 / 1073741824::DOUBLE) END AS size FROM documents WHERE n_chars * (doc_id % 7 + 1) % 8 = 3")
+def _size_sql(n: str) -> str:
+    """Decimals in whole numbers, ties to the even digit."""
+
+    def part(unit: int, k: int) -> str:
+        q, r = f"({n} * {k} // {unit})", f"({n} * {k} % {unit})"
+        up = f"({q} + CASE WHEN {r} > {unit // 2} OR ({r} = {unit // 2} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+        return f"({up} // {k}) || '.' || lpad(({up} % {k})::VARCHAR, {len(str(k)) - 1}, '0')"
+
+    return f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < 1048576 THEN {part(1 << 10, 10)} || ' KB' WHEN {n} < 1073741824 THEN {part(1 << 20, 10)} || ' MB' ELSE {part(1 << 30, 100)} || ' GB' END"
+
+
+SIZE = "(n_chars * (doc_id % 7 + 1) * 1500)::BIGINT"
+
+
+@query(f"SELECT doc_id, {SIZE} AS n, {_size_sql(SIZE)} AS size FROM documents")
 def file_size(spark, sf_dir):
-    """Sizes whose first dropped decimals can't be a tie, as the engines round ties apart."""
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars * (doc_id % 7 + 1) * 1500 AS n", "n_chars * (doc_id % 7 + 1) AS k").filter("k % 8 = 3").drop("k")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(n_chars * (doc_id % 7 + 1) * 1500 AS BIGINT) AS n")
     return d.withColumn("size", text.file_size(F.col("n")))
 
 
@@ -94,6 +108,7 @@ def json_field(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def scan_stats(spark, sf_dir):
+    """How many rows each kind has."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
@@ -105,12 +120,6 @@ def height_map(spark, sf_dir):
     return c.select("q", *[F.round(text.height(F.col("n"), F.col("top"), k), 9).alias(a) for a, k in h.items()])
 
 
-@query("SELECT i.range AS i, CASE WHEN i.range < 16 THEN i.range * 17 ELSE 0 END AS grey, CASE WHEN i.range >= 16 THEN (i.range - 16) // 8 ELSE -1 END AS hue, CASE WHEN i.range >= 16 THEN ((i.range - 16) % 8 + 1) * 255 // 8 ELSE -1 END AS lum FROM range(64) i")
-def palette(spark, sf_dir):
-    """64 colours: 16 greys, then six hues of eight brightnesses."""
-    return spark.range(64).selectExpr("id AS i", "CASE WHEN id < 16 THEN id * 17 ELSE 0 END AS grey", "CASE WHEN id >= 16 THEN (id - 16) div 8 ELSE -1 END AS hue", "CASE WHEN id >= 16 THEN ((id - 16) % 8 + 1) * 255 div 8 ELSE -1 END AS lum")
-
-
 @query("WITH t AS (SELECT i.range AS i, least(greatest((i.range - 100) / 800::DOUBLE, 0), 1) AS t FROM range(1001) i) SELECT i, floor(least(greatest(CASE WHEN t < 0.5 THEN 0 WHEN t < 0.75 THEN (t - 0.5::DOUBLE) / 0.25::DOUBLE ELSE 1 END, 0), 1) * 255)::INT AS r, floor(least(greatest(CASE WHEN t < 0.25 THEN t / 0.25::DOUBLE WHEN t < 0.75 THEN 1 ELSE 1 - (t - 0.75::DOUBLE) / 0.25::DOUBLE END, 0), 1) * 255)::INT AS g, floor(least(greatest(CASE WHEN t < 0.25 THEN 1 WHEN t < 0.5 THEN 1 - (t - 0.25::DOUBLE) / 0.25::DOUBLE ELSE 0 END, 0), 1) * 255)::INT AS b FROM t")
 def colour_ramp(spark, sf_dir):
     r, g, b = colour.ramp((F.col("id") - 100) / 800.0)
@@ -149,8 +158,8 @@ def _delta_sql() -> str:
     for old, new in (("L", "q_l"), ("A", "q_a"), ("B", "q_b"), ("L_ref", "s_l"), ("A_ref", "s_a"), ("B_ref", "s_b")):
         text_ = text_.replace(f'"{old}"', new)
     return (
-        f"WITH {pixels.POINTS_SQL}, {text_}, n AS (SELECT image_id, round(de, 4) AS de, count(*) AS n FROM {before} GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY de) AS up, sum(n) OVER (PARTITION BY image_id) AS al FROM n) "
-        "SELECT image_id, round(sum(de * n) / sum(n), 6) AS mean, min(de) FILTER (WHERE up >= least(ceil(al * 0.95::DOUBLE) + 1, al)) AS p95, sum(n)::BIGINT AS n FROM u GROUP BY 1"
+        f"WITH {pixels.POINTS_SQL}, {text_}, n AS (SELECT image_id, de, count(*) AS n FROM {before} GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY de) AS up, sum(n) OVER (PARTITION BY image_id) AS al FROM n) "
+        "SELECT image_id, round(sum(de * n) / sum(n), 6) AS mean, round(min(de) FILTER (WHERE up >= least(ceil(al * 0.95::DOUBLE) + 1, al)), 6) AS p95, sum(n)::BIGINT AS n FROM u GROUP BY 1"
     )
 
 
@@ -159,29 +168,18 @@ def delta_e(spark, sf_dir):
     """CIEDE2000 of each image against its reference: mean, and the value at index ceil(0.95 n), from 0, of the sorted ones."""
     px = pixels.points(spark, sf_dir).withColumns({f"{c}0": F.col(c) for c in "rgb"})
     d = colour.ciede2000(_lab(_lab(px, "0"), "_ref"), ("L0", "A0", "B0"), ("L_ref", "A_ref", "B_ref"), "de")
-    counts = d.groupBy("image_id", F.round("de", 4).alias("de")).agg(F.count("*").alias("n"))
-    w = F.col("image_id")
-    from pyspark.sql import Window as W
-
-    up = counts.withColumns({"_up": F.sum("n").over(W.partitionBy(w).orderBy("de")), "_all": F.sum("n").over(W.partitionBy(w))})
+    # one pass over the formula; its values are counted and put in order as they are
+    counts = d.groupBy("image_id", "de").agg(F.count("*").alias("n"))
+    image = W.partitionBy("image_id")
+    up = counts.withColumns({"_up": F.sum("n").over(image.orderBy("de")), "_all": F.sum("n").over(image)})
     at = F.least(F.ceil(F.col("_all") * 0.95) + 1, F.col("_all"))
-    return up.groupBy("image_id").agg(F.round(F.sum(F.col("de") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min(F.when(F.col("_up") >= at, F.col("de"))).alias("p95"), F.sum("n").alias("n"))
+    return up.groupBy("image_id").agg(F.round(F.sum(F.col("de") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.round(F.min(F.when(F.col("_up") >= at, F.col("de"))), 6).alias("p95"), F.sum("n").alias("n"))
 
 
 @query(f"WITH {FILES_SQL}, n AS (SELECT regexp_extract(path, '^(.*)_[0-9]+\\.[^./]*$', 1) AS stem, path, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext FROM files) SELECT a.stem, a.path AS path_one, b.path AS path_two FROM n a JOIN n b ON a.stem = b.stem AND a.ext = '3fr' AND b.ext = 'tif'")
 def file_pair(spark, sf_dir):
-    f = files(spark, sf_dir).select("path", F.regexp_replace("path", r"_[0-9]+(\.[^./]*)$", "$1").alias("short"))
-    named = f.select(F.col("short").alias("path"), F.col("path").alias("full"))
-    one = named.filter(F.lower("path").endswith(".3fr")).selectExpr("regexp_extract(path, '^(.*)\\\\.[^./]*$', 1) AS stem", "full AS path_one")
-    two = named.filter(F.lower("path").endswith(".tif")).selectExpr("regexp_extract(path, '^(.*)\\\\.[^./]*$', 1) AS stem", "full AS path_two")
-    return one.join(two, "stem")
-
-
-@query(f"WITH {pixels.POINTS_SQL}, o AS (SELECT k_order, k_line, k_part, image_id, k_price, r FROM px WHERE NOT (image_id % 3 = 0 AND k_line = 1)), c AS (SELECT image_id FROM (SELECT image_id, count(*) AS n FROM o GROUP BY 1) JOIN (SELECT image_id, count(*) AS m FROM px GROUP BY 1) USING (image_id) WHERE n = m) SELECT o.*, px.r_ref FROM o JOIN c USING (image_id) JOIN px USING (k_order, k_line, k_part, image_id, k_price)")
-def pixel_join(spark, sf_dir):
-    px = pixels.points(spark, sf_dir)
-    ours = px.filter("NOT (image_id % 3 = 0 AND k_line = 1)").select(*pixels.KEY, "r")
-    return rel.pixel_join(ours, px.select(*pixels.KEY, "r_ref"), pixels.KEY)
+    f = files(spark, sf_dir).select(F.regexp_replace("path", r"_[0-9]+(\.[^./]*)$", "$1").alias("path"), F.col("path").alias("full"))
+    return rel.file_pairs(f, "3fr", "tif", "full")
 
 
 @query("WITH n AS (SELECT o_orderkey AS id, o_totalprice AS mae FROM orders), b AS (SELECT o_orderkey AS id, o_totalprice + (o_orderkey % 5 - 2) * 0.03::DOUBLE AS mae FROM orders WHERE o_orderkey % 4 > 0) SELECT n.id, n.mae, b.mae AS old, CASE WHEN b.mae IS NULL THEN '' WHEN abs(n.mae - b.mae) < 0.05 THEN '=' WHEN n.mae < b.mae THEN '↓' ELSE '↑' END AS mark FROM n LEFT JOIN b USING (id)")
@@ -195,15 +193,19 @@ WORDS = ["x1", "x5", "848", "949"]
 PROF = "p AS (SELECT s_suppkey AS ord, 'Unit' || s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN ' X1' WHEN 1 THEN ' X5' WHEN 2 THEN ' 848' WHEN 3 THEN ' 949' ELSE '' END || CASE s_suppkey % 2 WHEN 0 THEN '.icc' ELSE '' END AS name FROM supplier), f AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN (SELECT any_value(name) FROM p WHERE ord = c_custkey % 90 + 1) ELSE 'none' END AS wanted, CASE c_custkey % 7 WHEN 0 THEN 'Scanner X1' WHEN 1 THEN 'scanner x5' WHEN 2 THEN 'S848' WHEN 3 THEN 'Model 949' ELSE 'other' END AS model FROM customer)"
 
 
+def _profiles(spark, sf_dir):
+    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS ord", "concat('Unit', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN ' X1' WHEN 1 THEN ' X5' WHEN 2 THEN ' 848' WHEN 3 THEN ' 949' ELSE '' END, CASE s_suppkey % 2 WHEN 0 THEN '.icc' ELSE '' END) AS name")
+    f = table(spark, sf_dir, "customer").selectExpr("c_custkey AS path", "c_custkey % 90 + 1 AS w", "CASE c_custkey % 7 WHEN 0 THEN 'Scanner X1' WHEN 1 THEN 'scanner x5' WHEN 2 THEN 'S848' WHEN 3 THEN 'Model 949' ELSE 'other' END AS model")
+    f = f.join(p.selectExpr("ord AS w", "name AS _n"), "w", "left").selectExpr("path", "CASE WHEN path % 3 = 0 THEN _n ELSE 'none' END AS wanted", "model")
+    return f, p
+
+
 @query(
     f"WITH {PROF}, e AS (SELECT path, 0 AS kind, ord, name FROM f JOIN p ON p.name = f.wanted OR p.name = f.wanted || '.icc'), k(w) AS (VALUES ('x1'), ('x5'), ('848'), ('949')), l AS (SELECT path, 1 AS kind, ord, name FROM f JOIN k ON contains(lower(model), w) JOIN p ON contains(lower(name), w)), "
     "b AS (SELECT path, arg_min(name, kind * 1000000 + ord) AS profile FROM (SELECT * FROM e UNION ALL SELECT * FROM l) GROUP BY 1) SELECT f.path, b.profile FROM f LEFT JOIN b USING (path)"
 )
 def profile_select(spark, sf_dir):
-    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS ord", "concat('Unit', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN ' X1' WHEN 1 THEN ' X5' WHEN 2 THEN ' 848' WHEN 3 THEN ' 949' ELSE '' END, CASE s_suppkey % 2 WHEN 0 THEN '.icc' ELSE '' END) AS name")
-    f = table(spark, sf_dir, "customer").selectExpr("c_custkey AS path", "c_custkey % 90 + 1 AS w", "CASE c_custkey % 7 WHEN 0 THEN 'Scanner X1' WHEN 1 THEN 'scanner x5' WHEN 2 THEN 'S848' WHEN 3 THEN 'Model 949' ELSE 'other' END AS model")
-    f = f.join(p.selectExpr("ord AS w", "name AS _n"), "w", "left").selectExpr("path", "CASE WHEN path % 3 = 0 THEN _n ELSE 'none' END AS wanted", "model")
-    return rel.select_profile(f, p, WORDS)
+    return rel.select_profile(*_profiles(spark, sf_dir), WORDS)
 
 
 SETTINGS = "s AS (SELECT o_custkey AS path, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS setting, o_orderpriority AS name FROM orders), w AS (SELECT path, ['current', 'index', 'name'][path % 3 + 1] AS source, path % 20 AS n, '3-MEDIUM' AS wanted_name, path % (max(setting) + 1) AS cur FROM s GROUP BY 1)"
@@ -226,13 +228,6 @@ def longest_root(spark, sf_dir):
     return rel.longest_root(d, roots)
 
 
-@query("SELECT n_nationkey AS template, v.range AS variant, (v.range - 4) * 25 AS contrast FROM nation CROSS JOIN range(9) v")
-def variant_cross(spark, sf_dir):
-    """Templates times a fixed grid of nine variants."""
-    grid = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("variant")
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("template"), grid).withColumn("contrast", (F.col("variant") - 4) * 25)
-
-
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def reference_exists(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
@@ -267,10 +262,31 @@ def overlay_apply(spark, sf_dir):
     return rel.overlay_apply(base, rel.overlay_diff(cur, base, "id", columns), "id", columns).withColumn("gamma", F.coalesce("gamma", F.lit(-1)))
 
 
-@query("SELECT l_suppkey AS case_id, v.id, CASE WHEN avg(l_discount * v.k) * 1000 <= 100 THEN 'STRICT' WHEN avg(l_discount * v.k) * 1000 <= 400 THEN 'PASS' ELSE 'WARN' END AS verdict FROM lineitem CROSS JOIN (VALUES ('T1', 1), ('T2', 3), ('T3', 9), ('T4', 2)) v(id, k) GROUP BY 1, 2")
-def ablation_matrix(spark, sf_dir):
-    """Each case under each variant, graded: one pass, with the variants as an array of fixed length."""
-    variants = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("k")) for i, k in (("T1", 1), ("T2", 3), ("T3", 9), ("T4", 2))])
-    runs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_discount", F.inline(variants))
-    mae = F.avg(F.col("l_discount") * F.col("k")) * 1000
-    return runs.groupBy("case_id", "id").agg(F.when(mae <= 100, "STRICT").when(mae <= 400, "PASS").otherwise("WARN").alias("verdict"))
+
+
+@query(f"WITH {PROF} SELECT f.path, f.wanted, (SELECT min(ord) FROM p WHERE p.name = f.wanted) AS index FROM f")
+def name_index(spark, sf_dir):
+    """The place of each wanted name in a catalogue; null if it isn't there."""
+    f, p = _profiles(spark, sf_dir)
+    return rel.looked_up(f.select("path", "wanted"), "wanted", p)
+
+
+@query("SELECT doc_id, CASE WHEN length(h) > 12 THEN left(h, 11) || '…' ELSE h END AS short FROM (SELECT doc_id, regexp_replace(CASE WHEN starts_with(n, 'user-') THEN substr(n, 6) ELSE n END, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '***', 'g') AS h FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'user-' ELSE '' END || source || CASE WHEN doc_id % 3 = 0 THEN ' a.b' || doc_id || '@mail.example' ELSE '' END AS n FROM documents))")
+def short_folders(spark, sf_dir):
+    n = F.concat(F.when(F.col("doc_id") % 2 == 0, "user-").otherwise(""), "source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" a.b"), F.col("doc_id").cast("string"), F.lit("@mail.example"))).otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.short_folder(n, "user-", 12).alias("short"))
+
+
+@query("SELECT doc_id, try_cast(nullif(regexp_extract(t, 'cx=\"([^\"]*)\"', 1), '') AS FLOAT) AS cx, try_cast(nullif(regexp_extract(t, 'angle=\"([^\"]*)\"', 1), '') AS FLOAT) AS angle FROM (SELECT doc_id, '<region cx=\"' || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE (doc_id / 8::DOUBLE)::VARCHAR END || CASE WHEN doc_id % 2 = 0 THEN '\" angle=\"0.5\"/>' ELSE '\"/>' END AS t FROM documents)")
+def attribute_numbers(spark, sf_dir):
+    t = F.concat(F.lit('<region cx="'), F.when(F.col("doc_id") % 5 == 0, "x").otherwise((F.col("doc_id") / 8.0).cast("string")), F.when(F.col("doc_id") % 2 == 0, '" angle="0.5"/>').otherwise('"/>'))
+    return table(spark, sf_dir, "documents").select("doc_id", text.attribute_number(t, "cx").alias("cx"), text.attribute_number(t, "angle").alias("angle"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 13 END::INT AS month, (2000 + event_id % 20)::INT AS year, 0 AS hour FROM events")
+def date_parts(spark, sf_dir):
+    """Parts of dates from maps of texts; what is missing or unreadable is 0."""
+    e = F.col("event_id")
+    parts = F.create_map(F.lit("Year"), (2000 + e % 20).cast("string"), F.lit("Month"), F.when(e % 3 == 0, "no month").otherwise((e % 13).cast("string")))
+    got = table(spark, sf_dir, "events").select("event_id", text.date_parts(parts).alias("d"))
+    return got.select("event_id", "d.month", "d.year", "d.hour")

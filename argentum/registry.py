@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.plans import file_queries, harness_queries, pixel_queries, relation_queries
+from argentum.plans import develop_queries, file_queries, harness_queries, pixel_queries, relation_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES, **relation_queries.QUERIES, **file_queries.QUERIES, **harness_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**pixel_queries.SQL, **relation_queries.SQL, **file_queries.SQL, **harness_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pixel_queries.QUERIES, **relation_queries.QUERIES, **file_queries.QUERIES, **harness_queries.QUERIES, **develop_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pixel_queries.SQL, **relation_queries.SQL, **file_queries.SQL, **harness_queries.SQL, **develop_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
