@@ -85,13 +85,22 @@ def binned(value: Column, step: float) -> Column:
     return F.floor(value / step).cast("bigint")
 
 
-def quantile_bins(df: DataFrame, group: str, bins: dict[str, Column], share: float) -> DataFrame:
+#: Groups whose counts and estimates one task takes.
+TASK_GROUPS = 16
+
+
+def _few(df: DataFrame, n_groups: int) -> DataFrame:
+    """Counts or estimates by group in as many tasks as their groups need; a few small rows aren't spread over hundreds of files."""
+    return df.coalesce(1 + n_groups // TASK_GROUPS)
+
+
+def quantile_bins(df: DataFrame, group: str, bins: dict[str, Column], share: float, n_groups: int) -> DataFrame:
     """(group, one column for each of bins): the first bin up to which at least that share of the group's rows lies."""
     stacked = df.select(group, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("b")) for k, b in bins.items()])).alias("_s")).select(group, "_s.*")
-    n = stacked.groupBy(group, "k", "b").agg(F.count("*").alias("n"))
+    n = _few(stacked.groupBy(group, "k", "b").agg(F.count("*").alias("n")), n_groups)
     up, all_ = F.sum("n").over(W.partitionBy(group, "k").orderBy("b")), F.sum("n").over(W.partitionBy(group, "k"))
     found = n.withColumns({"_up": up, "_all": all_}).filter(F.col("_up") >= share * F.col("_all"))
-    return found.groupBy(group).agg(*[F.min(F.when(F.col("k") == k, F.col("b"))).alias(k) for k in bins])
+    return _few(_few(found, n_groups).groupBy(group).agg(*[F.min(F.when(F.col("k") == k, F.col("b"))).alias(k) for k in bins]), n_groups)
 
 
 def _join(df: DataFrame, small: DataFrame, on: str, n_small: int) -> DataFrame:
@@ -149,19 +158,19 @@ ALL = "a"
 
 def mcd(use: DataFrame, n_groups: int) -> DataFrame:
     """(_k, n, m_*, c_*) for each value of _k in the rows (_k, X): the estimate from the start with the least determinant."""
-    middle = quantile_bins(use, "_k", {x: binned(F.col(x), FINE) for x in X}, 0.5)
-    middle = common.cut(middle.select("_k", *[((F.col(x) + 0.5) * FINE).alias(f"m_{x}") for x in X]))
-    spread = quantile_bins(_join(use, middle, "_k", n_groups), "_k", {x: binned(F.abs(F.col(x) - F.col(f"m_{x}")), FINE) for x in X}, 0.5)
+    middle = quantile_bins(use, "_k", {x: binned(F.col(x), FINE) for x in X}, 0.5, n_groups)
+    middle = common.cut(_few(middle, n_groups).select("_k", *[((F.col(x) + 0.5) * FINE).alias(f"m_{x}") for x in X]))
+    spread = quantile_bins(_join(use, middle, "_k", n_groups), "_k", {x: binned(F.abs(F.col(x) - F.col(f"m_{x}")), FINE) for x in X}, 0.5, n_groups)
     spread = spread.select("_k", *[F.greatest(1.4826 * (F.col(x) + 0.5) * FINE, F.lit(FLOORS[x])).alias(f"d_{x}") for x in X])
     medians = middle.join(spread, "_k").select(F.lit(0).alias("_s"), "_k", *M, *[(F.col(f"d_{X[i]}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in PAIRS])
     means = _cholesky(_covariance(use.groupBy("_k").agg(*_moments())))
-    now = common.cut(medians.unionByName(means.select(F.lit(1).alias("_s"), "_k", *M, *L)))
+    now = common.cut(_few(medians.unionByName(means.select(F.lit(1).alias("_s"), "_k", *M, *L)), 2 * n_groups))
     before = None
     for _ in range(STEPS):
         far = _join(use, now, "_k", 2 * n_groups).select(F.struct("_s", "_k").alias("_id"), _far().alias("b"), *X)
-        edge = quantile_bins(far, "_id", {"edge": F.col("b")}, CORE)
+        edge = quantile_bins(far, "_id", {"edge": F.col("b")}, CORE, 2 * n_groups)
         core = _join(far, edge, "_id", 2 * n_groups).filter("b <= edge")
-        now = common.cut(_cholesky(_covariance(core.groupBy("_id").agg(*_moments()))).select("_id._s", "_id._k", *M, *C, *L, "det"))
+        now = common.cut(_few(_cholesky(_covariance(core.groupBy("_id").agg(*_moments()))).select("_id._s", "_id._k", *M, *C, *L, "det"), 2 * n_groups))
         if before is not None:
             fell = now.join(before.select("_s", "_k", F.col("det").alias("_before")), ["_s", "_k"]).filter(F.col("det") < F.col("_before") * (1 - FALL))
             if not fell.limit(1).count():
@@ -170,7 +179,7 @@ def mcd(use: DataFrame, n_groups: int) -> DataFrame:
     one, other = [now.filter(F.col("_s") == s).drop("_s").select("_k", *[F.col(c).alias(f"{c}_{s}") for c in [*M, *C, "det"]]) for s in (0, 1)]
     better = F.col("det_1") < F.col("det_0") * (1 - FALL)
     best = one.join(other, "_k").select("_k", *[F.when(better, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c) for c in [*M, *C]])
-    return best.join(use.groupBy("_k").agg(F.count("*").cast("double").alias("n")), "_k")
+    return _few(best.join(_few(use.groupBy("_k").agg(F.count("*").cast("double").alias("n")), n_groups), "_k"), n_groups)
 
 
 def _shrunk(df: DataFrame, towards: DataFrame, on: str) -> DataFrame:
@@ -190,16 +199,16 @@ def robust_estimates(df: DataFrame, n_groups: int) -> DataFrame:
     found = common.cut(mcd(use, n_groups))
     top = found.filter(F.col("_k") == ALL)
     languages = _shrunk(found.filter(F.startswith("_k", F.lit("p"))).withColumn("_a", F.lit(ALL)), top, "_a")
-    parents = rows.select(F.col("_g").alias("_k"), "_p").distinct()
+    parents = _few(rows.select(F.col("_g").alias("_k"), "_p").distinct(), n_groups)
     groups = _shrunk(found.join(parents, "_k"), languages, "_p")
-    groups = common.cut(_cholesky(groups).select(F.col("_k").alias("_g"), "_p", *M, *L))
+    groups = common.cut(_few(_cholesky(groups).select(F.col("_k").alias("_g"), "_p", *M, *L), n_groups))
     judged = _join(rows, groups.drop("_p"), "_g", n_groups).select(F.explode(F.array(F.lit(ALL), "_p")).alias("_k"), _far().alias("b"))
-    scales = quantile_bins(judged, "_k", {"b": F.col("b")}, 0.5).join(judged.groupBy("_k").agg(F.count("*").cast("double").alias("n")), "_k")
-    scales = common.cut(scales.select("_k", "n", F.log(F.greatest(F.exp((F.col("b") + 1) * COARSE) / CHI2_MEDIAN, F.lit(1.0))).alias("v")))
+    scales = quantile_bins(judged, "_k", {"b": F.col("b")}, 0.5, n_groups).join(_few(judged.groupBy("_k").agg(F.count("*").cast("double").alias("n")), n_groups), "_k")
+    scales = common.cut(_few(scales, n_groups).select("_k", "n", F.log(F.greatest(F.exp((F.col("b") + 1) * COARSE) / CHI2_MEDIAN, F.lit(1.0))).alias("v")))
     whole = scales.filter(F.col("_k") == ALL).select(F.lit(True).alias("_one"), F.col("v").alias("_v"))
     scales = scales.filter(F.col("_k") != ALL).withColumn("_one", F.lit(True)).join(whole, "_one")
     scales = scales.select(F.col("_k").alias("_p"), F.exp((F.col("n") * F.col("v") + SHRINK * F.col("_v")) / (F.col("n") + SHRINK)).alias("scale"))
-    return common.cut(groups.join(scales, "_p").drop("_p"))
+    return common.cut(_few(groups.join(scales, "_p").drop("_p"), n_groups))
 
 
 def judge(df: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
