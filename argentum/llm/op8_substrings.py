@@ -73,8 +73,9 @@ def word_hashes(texts: list[bytes], secret: bytes) -> tuple[np.ndarray, np.ndarr
             cut = SPACE.search(text, at + BLOCK)
             end = cut.start() if cut else len(text)
             words = text[at:end].split()
-            for w in set(words) - known.keys():
-                known[w] = hashlib.blake2b(w, digest_size=16, key=secret).digest()
+            for w in set(words):
+                if w not in known:
+                    known[w] = hashlib.blake2b(w, digest_size=16, key=secret).digest()
             parts.append(b"".join(map(known.__getitem__, words)))
             counts[k] += len(words)
             at = end
