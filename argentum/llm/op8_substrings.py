@@ -59,24 +59,37 @@ def _pair(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return _scramble(x * U(_R + 2 * seed) + (y ^ (y >> U(32))) * U(0xD6E8FEB86659FD93))
 
 
+class Known(dict):
+    """Words to their keyed BLAKE2b digests, worked out when a word is first asked for."""
+
+    def __init__(self, secret: bytes):
+        self.secret = secret
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = found = hashlib.blake2b(word, digest_size=16, key=self.secret).digest()
+        return found
+
+
 def word_hashes(texts: list[bytes], secret: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(two hashes of each word of all texts, number of words of each text).
 
-    A word's hashes are the halves of its keyed BLAKE2b digest: who writes texts can't make words, or windows of
-    words, that collide. Texts are cut into blocks at white space, so a long text is never a list of all its words.
+    A word's hashes are the halves of its digest: who writes texts can't make words, or windows of words, that collide.
+    Texts are cut into blocks at white space, so a long text is never a list of all its words. The worker keeps the
+    digests of words from slot to slot, as long as the key is the same.
     """
-    known: dict[bytes, bytes] = {}
+    store = common.worker_store()
+    known = store.get("words")
+    if known is None or known.secret != secret:
+        known = store["words"] = Known(secret)
     parts, counts = [], np.zeros(len(texts), np.int64)
+    digest = known.__getitem__
     for k, text in enumerate(texts):
         at = 0
         while at < len(text):
-            cut = SPACE.search(text, at + BLOCK)
+            cut = SPACE.search(text, at + BLOCK) if len(text) > at + BLOCK else None
             end = cut.start() if cut else len(text)
             words = text[at:end].split()
-            for w in set(words):
-                if w not in known:
-                    known[w] = hashlib.blake2b(w, digest_size=16, key=secret).digest()
-            parts.append(b"".join(map(known.__getitem__, words)))
+            parts.append(b"".join(map(digest, words)))
             counts[k] += len(words)
             at = end
             if len(known) > KNOWN_WORDS:
