@@ -5,8 +5,8 @@ other can a window of twice the length be repeated; those go on to the next leve
 candidates survive or the wanted length is reached. Every word covered by a repeated window that isn't
 the first of its kind, in the order of (doc_id, start), is removed.
 
-How a level is asked: the texts are written once as a bucketed table of slots of some MB. A slot hashes
-its windows and sends each different hash once, packed by hash range, so a passage that all documents
+How a level is asked: the texts are written once as a bucketed table of slots of some MB, with a code for each word and
+the hashes of a slot's different words, from which the levels work. A slot hashes its windows and sends each different hash once, packed by hash range, so a passage that all documents
 share costs a slot one hash. A range finds the hashes that several slots sent and answers with one bit
 for each. The answers meet the slots at their buckets: no text is shuffled at any level. The low levels
 only filter and use 32 bits within a range; the last one decides by 96 bits. All come from a keyed hash of
@@ -39,8 +39,6 @@ from argentum.llm import common
 WINDOW, BASE = 20, 5
 #: Bytes of texts in a slot, of a block that is hashed at once, and windows in a range.
 SLOT_BYTES, BLOCK, RANGE_WINDOWS = 3 << 20, 4 << 20, 1_500_000
-#: Words whose hashes are kept while a slot is hashed.
-KNOWN_WORDS = 200_000
 SPACE = re.compile(rb"[\x09-\x0d ]")
 #: Buckets of the table of slots at most (Spark allows 100 000); beyond that a bucket holds several tasks' files.
 MOST_BUCKETS = 50_000
@@ -59,42 +57,33 @@ def _pair(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return _scramble(x * U(_R + 2 * seed) + (y ^ (y >> U(32))) * U(0xD6E8FEB86659FD93))
 
 
-class Known(dict):
-    """Words to their keyed BLAKE2b digests, worked out when a word is first asked for."""
+class Codes(dict):
+    """Words to their numbers, given out as words are first asked for."""
 
-    def __init__(self, secret: bytes):
-        self.secret = secret
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = hashlib.blake2b(word, digest_size=16, key=self.secret).digest()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
         return found
 
 
-def word_hashes(texts: list[bytes], secret: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(two hashes of each word of all texts, number of words of each text).
+def encoded(texts: list[bytes], secret: bytes) -> tuple[list[int], np.ndarray, bytes]:
+    """(number of words of each text, a code for each word of all texts, the digests of the coded words).
 
-    A word's hashes are the halves of its digest: who writes texts can't make words, or windows of words, that collide.
-    Texts are cut into blocks at white space, so a long text is never a list of all its words. The worker keeps the
-    digests of words from slot to slot, as long as the key is the same.
+    A digest is a keyed BLAKE2b: who writes texts can't make words, or windows of words, that collide. Texts are cut
+    into blocks at white space, so a long text is never a list of all its words.
     """
-    store = common.worker_store()
-    known = store.get("words")
-    if known is None or known.secret != secret:
-        known = store["words"] = Known(secret)
-    parts, counts = [], np.zeros(len(texts), np.int64)
-    digest = known.__getitem__
-    for k, text in enumerate(texts):
-        at = 0
+    codes = Codes()
+    code = codes.__getitem__
+    parts, counts = [np.array([], np.uint32)], []
+    for text in texts:
+        at = n = 0
         while at < len(text):
             cut = SPACE.search(text, at + BLOCK) if len(text) > at + BLOCK else None
             end = cut.start() if cut else len(text)
-            words = text[at:end].split()
-            parts.append(b"".join(map(digest, words)))
-            counts[k] += len(words)
+            parts.append(np.fromiter(map(code, text[at:end].split()), np.uint32))
+            n += len(parts[-1])
             at = end
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2), counts
+        counts.append(n)
+    return counts, np.concatenate(parts), b"".join(hashlib.blake2b(w, digest_size=16, key=secret).digest() for w in codes)
 
 
 def spark_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -115,10 +104,10 @@ def spark_bucket(keys: np.ndarray, n: int) -> np.ndarray:
 class Slot:
     """The words of some documents, and the windows of each level that are still in question."""
 
-    def __init__(self, docs: list[tuple[int, bytes]], secret: bytes):
-        self.ids = np.array([d for d, _ in docs], np.int64)
-        self.hashes, counts = word_hashes([t for _, t in docs], secret)
-        self.doc = np.repeat(np.arange(len(docs)), counts)
+    def __init__(self, ids: list[int], counts: list[int], codes: np.ndarray, digests: bytes):
+        self.ids = np.array(ids, np.int64)
+        self.hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)[codes]
+        self.doc = np.repeat(np.arange(len(ids)), counts)
         self.first = np.cumsum(counts) - counts
         self.places = np.arange(len(self.hashes))
         self.length = 0
@@ -203,13 +192,13 @@ class Question:
         return out
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, kind: str = "<i8") -> bytes:
     """The bytes of whole numbers, all lowest bytes first: high zero bytes then compress away."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def _from_planes(b: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 ASK = "range bigint, slot bigint, hashes binary, ids binary, starts binary"
@@ -218,8 +207,14 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 KEPT = "doc_id bigint, _at bigint, _words binary"
 
 
-def _slots(n: int):
-    """Rows get slots; all of a task's slots lie in one bucket of n, so that each task writes one file."""
+SLOTS = "slot bigint, seq bigint, size bigint, doc_id bigint, text string, n_words bigint, codes binary, digests binary"
+
+
+def _slots(n: int, secret: bytes):
+    """Rows get slots; all of a task's slots lie in one bucket of n, so that each task writes one file.
+
+    A slot's first row also has the codes and digests of all its words, so that the levels needn't read the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -236,18 +231,22 @@ def _slots(n: int):
             slot = found.pop(0)
             text = piece.column(1)
             size = pa.compute.cast(pa.compute.binary_length(text), pa.int64()).fill_null(0)
-            yield pa.RecordBatch.from_arrays([pa.array([slot] * len(text), pa.int64()), pa.array(range(number, number + len(text)), pa.int64()), size, piece.column(0), text], names=["slot", "seq", "size", "doc_id", "text"])
+            counts, codes, digests = encoded([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in text], secret)
+            none = [None] * (len(text) - 1)
+            columns = [pa.array([slot] * len(text), pa.int64()), pa.array(range(number, number + len(text)), pa.int64()), size, piece.column(0), text, pa.array(counts, pa.int64()), pa.array([_planes(codes, "<u4"), *none], pa.binary()), pa.array([digests, *none], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SLOTS.split(", ")])
             number += len(text)
 
     return run
 
 
-def _open(table: pa.Table, secret: bytes) -> tuple[Slot, list, list[bytes]]:
+def _open(table: pa.Table) -> tuple[Slot, list, np.ndarray]:
+    """The slot, its ids as they are, and the order of its rows."""
     order = np.argsort(table.column("seq").to_numpy(), kind="stable")
-    ids = table.column("doc_id").to_pylist()
-    raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for c in table.column("text").chunks for x in c]
-    ids, raw = [ids[i] for i in order], [raw[i] for i in order]
-    return Slot([(-(1 << 63) if d is None else d, t) for d, t in zip(ids, raw, strict=True)], secret), ids, raw
+    ids, counts = (table.column(c).to_pylist() for c in ("doc_id", "n_words"))
+    codes, digests = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("codes", "digests"))
+    ids = [ids[i] for i in order]
+    return Slot([-(1 << 63) if d is None else d for d in ids], [counts[i] for i in order], _from_planes(codes, "<u4"), digests), ids, order
 
 
 def _replayed(slot: Slot, answers: pa.Table | None, lengths: list[int], ranges: int, last: int) -> list[Question]:
@@ -264,11 +263,11 @@ def _replayed(slot: Slot, answers: pa.Table | None, lengths: list[int], ranges:
     return [q, got.get(last, {})]
 
 
-def _asking(lengths: list[int], ranges: int, level: int, secret: bytes):
+def _asking(lengths: list[int], ranges: int, level: int):
     full = level == len(lengths) - 1
 
     def run(key, table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        slot, _, _ = _open(table, secret)
+        slot, _, _ = _open(table)
         q, _ = _replayed(slot, answers, lengths, ranges, level)
         rows = list(q.rows())
         none = [None] * len(rows)
@@ -319,13 +318,15 @@ def _answering(level: int, full: bool):
     return run
 
 
-def _removing(lengths: list[int], ranges: int, texts: bool, secret: bytes):
+def _removing(lengths: list[int], ranges: int, texts: bool):
     window = lengths[-1]
 
     def run(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([[]] * 4, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()) if texts else ("kept_sha256", pa.string())]))
-        slot, ids, raw = _open(table, secret)
+        slot, ids, order = _open(table)
+        texts_ = [x for c in table.column("text").chunks for x in c]
+        raw = (texts_[i].as_buffer().to_pybytes() if texts_[i].is_valid else b"" for i in order)
         q, bits = _replayed(slot, answers, lengths, ranges, len(lengths) - 1)
         later = ~(q.answered(bits)[q.group] & q.is_first)
         starts = slot.places[q.order[later]]
@@ -365,22 +366,23 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = WINDOW, bas
     slim = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = min(max(1, slim.rdd.getNumPartitions()), MOST_BUCKETS)
     name, path = f"argentum_slots_{uuid.uuid4().hex}", common.shared_path(spark, "slots")
-    slots = slim.mapInArrow(_slots(n), "slot bigint, seq bigint, size bigint, doc_id bigint, text string")
+    slots = slim.mapInArrow(_slots(n, secret), SLOTS)
     slots.write.bucketBy(n, "slot").option("compression", "zstd").option("path", path).saveAsTable(name)
     try:
         slots = spark.table(name)
         size = slots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * RANGE_WINDOWS)))
         answers = spark.createDataFrame([], ANSWER)
+        coded = slots.select("slot", "seq", "doc_id", "n_words", "codes", "digests")
         for level in range(len(lengths)):
             full = level == len(lengths) - 1
             if level:
-                asked = slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_with_answers(_asking(lengths, ranges, level, secret)), ASK)
+                asked = coded.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_with_answers(_asking(lengths, ranges, level)), ASK)
             else:
-                asked = slots.groupBy("slot").applyInArrow(_alone(_asking(lengths, ranges, level, secret)), ASK)
+                asked = coded.groupBy("slot").applyInArrow(_alone(_asking(lengths, ranges, level)), ASK)
             answers = answers.unionByName(common.cut(asked.groupBy("range").applyInArrow(_answering(level, full), ANSWER)))
         schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept binary" if texts else "kept_sha256 string")
-        return common.cut(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_removing(lengths, ranges, texts, secret), schema))
+        return common.cut(slots.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_removing(lengths, ranges, texts), schema))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         common.remove_path(spark, path)

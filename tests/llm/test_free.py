@@ -371,14 +371,18 @@ def test_substrings_repeated_rows_and_no_rows(spark):
 
 def test_word_hashes_depend_on_words_only(monkeypatch):
     monkeypatch.setattr(op8_substrings, "BLOCK", 64)
-    monkeypatch.setattr(op8_substrings, "KNOWN_WORDS", 3)
+
+    def hashes(texts, secret=b"k"):
+        counts, codes, digests = op8_substrings.encoded(texts, secret)
+        return np.frombuffer(digests, "<u8").reshape(-1, 2)[codes], counts
+
     words = [b"a", b"bb", "wörter".encode(), b"x" * 63, b"y" * 65, b"z" * 1000, b"\x00", b"a\x00"]
-    alone = [op8_substrings.word_hashes([w], b"k")[0][0].tolist() for w in words]
-    together, counts = op8_substrings.word_hashes([b" \n" + b"\t ".join(words * 3) + b" ", b"", b" ", b"a"], b"k")
-    assert together.tolist() == alone * 3 + alone[:1] and counts.tolist() == [24, 0, 0, 1]
+    alone = [hashes([w])[0][0].tolist() for w in words]
+    together, counts = hashes([b" \n" + b"\t ".join(words * 3) + b" ", b"", b" ", b"a"])
+    assert together.tolist() == alone * 3 + alone[:1] and counts == [24, 0, 0, 1]
     assert len({h for pair in alone for h in pair}) == 2 * len(words)
-    assert op8_substrings.word_hashes([b"a"], b"other")[0].tolist() != alone[:1]
-    assert op8_substrings.word_hashes([], b"k")[0].shape == (0, 2)
+    assert hashes([b"a"], b"other")[0].tolist() != alone[:1]
+    assert hashes([])[0].shape == (0, 2) and hashes([b"", b" "])[1] == [0, 0]
 
 
 def thue_morse(n, flip):
