@@ -250,6 +250,18 @@ def test_mixing_targets_and_takes(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_heavier_documents_are_drawn_more_often(spark):
+    # of three equal sources the second has a target of 5/6 of its size
+    rows = [(i + 10_000 * k, "w " * 10, "en", source, None) for k, source in enumerate("tsu") for i in range(3000)]
+    rows = [(d, t, x, {"t": "b", "s": "a", "u": "c"}[s], k) for d, t, x, s, k in rows]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(4, None), (0, 1)], "doc_id bigint, quality int")
+    got = op10_mixing.mixed(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows)
+    taken = {q: sum(r.copies for r in got if r.source == "b" and r.doc_id % 2 == q) / 1500 for q in (0, 1)}
+    # weights 1.0 and 0.1: nearly all of the good ones come before the last of the bad ones
+    assert taken[1] > 0.98 and 0.6 < taken[0] < 0.72
+
+
 def test_mixing_odd_tables(spark):
     assert op10_mixing.mixed(frame(spark, [])).count() == 0
     assert op10_mixing.mixed(frame(spark)).count() == len(documents())
