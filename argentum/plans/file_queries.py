@@ -38,6 +38,18 @@ def sample_files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "path string, content binary")
 
 
+SCANS = "s AS (SELECT i.range AS i, '/scans/roll' || (i.range % 2) || '/scan' || i.range || '.tif' AS path FROM range(1, 9) i)"
+UNIT = "['', ' dpi', ' dpcm'][i % 3 + 1]"
+#: What each scan's facts are, worked out from how sample_bytes() makes it; the keys' places as the summary has them.
+FACTS = [
+    (0, "Format", "CASE WHEN i % 2 = 1 THEN 'magic 0x55' ELSE 'magic 0x2A' END"),
+    (1, "Byte Order", "CASE WHEN i % 2 = 1 THEN 'Little-Endian (Intel)' ELSE 'Big-Endian (Motorola)' END"),
+    (2, "File Size", "'514 B'"), (3, "IFD Count", "'2'"), (4, "Make", "'Maker'"), (5, "Model", "'Model ' || i"), (9, "Dimensions", "'4 × 3'"), (10, "BitsPerSample", "'[16, 16, 16]'"), (11, "Compression", "'Uncompressed'"), (12, "Photometric", "'RGB'"),
+    (13, "Orientation", "['Normal', 'Flip Horizontal', 'Rotate 180', 'Flip Vertical', 'Transpose', 'Rotate 90 CW', 'Transverse', 'Rotate 270 CW'][i % 8 + 1]"),
+    (14, "XResolution", f"(i * 100) || {UNIT}"), (15, "YResolution", f"'0' || {UNIT}"), (16, "ExposureTime", "'1/' || (60 + i)"), (17, "FNumber", "'f/5.6'"), (18, "ISO", "(100 * i)::VARCHAR"),
+]
+
+
 @query()
 def tag_rows(spark, sf_dir):
     found = tagfiles.tags(sample_files(spark))
@@ -49,17 +61,17 @@ def tag_names(spark, sf_dir):
     return tagfiles.all_tags(tagfiles.tags(sample_files(spark)))
 
 
-@query()
+@query(f"WITH {SCANS} " + " UNION ALL ".join(f"SELECT path, {n} AS ord, '{k}' AS key, {v} AS value FROM s" for n, k, v in FACTS))
 def metadata_summary(spark, sf_dir):
     return tagfiles.summary(tagfiles.tags(sample_files(spark)))
 
 
-@query()
+@query(f"WITH {SCANS} SELECT path, 4::BIGINT AS width, 3::BIGINT AS height, 0 AS ifd_idx FROM s")
 def best_dimensions(spark, sf_dir):
     return tagfiles.dimensions(tagfiles.tags(sample_files(spark)))
 
 
-@query()
+@query(f"WITH {SCANS} SELECT path, 1 AS ifd_idx, p.range // 2 AS y, p.range % 2 AS x, p.range * 3 AS r, p.range * 3 + 1 AS g, p.range * 3 + 2 AS b FROM s, range(4) p")
 def thumbnail_pixels(spark, sf_dir):
     return tagfiles.pixels(sample_files(spark), thumbnail=True)
 
@@ -86,7 +98,7 @@ def sample_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*rows, ("/icc/small.icc", bytearray(b"x" * 100)), ("/icc/bare name.icc", bytearray(profile_bytes("x", "mntr", False)[:128]))], "path string, content binary")
 
 
-@query()
+@query("SELECT '/icc/p' || i.range || '.icc' AS path, 'Profile ' || (9 - i.range) AS name, ['scnr', 'mntr', 'prtr'][i.range % 3 + 1] AS class, 'RGB' AS color_space FROM range(6) i UNION ALL SELECT '/icc/bare name.icc', 'bare name', 'mntr', 'RGB'")
 def icc_catalogue(spark, sf_dir):
     return profiles.catalogue(sample_profiles(spark))
 
@@ -107,7 +119,12 @@ def sample_presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*rows, ("/presets/broken.xml", preset_text(7)[:420]), ("/presets/empty.xml", "")], "path string, xml string")
 
 
-@query()
+PRESETS = "p AS (SELECT i.range AS i, '/presets/kind' || (i.range % 2) || '/p' || i.range || '.xml' AS path FROM range(6) i)"
+PARAMETERS = [("Contrast", "integer", "i::VARCHAR"), ("Gamma", "real", "'1.' || i"), ("ApplyCC", "true", "'true'"), ("Saturation", "string", "'many'"), ("Shadow", "array", "NULL"), ("Gradations", "array", "NULL"), ("InputProfile", "dict", "'In <' || i || '>'")]
+
+
+#: The text that breaks off after its fifth parameter is the seventh preset's.
+@query(f"WITH {PRESETS}, p8 AS (SELECT * FROM p UNION ALL SELECT 7, '/presets/broken.xml') " + " UNION ALL ".join(f"SELECT path, 0 AS setting, 'Preset ' || i AS name, {n} AS ord, '{k}' AS key, '{kind}' AS kind, {v} AS value FROM {'p' if n > 4 else 'p8'}" for n, (k, kind, v) in enumerate(PARAMETERS)))
 def plist_params(spark, sf_dir):
     return presets.parameters(sample_presets(spark)).select("path", "setting", "name", "ord", "key", "kind", "value")
 
@@ -117,6 +134,6 @@ def preset_corrections(spark, sf_dir):
     return presets.corrections(presets.parameters(sample_presets(spark))).select("path", "name", "Contrast", "Gamma", "EV", "Saturation", "ApplyCC", "Shadow", "InputProfile")
 
 
-@query()
+@query(f"WITH {PRESETS} SELECT path, 'kind' || (i % 2) AS category, 'p' || i AS name FROM p UNION ALL VALUES ('/presets/broken.xml', '', 'broken'), ('/presets/empty.xml', '', 'empty')")
 def preset_catalogue(spark, sf_dir):
     return presets.catalogue(sample_presets(spark), "/presets")

@@ -209,6 +209,41 @@ def test_images_of_another_shape_have_no_pairs(spark):
     assert [(r.y, r.x, r.v, r.ref) for r in tiles.pair_pixels(tiles.pair(a, c)).orderBy("y", "x").collect()] == [(i // 4, i % 4, i, i) for i in range(8)]
 
 
+def test_nested_arrays_are_replaced_whole(spark):
+    from pyspark.sql import functions as F
+
+    from argentum.functions import text
+
+    body = "<array><array><dict/></array><array></array></array>"
+    rows = [f"<dict><key>A</key><array>1</array><key>Gradations</key> {body}<key>B</key>{body}</dict>", "<dict><key>B</key></dict>", "<key>Gradations</key><array><array></array>", "<key>Gradations</key>none"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = [r.x for r in df.select("i", text.patch_nested_array(F.col("x"), "Gradations", "<new/>").alias("x")).orderBy("i").collect()]
+    assert got == [rows[0].replace(f"</key> {body}", "</key> <new/>"), *rows[1:]]
+
+
+def test_the_whole_processing_by_its_stages(spark):
+    from argentum.operators import develop
+
+    rng = np.random.default_rng(6)
+    r, g, b = (rng.integers(0, 65536, (7, 9)) for _ in range(3))
+    a = develop.from_correction(develop.TEMPLATE | {"Contrast": 10, "ApplyUSM": True, "USMAmount": 60, "USMRadius": 16, "ApplyCurves": True, "Gradations": [[(0, 0), (128, 150), (255, 255)], *[[(0, 0), (255, 255)]] * 6]})
+    place = (7, 9, 0, 0, 7, 9, 0)
+    df = spark.createDataFrame([("i", *place, *[[float(v) for v in c.ravel()] for c in (r, g, b)])], "image_id string, height int, width int, y0 int, x0 int, h int, w int, halo int, r array<double>, g array<double>, b array<double>")
+    got = {(x.y, x.x): (x.r, x.g, x.b) for x in tiles.rgb_pixels(develop.developed(df, a)).collect()}
+    levels = point.level_tables(a.black, a.white, a.gamma, a.master_gamma)
+    v = [t[c] for t, c in zip(levels, (r, g, b))]
+    v = [t[c] for t, c in zip(point.curve_tables(list(a.curves)), v)]
+    light = (0.299 * v[0] + 0.587 * v[1] + 0.114 * v[2]) / 65535
+    more = 60 / 50 * (light - slow_soft(light, 0.8))
+    v = [np.floor(np.clip(c / 65535 + more, 0, 1) * 65535 + 0.5).astype(int) for c in v]
+    v = [t[c] for t, c in zip(point.display_tables(a.display), v)]
+    assert all(abs(x - c[y, k]) <= 3 for (y, k), three in got.items() for x, c in zip(three, v)) and len(got) == 63
+    same = develop.Adjust()
+    assert {(x.y, x.x): (x.r, x.g, x.b) for x in tiles.rgb_pixels(develop.developed(df, same)).collect()} == {(y, x): (r[y, x], g[y, x], b[y, x]) for y in range(7) for x in range(9)}
+    steps = develop.trace(df, a, 2, 3).orderBy("ord").collect()
+    assert [s.stage for s in steps][0] == "input" and (steps[0].r, steps[-1].r) == (r[2, 3], got[2, 3][0]) and develop.trace(df, a, 9, 9).count() == 0
+
+
 def test_negative_calibration(spark):
     df = spark.createDataFrame([(10000, 20000, 65535)], "r bigint, g bigint, b bigint")
     assert point.calibrate_negative(df, 0, "x") is df
