@@ -1,6 +1,8 @@
 """A store of overlays (sidecars): the latest values for each file, as Parquet snapshots.
 
-Every save writes a new snapshot beside the old ones, so readers never see a half-written one.
+Every save writes a new snapshot beside the old ones, so readers never see a half-written one. Of two saves at one time
+the second fails, as its snapshot is there already, and can be repeated. The last KEPT snapshots stay, for whoever still
+reads them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Snapshots that are kept.
+KEPT = 3
+
+
 def key_of(path):
     """The store's key of a file."""
     return F.xxhash64(path)
@@ -37,11 +43,17 @@ class OverlayStore:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n[-1]}") if n else self.spark.createDataFrame([], self.schema)
 
     def _write(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/v{(self._numbers() or [0])[-1] + 1}")
+        numbers = self._numbers()
+        df.write.parquet(f"{self.path}/v{(numbers or [0])[-1] + 1}")
+        jvm = self.spark.sparkContext._jvm
+        for n in numbers[: max(len(numbers) + 1 - KEPT, 0)]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}")
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     def save(self, overlays: DataFrame) -> None:
-        """Overlays by path_key replace those of the same key."""
-        new = overlays.select(*self.load().columns)
+        """Overlays by path_key replace those of the same key; of several for one key the largest row by its columns counts."""
+        names = self.load().columns
+        new = overlays.groupBy("path_key").agg(F.max(F.struct(*[c for c in names if c != "path_key"])).alias("_o")).select("path_key", "_o.*").select(*names)
         self._write(self.load().join(new.select("path_key"), "path_key", "left_anti").unionByName(new))
 
     def delete(self, keys: DataFrame) -> None:

@@ -7,6 +7,16 @@ from argentum.functions import colour, text
 from argentum.sources import manifests, overlays
 
 
+def test_one_overlay_for_a_key_and_few_snapshots(spark, tmp_path):
+    store = overlays.OverlayStore(spark, str(tmp_path / "o"), "contrast int, curve string")
+    schema = "path_key bigint, contrast int, curve string"
+    for i in range(5):
+        store.save(spark.createDataFrame([(1, i, "a"), (1, i, "b"), (i, None, None)] if i > 1 else [(1, i, "a")], schema))
+    got = sorted((r.path_key, r.contrast, r.curve) for r in store.load().collect())
+    assert got == [(1, 4, "b"), (2, None, None), (3, None, None), (4, None, None)]
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["v3", "v4", "v5"]
+
+
 def test_overlay_store(spark, tmp_path):
     store = overlays.OverlayStore(spark, str(tmp_path / "overlays"), "contrast int, curve string")
     assert store.load().count() == 0
